@@ -22,17 +22,20 @@ from tallyweave.llm.shared import written
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 4096
 REPEATS = 3
+#: Fractions held back from a source's last block for its landing problem.
+LANDING = 12
 _NEAR = 1e-9
 
 
-def move_to_faces(size: np.ndarray, p: np.ndarray, seed: list[int]) -> np.ndarray:
-    """Flight phase: probabilities of which at most two are left strictly between 0 and 1."""
+def move_to_faces(size: np.ndarray, p: np.ndarray, seed: list[int], hold: int = 0) -> np.ndarray:
+    """Flight phase: probabilities of which at most two, and the last ``hold`` fractions, are left strictly between 0 and 1."""
     p = p.astype(float).tolist()
     size = size.tolist()
     n = len(p)
     random = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed))).random(n + 4).tolist()
     window: list[int] = []
-    coming = iter([i for i in range(n) if _NEAR < p[i] < 1 - _NEAR])
+    fractions = [i for i in range(n) if _NEAR < p[i] < 1 - _NEAR]
+    coming = iter(fractions[: max(0, len(fractions) - hold)])
     for step in range(n + 4):
         while len(window) < 3 and (i := next(coming, None)) is not None:
             window.append(i)
@@ -65,12 +68,14 @@ def move_to_faces(size: np.ndarray, p: np.ndarray, seed: list[int]) -> np.ndarra
 
 
 def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Landing phase for a few last fractions: the corner nearest in words, then in documents."""
-    open_ = np.flatnonzero((p > 0) & (p < 1))
+    """Landing phase for the few last fractions: of the corners within one document of the total, the nearest in words."""
+    open_ = np.flatnonzero((p > _NEAR) & (p < 1 - _NEAR))
+    p = np.where(p >= 1 - _NEAR, 1.0, np.where(p <= _NEAR, 0.0, p))
     if len(open_):
-        corners = [np.array([k >> i & 1 for i in range(len(open_))], float) for k in range(1 << len(open_))]
-        p = p.copy()
-        p[open_] = min(corners, key=lambda x: (abs(((x - p[open_]) * size[open_]).sum()), abs((x - p[open_]).sum()), x.tolist()))
+        corners = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1).astype(float)
+        moved = corners - p[open_]
+        documents, words = np.abs(moved.sum(1)), np.abs(moved @ size[open_])
+        p[open_] = corners[np.lexsort((documents, words, documents >= 1))[0]]
     return p
 
 
@@ -142,11 +147,11 @@ def _flight(units: DataFrame, keys: list[str], seed: int, level: int) -> DataFra
     names = schema.fieldNames()
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("size", "descending"), ("order_", "ascending"), *[(k, "ascending") for k in keys]])
-        # Large units first, so that the fractions left at the end are those of small ones.
+        group = group.sort_by([("order_", "ascending"), *[(k, "ascending") for k in keys], ("size", "ascending")])
         size, p = group["size"].to_numpy(), group["p"].to_numpy()
-        moved = move_to_faces(size, p, [seed, level, group["source_no"][0].as_py(), group["block"][0].as_py()])
-        if group["blocks"][0].as_py() == 1:
+        last = group["blocks"][0].as_py() == 1
+        moved = move_to_faces(size, p, [seed, level, group["source_no"][0].as_py(), group["block"][0].as_py()], LANDING if last else 0)
+        if last:
             moved = land(size, moved)
         return group.select(names).set_column(names.index("p"), "p", pa.array(moved, pa.float64()))
 
