@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.shared import bounded_batches
+
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: White space as Unicode defines it.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -200,7 +202,7 @@ class TrieEncoder:
         text = self.normal(text)
         return (self.latin if text.isascii() or not _BEYOND_LATIN.search(text) else self.pattern).findall(text)
 
-    def digest(self, texts: list[str], most_words: int = 600_000) -> Iterator[tuple[int, str, str]]:
+    def digest(self, texts: list[str], most_words: int = 400_000) -> Iterator[tuple[int, str, str]]:
         """Token count and digests of ids and decoded text, in batches of about ``most_words`` words."""
         group: list[list[str]] = []
         held = 0
@@ -243,6 +245,7 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     are ignored, whatever their names.  No shuffle; memory is bounded by the
     word cache, one text and one Arrow batch.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_definition(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +265,7 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
 
 def bpe_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, decoded string): the real outputs of the encoder and decoder, nulls and empties as in ``bpe_digests``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_definition(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

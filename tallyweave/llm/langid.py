@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.llm.shared import bounded_batches
 from tallyweave.llm.words import blocks, buffers, split_words
 
 _U = np.uint64
@@ -27,7 +28,7 @@ PIECE_BYTES = 16
 RUN_BYTES = 48
 #: Added to the log probability per byte so that products of a run stay within doubles.
 BYTE_GAIN = 3.5
-SCORE_BLOCK = 6 << 20
+SCORE_BLOCK = 3 << 20
 
 
 def public_pieces(path: str) -> list[bytes]:
@@ -212,6 +213,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
     learned.  Rows keep all their columns, inside the struct, so names cannot
     clash; repeated rows stay.  No shuffle.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import connected_components, written
+from tallyweave.llm.shared import bounded_batches, connected_components, written
 from tallyweave.llm.words import blocks, buffers, mix, signed, split_words
 
 _U = np.uint64
@@ -160,7 +160,7 @@ def _sampled(docs: DataFrame, idf, bands: int, band_rows: int) -> DataFrame:
                 for i in np.unique(row):
                     fresh[i] = own[i] not in seen
                     seen.add(own[i])
-                if len(seen) > 2_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 keep = fresh[row]
                 row, h, tf = row[keep], h[keep], tf[keep]
@@ -246,6 +246,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     a large group of copies costs a few links a member.  Then only pairs that
     still lie in different components are compared, if enough draws agree.
     """
+    bounded_batches(docs.sparkSession)
     rows = text_ids(docs, id_col, text_col)
     n_docs = docs.count()
     idf = idf_weights(document_frequencies(rows), n_docs)

@@ -27,6 +27,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Let no Arrow batch that goes to Python pass ``size`` bytes by more than one row: long texts come in smaller batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    if int(now.rstrip("kmg")) << unit not in range(1, size + 1):
+        spark.conf.set(name, str(size))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as a table in the shared folder and read again: lineage ends here."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.llm.near_dedup import text_ids
-from tallyweave.llm.shared import written
+from tallyweave.llm.shared import bounded_batches, written
 from tallyweave.llm.words import Words, blocks, buffers, signed, split_words, window_hashes, windows_inside
 
 PASSAGE_WORDS = 50
@@ -62,7 +62,7 @@ def _first_seen(tids: np.ndarray, seen: set[int]) -> np.ndarray:
         if t not in seen:
             seen.add(t)
             out[i] = True
-    if len(seen) > 1_000_000:
+    if len(seen) > 200_000:
         seen.clear()
     return out
 
@@ -168,6 +168,7 @@ def united(marks: DataFrame, size: int) -> DataFrame:
 
 def text_spans(rows: DataFrame, heads: DataFrame, size: int = PASSAGE_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """(tid, role, start_word, end_word) of every text: repeats of passages that stand earlier, and the earliest places themselves."""
+    bounded_batches(rows.sparkSession)
     texts = rows.where("tid IS NOT NULL").select("tid", "text")
     repeated = sorted_neighbours(retained_suffixes(texts, size, anchor), ["tid", "place"])
     anchors = repeated.groupBy("tid").agg(F.collect_set("place").alias("places")).join(heads.select("tid", "head"), "tid").select("tid", "head", "places")
