@@ -133,21 +133,24 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, ta
     return out
 
 
+def unpacked(packed: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a packed text, ascending, and their TF-IDF weights."""
+    n = len(packed) // 12
+    h = np.frombuffer(packed, np.uint64, n)
+    return h, np.frombuffer(packed, np.uint32, n, 8 * n) * idf[feature(h)]
+
+
 def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
     """Similarity of two packed shingle sets: sum of least over sum of greatest TF-IDF weights."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    hx, hy = x[: len(x) // 2], y[: len(y) // 2]
-    wx, wy = x[len(x) // 2 :] * idf[feature(hx)], y[len(y) // 2 :] * idf[feature(hy)]
+    (hx, wx), (hy, wy) = unpacked(a, idf), unpacked(b, idf)
     _, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
     least = np.minimum(wx[i], wy[j]).sum()
     whole = wx.sum() + wy.sum() - least
     return float(least / whole) if whole else 0.0
 
 
-def _sampled(docs: DataFrame, idf, bands: int, band_rows: int) -> DataFrame:
-    """(tid, mass, keys, draws) once per text with a word."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(idf)
+def _sampled(docs: DataFrame, shared, bands: int, band_rows: int) -> DataFrame:
+    """(tid, mass, keys) once per text with a word: its whole weight and its bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, factors, seen = draw_table(), multipliers(bands * band_rows), set()
@@ -178,12 +181,11 @@ def _sampled(docs: DataFrame, idf, bands: int, band_rows: int) -> DataFrame:
                         pa.array(own[at], pa.int64()),
                         pa.array(mass[at]),
                         pa.FixedSizeListArray.from_arrays(pa.array(signed(keys[at].ravel())), bands).cast(pa.list_(pa.int64())),
-                        pa.array([d.tobytes() for d in (draws[at] & _U(0xFFFF)).astype(np.uint16)], pa.binary()),
                     ],
-                    names=["tid", "mass", "keys", "draws"],
+                    names=["tid", "mass", "keys"],
                 )
 
-    made = docs.select("tid", "text").mapInArrow(run, "tid bigint, mass double, keys array<bigint>, draws binary")
+    made = docs.select("tid", "text").mapInArrow(run, "tid bigint, mass double, keys array<bigint>")
     return made.dropDuplicates(["tid"])
 
 
@@ -195,20 +197,15 @@ def _packed(docs: DataFrame) -> DataFrame:
             for low, high, data, offsets in text_blocks(batch.column(1)):
                 row, h, tf = shingles(data, offsets)
                 cuts = np.searchsorted(row, np.arange(high - low + 1))
-                packed = [h[a:b].tobytes() + tf[a:b].astype(np.uint64).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                packed = [h[a:b].tobytes() + tf[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(packed, pa.binary())], names=["tid", "shingles"])
 
     return docs.select("tid", "text").mapInArrow(run, "tid bigint, shingles binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, packed: DataFrame, shared, least: float) -> DataFrame:
     """Those of the pairs (a, b) whose weighted Jaccard similarity is at least ``least``."""
-    spark = pairs.sparkSession
-    shared = spark.sparkContext.broadcast(idf)
     pairs = written(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).distinct()
-    one_each = texts.join(wanted.hint("shuffle_hash"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    packed = written(_packed(one_each), "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,6 +218,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFram
     return written(both.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
+def _own_mass(packed: DataFrame, shared) -> DataFrame:
+    """(tid, own): the weight of those shingles that no other of the texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tid, text in zip(batch.column(0), batch.column(1), strict=True):
+                h, w = unpacked(text.as_py(), shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), tid.as_py())), pa.array(signed(h)), pa.array(w)], names=["tid", "shingle", "weight"])
+
+    rows = packed.mapInArrow(run, "tid bigint, shingle bigint, weight double")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("tid").alias("tid"), F.min("weight").alias("weight")).where("n = 1")
+    return single.groupBy("tid").agg(F.sum("weight").alias("own"))
+
+
 def text_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, tid, text): ``tid`` is a 64-bit fingerprint of the text and its length, null for a null text."""
     text = F.col(text_col).cast("string")
@@ -243,36 +254,46 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Within a band's bucket, members are first compared with three leaders (one
     per priority order, found by aggregation), whatever the bucket's size, so
-    a large group of copies costs a few links a member.  Then only pairs that
-    still lie in different components are compared, if enough draws agree.
+    a large group of copies costs a few links a member.  Then pairs of a bucket
+    that still lie in different components are compared, unless what each has
+    for itself alone shows that they cannot be similar enough.
     """
     bounded_batches(docs.sparkSession)
     rows = text_ids(docs, id_col, text_col)
     n_docs = docs.count()
     idf = idf_weights(document_frequencies(rows), n_docs)
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
     texts = rows.where("tid IS NOT NULL").select("tid", "text")
-    sampled = written(_sampled(texts, idf, bands, band_rows), "draws")
+    sampled = written(_sampled(texts, shared, bands, band_rows), "draws")
 
     members = sampled.select(F.explode("keys").alias("key"), "tid", "mass")
     orders = [F.col("tid"), F.xxhash64("tid", F.lit(1)), F.xxhash64("tid", F.lit(2))]
     leaders = members.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.struct(o.alias("o"), "tid")).alias(f"p{i}") for i, o in enumerate(orders)]).where("n > 1")
-    buckets = written(leaders.select("key", "n", F.array_distinct(F.array(*[f"p{i}.tid" for i in range(len(orders))])).alias("leaders")), "buckets")
-    listed = members.join(buckets, "key")
+    buckets = leaders.select("key", "n", F.array_distinct(F.array(*[f"p{i}.tid" for i in range(len(orders))])).alias("leaders"))
+    listed = written(members.join(buckets, "key"), "buckets")
+    wanted = listed.select("tid").distinct()
+    one_each = texts.join(wanted.hint("shuffle_hash"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    packed = written(_packed(one_each), "shingles")
     stars = listed.select(F.explode("leaders").alias("b"), F.col("tid").alias("a")).where("a <> b")
-    stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = _verified(stars, texts, idf, least)
+    stars = written(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    links = _verified(stars, packed, shared, least)
     parts = written(connected_components(links), "parts")
 
     # Buckets whose members are not yet of one component: compare across components.
     placed = listed.where("n > 2").select("key", "tid", "mass").join(parts.withColumnRenamed("node", "tid"), "tid", "left").withColumn("component", F.coalesce("component", "tid"))
+    placed = written(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_members = written(placed.join(mixed, "key", "left_semi").join(sampled.select("tid", "draws"), "tid"), "open")
-    x = open_members.select("key", F.col("tid").alias("a"), F.col("mass").alias("mass_a"), F.col("component").alias("c_a"), F.col("draws").alias("draws_a"))
-    y = open_members.select("key", F.col("tid").alias("b"), F.col("mass").alias("mass_b"), F.col("component").alias("c_b"), F.col("draws").alias("draws_b"))
-    close = (F.col("mass_a") >= least * F.col("mass_b")) & (F.col("mass_b") >= least * F.col("mass_a"))
+    placed = placed.join(mixed, "key", "left_semi")
+    own = written(_own_mass(packed.join(placed.select("tid").distinct(), "tid", "left_semi"), shared), "own")
+    open_members = placed.join(own, "tid", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    # A text with too much of its own is similar enough to none, whatever the other text is.
+    open_members = written(open_members.where(F.col("mass") - F.col("own") >= (least - 1e-9) * F.col("mass")), "open")
+    x = open_members.select("key", F.col("tid").alias("a"), F.col("mass").alias("mass_a"), F.col("component").alias("c_a"), (F.col("mass") - F.col("own")).alias("rest_a"))
+    y = open_members.select("key", F.col("tid").alias("b"), F.col("mass").alias("mass_b"), F.col("component").alias("c_b"), (F.col("mass") - F.col("own")).alias("rest_b"))
+    most = F.least("rest_a", "rest_b")
+    close = most >= (least - 1e-9) * (F.col("mass_a") + F.col("mass_b") - most)
     across = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & close).select("a", "b")
-    tested = across.join(stars.distinct(), ["a", "b"], "left_anti")
-    more = _verified(tested, texts, idf, least)
+    more = _verified(across.join(stars, ["a", "b"], "left_anti"), packed, shared, least)
     parts = written(connected_components(links.unionByName(more)), "parts")
 
     classed = rows.select("doc_id", "tid", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
@@ -282,7 +303,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # Salted, so that the copies of one hot text spread over many tasks.
     salts = 16
     heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = classed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(heads, ["part", "salt"], "left")
+    out = classed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(heads.hint("merge"), ["part", "salt"], "left")
     return out.select("doc_id", "tid", F.coalesce("head", "doc_id").alias("class_id"))
 
 
@@ -296,4 +317,4 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     classes = near_duplicate_classes(docs, **options).where("doc_id <> class_id").select("doc_id", "tid").distinct()
     text = F.col(f"`{text_col}`").cast("string")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text, F.length(text)).alias("tid"))
-    return whole.join(classes, ["doc_id", "tid"], "left_anti").select("row.*")
+    return whole.join(classes.hint("merge"), ["doc_id", "tid"], "left_anti").select("row.*")

@@ -206,7 +206,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = text_spans(rows, heads, size, anchor)
     counted = rows.select("doc_id", "tid", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     found = _salted(spans.groupBy("tid").agg(F.collect_list(F.struct("role", "start_word", "end_word")).alias("spans")))
-    placed = counted.join(_salted(heads), ["tid", "salt"]).join(found, ["tid", "salt"], "left")
+    placed = counted.join(_salted(heads).hint("merge"), ["tid", "salt"]).join(found.hint("merge"), ["tid", "salt"], "left")
     whole = lambda role: F.array(F.struct(F.lit(role).alias("role"), F.lit(0).alias("start_word"), F.col("words").cast("int").alias("end_word")))
     empty = F.array().cast("array<struct<role:string,start_word:int,end_word:int>>")
     own = F.coalesce("spans", empty)
@@ -232,7 +232,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     extra = written(heads.where("copies > 1").join(spans, "tid", "full").select("tid", "head", "copies", "spans"), "cuts")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(text.isNotNull(), F.xxhash64(text, F.length(text))).alias("tid"))
     whole = whole.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    joined = whole.join(_salted(extra), ["tid", "salt"], "left")
+    joined = whole.join(_salted(extra).hint("merge"), ["tid", "salt"], "left")
     words = F.regexp_count(F.col("row")[text_col].cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))
     copy = (F.col("copies") > 1) & (words >= size) & (F.coalesce(F.col("row")[id_col].cast("bigint"), F.lit((1 << 63) - 1)) != F.col("head"))
     joined = joined.where(~F.coalesce(copy, F.lit(False))).select("row", "spans", F.col("row")[text_col].cast("string").alias("text"))
