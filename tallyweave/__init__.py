@@ -1,0 +1 @@
+"""Survey calibration analytics on Spark: profiling, retrieval, sampling, calibration and validation as DataFrame operators."""
