@@ -112,4 +112,5 @@ def scale_position(j: ColumnLike, k: ColumnLike, low: float = 1.0, high: float =
 
 def uniform(i: ColumnLike) -> Column:
     """A reproducible draw in [0, 1) for the number i: (1103515245 i + 12345) mod 2^31 over 2^31."""
-    return F.pmod(col(i).cast("bigint") * F.lit(1103515245) + F.lit(12345), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    i = F.pmod(col(i).cast("bigint"), F.lit(1 << 31))
+    return F.pmod(i * F.lit(1103515245) + F.lit(12345), F.lit(1 << 31)) / F.lit(float(1 << 31))
