@@ -287,12 +287,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     own = written(_own_mass(packed.join(placed.select("tid").distinct(), "tid", "left_semi"), shared), "own")
     open_members = placed.join(own, "tid", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
     # A text with too much of its own is similar enough to none, whatever the other text is.
-    open_members = written(open_members.where(F.col("mass") - F.col("own") >= (least - 1e-9) * F.col("mass")), "open")
-    x = open_members.select("key", F.col("tid").alias("a"), F.col("mass").alias("mass_a"), F.col("component").alias("c_a"), (F.col("mass") - F.col("own")).alias("rest_a"))
-    y = open_members.select("key", F.col("tid").alias("b"), F.col("mass").alias("mass_b"), F.col("component").alias("c_b"), (F.col("mass") - F.col("own")).alias("rest_b"))
+    open_members = open_members.where(F.col("mass") - F.col("own") >= (least - 1e-9) * F.col("mass"))
+    open_members = written(open_members.join(sampled.select("tid", "keys"), "tid"), "open")
+    x = open_members.select("key", F.col("keys").alias("keys_a"), F.col("tid").alias("a"), F.col("mass").alias("mass_a"), F.col("component").alias("c_a"), (F.col("mass") - F.col("own")).alias("rest_a"))
+    y = open_members.select("key", F.col("keys").alias("keys_b"), F.col("tid").alias("b"), F.col("mass").alias("mass_b"), F.col("component").alias("c_b"), (F.col("mass") - F.col("own")).alias("rest_b"))
     most = F.least("rest_a", "rest_b")
     close = most >= (least - 1e-9) * (F.col("mass_a") + F.col("mass_b") - most)
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & close).select("a", "b")
+    # A pair meets once: in the first bucket that both are in.
+    once = F.array_intersect("keys_a", "keys_b")[0] == x["key"]
+    across = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & close & once).select("a", "b")
     more = _verified(across.join(stars, ["a", "b"], "left_anti"), packed, shared, least)
     parts = written(connected_components(links.unionByName(more)), "parts")
 
