@@ -1,0 +1,252 @@
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tallyweave.llm import ann, bpe, langid, license_scan, mixing, near_dedup, quality, queries, sharding, suffix_dedup, warc
+from tallyweave.llm.shared import connected_components
+
+WORD = r"[^\x20\x09-\x0D]+"
+BPE_FILE = queries.public_file("word_bpe_49k.json")
+VOCABULARY = queries.public_file("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Random texts with planted exact copies, near copies and shared passages."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(4000)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    texts = [text(rnd.randint(5, 300)) for _ in range(60)]
+    texts += [texts[i] for i in (3, 3, 10)]
+    for i in (5, 6, 7):
+        own = texts[i].split()
+        own[len(own) // 2] = "changed"
+        texts.append(" ".join(own))
+    passage = text(55)
+    texts += [f"{text(20)} {passage} {text(30)}" for _ in range(4)]
+    return spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def test_bpe_equals_library(spark, edge):
+    library = Tokenizer.from_file(BPE_FILE)
+    for r in edge.join(bpe.bpe_digests(edge, BPE_FILE), "doc_id").dropDuplicates(["doc_id"]).collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_bpe_words_equal_library():
+    library, rnd = Tokenizer.from_file(BPE_FILE), random.Random(1)
+    encoder = bpe.TrieEncoder(bpe.tokenizer_definition(BPE_FILE), cache_words=500)
+    texts = ["".join(rnd.choice("abcdeinthgr .,'<|>ΣσİßéÉ́ \x1c\n12٣漢😀ﬁK") for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
+    texts += ["".join(rnd.choice("aehinorst") for _ in range(rnd.randint(1, 14))) for _ in range(3000)]
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encoder.encode(t) == e.ids
+        assert encoder.decode(e.ids) == library.decode(e.ids, skip_special_tokens=False)
+
+
+def test_near_duplicates_equal_brute_force(corpus):
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(corpus).collect()}
+    sets = {}
+    for r in corpus.collect():
+        w = r.text.lower().split()
+        sets[r.doc_id] = collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        x, y = sets[a], sets[b]
+        least = sum(min(x[g], y[g]) for g in x if g in y)
+        if least >= 0.8 * (x.total() + y.total() - least):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert got == {d: root(d) for d in sets}
+    assert len(set(got.values())) < len(got)
+
+
+def test_repeats_equal_brute_force(corpus):
+    got, cut = collections.defaultdict(set), collections.defaultdict(set)
+    for r in suffix_dedup.repeated_spans(corpus).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+        if r.role == "repeat":
+            cut[r.doc_id].update(range(r.start_word, r.end_word))
+    rows = sorted((r.doc_id, r.text.split()) for r in corpus.collect())
+    times = collections.Counter(tuple(w[i : i + 50]) for _, w in rows for i in range(len(w) - 49))
+    want, later, seen = collections.defaultdict(set), collections.defaultdict(set), set()
+    for d, w in rows:
+        for i in range(len(w) - 49):
+            key = tuple(w[i : i + 50])
+            if times[key] > 1:
+                want[d].update(range(i, i + 50))
+                if key in seen:
+                    later[d].update(range(i, i + 50))
+                seen.add(key)
+    assert got == want and cut == later and want
+    kept = {r.doc_id: r for r in suffix_dedup.without_repeats(corpus).collect()}
+    for d, w in rows:
+        rest = [x for i, x in enumerate(w) if i not in later[d]]
+        assert (kept[d].text.split() == rest and kept[d].n_chars == len(kept[d].text)) if rest else d not in kept
+
+
+def test_mix_meets_targets(corpus):
+    rows = mixing.mix_sources(corpus).collect()
+    again = mixing.mix_sources(corpus).collect()
+    assert sorted(rows) == sorted(again) and len(rows) == corpus.count()
+    total = sum(r.size for r in rows)
+    for (size, target), own in itertools.groupby(sorted(rows, key=lambda r: (r.source_size, r.target)), key=lambda r: (r.source_size, r.target)):
+        own = list(own)
+        assert sum(r.size for r in own) == size and target <= 3 * size + 1e-6
+        assert abs(sum(r.taken for r in own) - target) < 0.05 * target
+    assert abs(sum({(r.source_size, r.target) for r in rows} and [t for _, t in {(r.source_size, r.target) for r in rows}]) - total) < 1e-6
+    assert all(r.taken <= 3 * r.size for r in rows)
+
+
+def test_flight_keeps_both_totals():
+    size = np.arange(1, 400) % 37
+    p = mixing.move_to_faces(size, np.full(399, 0.37), [1, 2])
+    assert ((p > 0) & (p < 1)).sum() <= 2
+    assert abs((p * size).sum() - 0.37 * size.sum()) < 1e-6 and abs(p.sum() - 0.37 * 399) < 1e-6
+
+
+def test_shards(edge, corpus):
+    for docs in (edge, corpus):
+        rows, n = sharding.feistel_shards(docs).collect(), docs.count()
+        by = collections.defaultdict(list)
+        for r in rows:
+            by[r.shard].append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in by.values()) and len(rows) == n
+        assert max(map(len, by.values())) - min([len(by[k]) for k in range(8)]) <= 1
+        texts = {r.doc_id: r.text for r in docs.collect()}
+        for r in rows:
+            raw = (texts[r.doc_id] or "").encode()
+            assert r.size == len(raw) + 1 and r.text_crc32 == (None if texts[r.doc_id] is None else zlib.crc32(raw))
+
+
+def test_permutation(spark):
+    for n in (1, 2, 7, 64, 1000):
+        assert sorted(r[0] for r in spark.range(n).select(sharding.permute("id", n, 3)).collect()) == list(range(n))
+
+
+def test_quality_equals_brute_force(edge, corpus):
+    for docs in (edge, corpus):
+        texts = collections.defaultdict(list)
+        for r in docs.collect():
+            texts[r.doc_id].append(r.text or "")
+        for r in quality.quality_rules(docs).collect():
+            t = texts[r.doc_id][0]
+            w = re.findall(WORD, t)
+            times = collections.Counter(zip(w, w[1:], w[2:]))
+            again = {i + k for i in range(len(w) - 2) if times[tuple(w[i : i + 3])] > 1 for k in range(3)}
+            lines = [x for x in t.split("\n") if re.search(WORD, x)]
+            want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again))
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+            assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and (not r.kept or not r.base_failed)
+
+
+def test_language(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    model = langid.fit_languages(docs.where(~queries.held_out()).select("text", "lang"), VOCABULARY, most_docs=20)
+    rows = langid.with_language(docs, model).select("row.*", "lang_pred", "score", queries.held_out().alias("h") if False else F.lit(1)).collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_forward_sums_all_segmentations():
+    pieces = [b"a", b"b", b"ab", b" a", b" "]
+    table = langid.PieceTable(sorted({*pieces, *[bytes([b]) for b in range(256)]}), 12)
+    logp = np.full((table.size, 1), -20.0)
+    share = {b" ": 0.3, b" a": 0.2, b"a": 0.1, b"b": 0.25, b"ab": 0.15}
+    for p, v in share.items():
+        logp[table.find(np.array([table.hash_of(p)], np.uint64))[0], 0] = np.log(v)
+    got = langid.word_scores(np.frombuffer(b"ab", np.uint8), np.array([0]), np.array([2]), table, langid.scaled_table(logp, table))
+    assert abs(got[0, 0] - np.log(0.3 * 0.1 * 0.25 + 0.3 * 0.15 + 0.2 * 0.25)) < 1e-9
+
+
+def test_archives(spark):
+    long = "é" * 300_000
+    rows = [(1, "u", "x" * 200), (2, "u v", "x" * 200), (3, None, "y"), (4, "u", "y"), (5, "u", None), (6, "u", long), (None, "u", long), (7, "u", "a\r\n\r\nWARC/1.1\r\n\r\nb" * 20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r for r in warc.archive_round_trip(spark, pages, chunk_bytes=1000).collect()}
+    for page_id, _, html in rows:
+        raw = (html or "").encode()
+        assert (got[page_id].payload_bytes, got[page_id].payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
+    assert {k: (r.record_type, r.refers_to) for k, r in got.items() if r.record_type == "revisit"} == {2: ("revisit", 1), None: ("revisit", 6)}
+    assert warc.archive_round_trip(spark, pages.limit(0)).count() == 0
+
+
+def test_nearest(spark):
+    vectors = queries.table(spark, "/root/testdata/sf0.01", "embeddings")
+    odd = spark.createDataFrame([(100000, None, 1), (100020, [0.0] * 64, 1), (100040, [float("nan")] * 64, 1), (None, [1.0] * 64, 1), (100060, [None] + [1.0] * 63, 1)], vectors.schema)
+    rows = ann.nearest(vectors.union(odd), shard=200).collect()
+    p = vectors.toPandas()
+    x, ids = np.stack(p.embedding).astype(float), p.vec_id.to_numpy()
+    found, asked = collections.defaultdict(dict), [i for i in range(len(ids)) if ids[i] % 20 == 0]
+    for r in rows:
+        found[r.query_id][r.vec_id] = r.score
+    hits = 0
+    for i in asked:
+        score = x @ x[i]
+        best = [j for j in np.lexsort((ids, -score)) if j != i][:20]
+        hits += len({int(ids[j]) for j in best} & set(found[ids[i]]))
+        assert len(found[ids[i]]) == 20 and all(abs(score[np.flatnonzero(ids == v)[0]] - s) < 1e-12 for v, s in found[ids[i]].items())
+    assert set(found) == {int(ids[i]) for i in asked} and hits >= 0.9 * 20 * len(asked)
+
+
+def test_pigeonhole_finds_every_code():
+    packed = np.random.default_rng(0).integers(0, 256, (500, 8)).astype(np.uint8)
+    index = ann.SubstringIndex(packed)
+    for radius in (5, 20, 27):
+        assert index.within(packed[0], radius).tolist() == np.flatnonzero(ann.distances(packed[0], packed) <= radius).tolist()
+
+
+def test_licences(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    found = {(r.doc_id, r.paragraph): r for r in license_scan.licence_finds(docs).where("confirmed").collect()}
+    want = {(r.doc_id, i): x for r in docs.collect() for i, x in enumerate(r.text.split("\n")) if re.search("(?i)licen[sc]e", x)}
+    assert set(found) == set(want)
+    names = {"apache": "Apache", "mit": "MIT", "gpl": "GNU General", "cc-by-nc": "BY-NC"}
+    assert all(names[r.family] in want[k] for k, r in found.items())
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a bigint, b bigint")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_edge_rows_and_empty_tables(spark, edge, empty):
+    model = langid.fit_languages(edge.select("text", "lang"), VOCABULARY, rounds=1)
+    licences = license_scan.fit_licences(edge)
+    forms = {
+        "near": (lambda d: near_dedup.near_duplicate_classes(d), 10),
+        "kept": (lambda d: near_dedup.keep_one_of_each(d), 9),
+        "spans": (lambda d: suffix_dedup.repeated_spans(d), None),
+        "cut": (lambda d: suffix_dedup.without_repeats(d), None),
+        "licences": (lambda d: license_scan.licence_finds(d, licences), 0),
+        "mix": (lambda d: mixing.mix_sources(d), 10),
+        "mixed": (lambda d: mixing.mixed_documents(d), None),
+        "bpe": (lambda d: bpe.bpe_digests(d, BPE_FILE), 10),
+        "tokens": (lambda d: bpe.bpe_tokens(d, BPE_FILE), 10),
+        "quality": (lambda d: quality.quality_rules(d), 10),
+        "shards": (lambda d: sharding.feistel_shards(d), 10),
+        "language": (lambda d: langid.with_language(d, model), 10),
+    }
+    for name, (form, n) in forms.items():
+        got = form(edge).collect()
+        assert n is None or len(got) == n, name
+        assert form(empty).collect() == [], name
+    classes = {(r.doc_id): r.class_id for r in near_dedup.near_duplicate_classes(edge).collect()}
+    assert classes[7] == classes[8] == 7 and classes[1] == 1 and classes[3] == 3
+    und = {r.row.doc_id for r in langid.with_language(edge, model).where("lang_pred = 'und'").collect()}
+    assert und == {1, 2, 3}
