@@ -10,7 +10,7 @@ code within r.  Those are ranked by the exact inner product of the vectors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +126,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, wanted: float = 0.
     size = lengths[0][0] if lengths else 0
     usable = usable.where(F.size("v") == size)
     population = lengths[0][1] if lengths else 0
-    picked = usable.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(sample).toArrow()
+    # A hash threshold first: tasks send about ``sample`` vectors in all, however many tasks there are.
+    pick = F.xxhash64("vec_id", F.lit(9))
+    rare = F.pmod(pick, F.lit(1 << 31)) < F.lit(min(1 << 31, math.ceil((1 << 31) * 1.5 * sample / max(population, 1))))
+    picked = usable.where(rare).orderBy(pick, "vec_id").limit(sample).toArrow()
     fitted = fit_codes(_matrix(picked["v"]), k, wanted, population) if picked.num_rows else ([], 0)
     shared = spark.sparkContext.broadcast((fitted[0], fitted[1] if radius is None else radius))
     shards, blocks = max(1, -(-population // shard)), max(1, -(-population // (every * query_block)))

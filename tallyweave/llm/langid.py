@@ -172,12 +172,16 @@ def fit_pieces(texts: pa.Array, table: PieceTable, rounds: int, smooth: float) -
 def sample_by_language(docs: DataFrame, most: int) -> DataFrame:
     """At most ``most`` labelled texts of each language (and ties of their hash), picked by hash.
 
-    ``docs`` has text and lang.  Only hashes are ranked and shuffled; their
-    list is as long as languages times ``most``, and texts are read once more.
+    ``docs`` has text and lang.  Hashes under a threshold from the language's
+    count are ranked, about three times ``most`` a language, so that no task
+    gets a share of a frequent language; then texts are read once more.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("pick", F.xxhash64("text", F.lit(17)))
     order = Window.partitionBy("lang").orderBy("pick")
-    picks = usable.select("lang", "pick").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("lang", "pick")
+    counts = F.broadcast(usable.groupBy("lang").agg(F.count("*").alias("of")))
+    rare = F.pmod("pick", F.lit(1 << 31)) * F.col("of") < F.lit(3 * most) * F.lit(1 << 31)
+    few = usable.select("lang", "pick").join(counts, "lang").where(rare).select("lang", "pick").distinct()
+    picks = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("lang", "pick")
     return usable.join(F.broadcast(picks), ["lang", "pick"], "left_semi").select("lang", "text")
 
 

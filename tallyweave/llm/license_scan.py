@@ -9,6 +9,7 @@ back.  What it finds is compared with the family's templates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,7 +208,9 @@ def fit_licences(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_PAR
     """
     lines = docs.select(F.explode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line")).where(F.col("line").rlike(r"\S"))
     lines = lines.select(F.xxhash64("line", F.lit(seed)).alias("h"), F.substring("line", 1, 1000).alias("line"))
-    rare = F.pmod("h", F.lit(64)) == 0
+    # A hash threshold from the number of lines: tasks send about ``most`` lines in all, however many tasks there are.
+    n_lines = lines.count()
+    rare = F.pmod("h", F.lit(1 << 31)) < F.lit(min(1 << 31, math.ceil((1 << 31) * 1.5 * most / max(n_lines, 1))))
     sample = [r.line for r in lines.where(rare).dropDuplicates(["h"]).orderBy("h").limit(most).collect()]
     families = [*TEMPLATES, UNKNOWN]
     known = LicenceModel(families, np.zeros((1, 1)), 1.0, 0.5)
