@@ -218,10 +218,10 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
     clash; repeated rows stay.  No shuffle.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logp, model.pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        fitted = LanguageModel(*shared.value)
         table = PieceTable(fitted.pieces)
         scaled = scaled_table(fitted.logp, table)
         for batch in batches:

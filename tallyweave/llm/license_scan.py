@@ -120,8 +120,11 @@ class Paragraphs:
         keep = np.ones(2 * n, bool)
         last = np.cumsum(count) - 1
         keep[2 * last + 1] = False
-        self.feature = both[keep]
-        self.first = np.append(0, np.cumsum(2 * count - 1))
+        # A feature counts once in a paragraph.
+        owner = np.repeat(np.arange(len(used)), 2 * count - 1)
+        pairs = np.unique(owner << FEATURE_BITS | both[keep])
+        self.feature = (pairs & ((1 << FEATURE_BITS) - 1)).astype(np.int32)
+        self.first = np.searchsorted(pairs >> FEATURE_BITS, np.arange(len(used) + 1))
 
 
 def paragraphs_of(texts: list[str]) -> Paragraphs:
@@ -130,7 +133,7 @@ def paragraphs_of(texts: list[str]) -> Paragraphs:
 
 
 def logits(p: Paragraphs, weights: np.ndarray) -> np.ndarray:
-    """Linear scores [paragraph, class]; features count by one over the root of their number; the last weight row is the bias."""
+    """Linear scores [paragraph, class]; distinct features count by one over the root of their number; the last weight row is the bias."""
     n = np.diff(p.first)
     total = np.add.reduceat(weights[p.feature], p.first[:-1], axis=0) if len(n) else np.zeros((0, weights.shape[1]))
     return total / np.sqrt(n)[:, None] + weights[-1]
@@ -238,7 +241,7 @@ def fit_licences(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_PAR
     temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
     found = 1 - softmax(scores / temperature)[truth == len(families) - 1][:, -1]
     least = max(0.5, float(np.quantile(found, 0.999)) if len(found) else 0.5)
-    return LicenceModel(families, weights.astype(np.float32), temperature, min(least, 0.9))
+    return LicenceModel(families, weights.astype(np.float32), temperature, min(least, 0.99))
 
 
 def licence_finds(docs: DataFrame, model: LicenceModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,10 +254,11 @@ def licence_finds(docs: DataFrame, model: LicenceModel | None = None, id_col: st
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model or fit_licences(docs, text_col))
+    fitted = model or fit_licences(docs, text_col)
+    shared = spark.sparkContext.broadcast((fitted.families, fitted.weights, fitted.temperature, fitted.least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        fitted = LicenceModel(*shared.value)
         for batch in batches:
             data, offsets = buffers(batch.column(1).cast(pa.large_string()))
             for low, high in blocks(offsets, 1 << 20):
