@@ -44,7 +44,7 @@ def byte_letters() -> list[str]:
 class TrieEncoder:
     """Encoder and decoder for one tokenizer file with word ends (vocabulary, merges, normaliser, split pattern)."""
 
-    def __init__(self, definition: str, cache_words: int = 200_000):
+    def __init__(self, definition: str, cache_words: int = 400_000):
         spec = json.loads(definition)
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
@@ -125,10 +125,9 @@ class TrieEncoder:
             else:
                 right, limit = parts[right][0], y + 1
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of each word (byte letters, sorted), by depth-first traversal of their trie."""
         vocab, may_follow, fits, inner, final, end = self.vocab, self.may_follow, self.fits, self.inner, self.final, self.end
-        out: list[list[int]] = []
         last: list[int] = [-1]  # last[d]: last token of the first d letters of the path
         size: list[int] = [0]
         before = ""
@@ -139,13 +138,14 @@ class TrieEncoder:
             del last[depth + 1 :], size[depth + 1 :]
             n = len(word)
             for d in range(depth + 1, n + 1):
-                three = word[d - 3 : d] if d > 3 else word[:d]
+                three = word[d - 3 if d > 3 else 0 : d]
                 if d == n:
-                    tail, k = end, d - final.get(three, 2)
+                    k, own = d - final.get(three, 2), word + end
+                    stop = d + len(end)
                 else:
-                    tail, k = "", d - inner.get(three, 2)
+                    k, own, stop = d - inner.get(three, 2), word, d
                 for k in range(k if k > 0 else 0, d):
-                    token = vocab.get(word[k:d] + tail)
+                    token = vocab.get(own[k:stop])
                     if token is not None:
                         if k == 0:
                             break
@@ -158,10 +158,10 @@ class TrieEncoder:
             while d:
                 ids.append(last[d])
                 d -= size[d]
-            out.append(ids[::-1])
+            ids.reverse()
+            yield ids
             last.pop(), size.pop()
             before = word
-        return out
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that neither generation of the cache holds.
@@ -202,7 +202,7 @@ class TrieEncoder:
         text = self.normal(text)
         return (self.latin if text.isascii() or not _BEYOND_LATIN.search(text) else self.pattern).findall(text)
 
-    def digest(self, texts: list[str], most_words: int = 400_000) -> Iterator[tuple[int, str, str]]:
+    def digest(self, texts: list[str], most_words: int = 1_000_000) -> Iterator[tuple[int, str, str]]:
         """Token count and digests of ids and decoded text, in batches of about ``most_words`` words."""
         group: list[list[str]] = []
         held = 0
@@ -251,8 +251,8 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TrieEncoder(shared.value)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 2048):
+                part = batch.slice(low, 2048)
                 rows = list(encoder.digest([t or "" for t in part.column(1).to_pylist()]))
                 n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
