@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import columns as C
-from tallyweave.operators import calibration, distributions, generation, profile, retrieval, sampling, validation
+from tallyweave.operators import calibration, distributions, generation, profile, reports, retrieval, sampling, validation
 from tallyweave.sources import files
 
 
@@ -123,3 +123,28 @@ def test_slots_cover_the_unit_interval(spark):
     slots = sorted((r.lo_, r.hi_) for r in sampling.weight_slots(rows, "w", "k").collect())
     assert slots[0][0] == 0 and slots[-1][1] == 1 and all(a[1] == b[0] for a, b in zip(slots, slots[1:], strict=False))
     assert sampling.draw(sampling.weight_slots(rows, "w", "k"), sampling.uniform_draws(spark, 300)).count() == 300
+
+
+def test_student_t_equals_tables():
+    for df, t in ((1, 12.7062), (4, 2.776445), (9, 2.262157), (30, 2.042272), (100000, 1.959988)):
+        assert reports.student_p(t, df) == pytest.approx(0.05, abs=2e-6)
+        assert reports.student_quantile(0.05, df) == pytest.approx(t, rel=1e-4)
+    assert reports.student_p(0.0, 5) == pytest.approx(1.0)
+
+
+def test_paired_t_test(spark):
+    rows = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", 3.0, 6.0), ("b", 1.0, 1.0), ("c", None, 1.0), ("b", 2.0, 2.0)], "g string, x double, y double")
+    got = {r.g: r for r in reports.paired_t_test(rows, ["g"], "x", "y").collect()}
+    a = got["a"]  # differences -1, -2, -3: t = -2 / (1 / sqrt 3) with 2 degrees of freedom
+    assert a.t == pytest.approx(-(12**0.5)) and a.p == pytest.approx(0.0741799, abs=1e-6) and a.wins == 3
+    assert (a.ci_low, a.ci_high) == pytest.approx((-2 - 4.302653 / 3**0.5, -2 + 4.302653 / 3**0.5), abs=1e-5)
+    assert set(got) == {"a", "b"} and got["b"].p is None and got["b"].ci_low is None
+
+
+def test_report_edges(spark):
+    codes = spark.createDataFrame([("p", 36), ("p", None), ("q", 36), ("q", 7)], "item string, code int")
+    got = sorted((r.item, r.code, r["shift"]) for r in reports.repaired_codes(codes, ["item"], "code").where("code IS NOT NULL").collect())
+    assert got == [("p", 1, 35), ("q", 7, None), ("q", 36, None)]
+    shares = spark.createDataFrame([("a", "1", 1.0), ("b", "x", 1.0), ("c", "2", 0.0), ("d", None, 1.0)], "item string, cat string, weight double")
+    assert {r.item: r.usable for r in reports.items_in_range(shares, ["item"], 7).collect()} == {"a": True, "b": False, "c": False, "d": False}
+    assert [values(spark, reports.signed_number(F.lit(x).cast("double"))) for x in (None, float("nan"), 1.0, -0.5)] == ["n/a", "n/a", "+1.00", "-0.50"]
