@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import columns as C
 from tallyweave.operators import distributions, reports, sampling
-from tallyweave.plans.catalogue import HIST, LCG, NN_CASES, event_histogram, nn_cases, query, read, region_codes, rounded
+from tallyweave.plans import generate
+from tallyweave.plans.catalogue import HIST, LCG, NN_CASES, TAX_SHARES, event_histogram, nn_cases, query, read, region_codes, rounded, tax_cuts
 
 CODES = "c AS (SELECT p_partkey, p_partkey % 5 AS item, p_size % 7 + CASE p_partkey % 5 WHEN 0 THEN 36 WHEN 1 THEN 8 WHEN 2 THEN 35 ELSE 1 END AS code FROM part)"
 
@@ -119,3 +120,43 @@ def q_key_values(spark, d):
 def q_signed_number(spark, d):
     x = F.when(F.col("value") <= 100, F.floor("value").cast("double") - 50)
     return read(spark, d, "events").select("event_id", reports.signed_number(x).alias("shown"))
+
+
+def checksum_provider(batch: dict) -> str:
+    """A stand-in whose scores SQL can state: (37 person + 11 item) mod 101, as hundredths; persons from 0, items from 1."""
+    import json
+
+    items = range(1, int(batch["n_items"]) + 1)
+    return json.dumps([{f"item_{i}": (37 * p + 11 * i) % 101 / 100 for i in items} for p in range(int(batch["n_people"]))])
+
+
+def customer_request(spark, d):
+    people = read(spark, d, "customer")
+    scores = generate.scored(people, "c_custkey", F.col("c_name"), F.pmod("c_custkey", F.lit(16)), 3, checksum_provider)
+    tiers = F.explode(F.array(*[F.struct(F.lit(i).alias("item"), F.lit(t).alias("tier")) for i, t in enumerate(("high", "low", "moderate"), 1)])).alias("t")
+    targets = tax_cuts(spark, d).select("cuts", tiers).select("t.*", "cuts")
+    generic = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: i / F.lit(20.0)).alias("cuts"))
+    return generate.request(scores, "c_custkey", targets, generic, 7)
+
+
+REQUEST = f"""{TAX_SHARES}, pb AS (SELECT c_custkey, (row_number() OVER (PARTITION BY c_custkey % 16 ORDER BY c_custkey) - 1) % 8 AS person FROM customer),
+sc AS (SELECT c_custkey, item, ((37 * person + 11 * item) % 101) / 100.0::double AS raw FROM pb, range(1, 4) t(item)),
+pc AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY raw, c_custkey) / (count(*) OVER (PARTITION BY item))::double AS p FROM sc),
+rk AS (SELECT *, least(1 + (SELECT count(*) FROM cuts WHERE cum < p), (SELECT max(k) FROM cuts)) AS r, least(1 + (SELECT count(*) FROM range(1, 21) g(i) WHERE i / 20.0::double < p), 20) AS g FROM pc)"""
+
+
+@query(
+    f"""WITH {REQUEST} SELECT c_custkey, item, round_even(CASE WHEN item = 2 THEN 1 + (g - 1) * 6.0::double / 19 ELSE 1 + (r - 1) * 6.0::double / ((SELECT max(k) FROM cuts) - 1) END, 0)::BIGINT AS response,
+CASE WHEN item = 2 THEN 'population' ELSE 'calibrated' END AS source FROM rk"""
+)
+def q_generation_request(spark, d):
+    return rounded(customer_request(spark, d)[0])
+
+
+@query(
+    f"""WITH {REQUEST}, c AS (SELECT item, raw, count(*) AS c FROM sc GROUP BY 1, 2)
+SELECT item, CASE item WHEN 1 THEN 'high' WHEN 2 THEN 'low' ELSE 'moderate' END AS tier, sum(c)::BIGINT AS n, round((SELECT stddev_pop(raw) FROM sc WHERE sc.item = c.item), 6) AS raw_std, round(max(c) / sum(c)::double, 6) AS tie_concentration,
+(SELECT stddev_pop(raw) FROM sc WHERE sc.item = c.item) < 0.06 AS low_variance, max(c) / sum(c)::double > 0.8 AS high_ties, CASE WHEN item = 2 THEN 'population' ELSE 'calibrated' END AS source, 0::BIGINT AS n_missing FROM c GROUP BY 1"""
+)
+def q_request_coverage(spark, d):
+    return rounded(customer_request(spark, d)[1])

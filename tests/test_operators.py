@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import columns as C
 from tallyweave.operators import calibration, distributions, generation, profile, reports, retrieval, sampling, validation
+from tallyweave.plans import generate
 from tallyweave.sources import files
 
 
@@ -148,3 +149,15 @@ def test_report_edges(spark):
     shares = spark.createDataFrame([("a", "1", 1.0), ("b", "x", 1.0), ("c", "2", 0.0), ("d", None, 1.0)], "item string, cat string, weight double")
     assert {r.item: r.usable for r in reports.items_in_range(shares, ["item"], 7).collect()} == {"a": True, "b": False, "c": False, "d": False}
     assert [values(spark, reports.signed_number(F.lit(x).cast("double"))) for x in (None, float("nan"), 1.0, -0.5)] == ["n/a", "n/a", "+1.00", "-0.50"]
+
+
+def test_request_edges(spark):
+    scores = spark.createDataFrame([(k, i, None if (k, i) == (1, 1) else 0.1 * k) for k in range(1, 5) for i in (1, 2)], "k int, item int, raw double")
+    targets = spark.createDataFrame([(1, [0.5, 1.0], "high"), (2, [1.0], "high"), (3, None, "low")], "item int, cuts array<double>, tier string")
+    generic = spark.createDataFrame([([0.25, 0.5, 0.75, 1.0],)], "cuts array<double>")
+    dataset, coverage = generate.request(scores, "k", targets, generic, 4)
+    got = {(r.k, r.item): (r.response, r.source) for r in dataset.collect()}
+    assert got[1, 1] == (None, None) and [got[k, 1] for k in (2, 3, 4)] == [(1, "calibrated"), (4, "calibrated"), (4, "calibrated")]
+    assert [got[k, 2] for k in range(1, 5)] == [(i, "population") for i in range(1, 5)]  # one cut point: constant
+    report = {r.item: r for r in coverage.collect()}
+    assert report[1].n_missing == 1 and report[2].source == "population" and report[3].n is None
