@@ -103,7 +103,7 @@ def q_quota_sample(spark, d):
     people = sampling.filter_by_label(read(spark, d, "customer").where("c_acctbal BETWEEN 500 AND 9000"), "c_nationkey", region_codes(spark, d, ["asia"], "exact"), negate=True)
     counts = people.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
     cells = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("c_mktsegment", C.ratio("n", "total").alias("share"))
-    return rounded(reports.quota_sample(people, cells, 250, ["c_mktsegment"], "c_acctbal", "c_custkey").select("draw_no", "c_mktsegment", "c_custkey"))
+    return rounded(reports.quota_sample(people, cells, 250, ["c_mktsegment"], "c_acctbal", "c_custkey", segments=1).select("draw_no", "c_mktsegment", "c_custkey"))
 
 
 @query(
