@@ -25,6 +25,60 @@ def batches(df: DataFrame, key: str, size: int, by: list[str]) -> DataFrame:
     return df.withColumn("batch", F.floor(n / size)).withColumn("position", (n % size) + 1)
 
 
+def item_lines(df: DataFrame, text: str, separator: str = "\n") -> DataFrame:
+    """Rows with item_no, item and kind in the place of ``text``: its lines without outer spaces, blank ones left out, kind ``likert``.
+
+    item_no counts all lines from 0, so items keep their order; a null text gives none.
+    """
+    rest = [c for c in df.columns if c != text]
+    lines = df.select(*rest, F.posexplode(F.split(text, separator)).alias("item_no", "item"))
+    return lines.withColumn("item", F.trim("item")).where("item <> ''").withColumn("kind", F.lit("likert"))
+
+
+def item_table(likert: DataFrame, binary: DataFrame) -> DataFrame:
+    """(item_no, item, kind): likert items, then binary ones, each in their own order; both have item_no and item."""
+    both = likert.select("item_no", "item", F.lit("likert").alias("kind"), F.lit(0).alias("k_")).unionByName(binary.select("item_no", "item", F.lit("binary").alias("kind"), F.lit(1).alias("k_")))
+    return both.withColumn("item_no", F.row_number().over(Window.orderBy("k_", "item_no", "item")) - 1).drop("k_")
+
+
+#: Limits of one request: items, respondents, and the scales on offer.
+MOST_ITEMS, LEAST_PEOPLE, MOST_PEOPLE, SCALES = 50, 10, 1000, (4, 5, 7, 9)
+
+
+def check_request(n_items: int, n_people: int, scale: int, confirmed: bool = False) -> None:
+    """Raises a ValueError for a request without items or people, off the scales, or over the limits without ``confirmed``."""
+    if n_items < 1 or n_people < 1:
+        raise ValueError("a request needs items and respondents")
+    if scale not in SCALES:
+        raise ValueError(f"the scale has to be one of {SCALES}")
+    if not confirmed and (n_items > MOST_ITEMS or not LEAST_PEOPLE <= n_people <= MOST_PEOPLE):
+        raise ValueError(f"over {MOST_ITEMS} items, or respondents outside {LEAST_PEOPLE} to {MOST_PEOPLE}, need a confirmation")
+
+
+def require_rows(df: DataFrame, message: str) -> DataFrame:
+    """The table itself; a ValueError if it has no row."""
+    if df.isEmpty():
+        raise ValueError(message)
+    return df
+
+
+def persona(fields: dict[str, Column], age: Column) -> Column:
+    """A struct of the labelled fields (null becomes ``unknown``) and the age in whole years."""
+    named = [F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in fields.items()]
+    return F.struct(F.floor(age).cast("int").alias("age"), *named)
+
+
+def dummy_personas(spark, n: int, choices: dict[str, list[str]], seed: int = 0, ages: tuple[int, int] = (18, 89)) -> DataFrame:
+    """(person, age, the fields): n made-up people, uniform and reproducible."""
+    fields = [F.element_at(F.array(*map(F.lit, values)), (F.floor(_unit(seed, name) * len(values)) + 1).cast("int")).alias(name) for name, values in choices.items()]
+    age = (F.floor(_unit(seed, "age") * (ages[1] - ages[0] + 1)) + ages[0]).cast("int")
+    return spark.range(n).select(F.col("id").alias("person"), age.alias("age"), *fields)
+
+
+def _unit(seed: int, name: str) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(name)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 def prompt_text(df: DataFrame, by: list[str], persona: Column, position: str) -> DataFrame:
     """(by, prompt): numbered persona lines of each batch in order."""
     line = F.format_string("Person %d: %s", F.col(position), persona)

@@ -137,9 +137,10 @@ def multinomial_noise(cuts: DataFrame, by: list[str], n: int, repeats: int) -> D
     return means.groupBy(*by).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("noise"))
 
 
-def correlation_noise(r: Column, n: int) -> Column:
-    """Mean absolute gap between two correlations by chance alone."""
-    return F.lit(0.798 * 2**0.5) * (1 - r * r) / F.sqrt(F.lit(float(n - 1)))
+def correlation_noise(r: Column, n: int | Column) -> Column:
+    """Mean absolute gap between two correlations of n rows by chance alone; null for one row."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.try_divide(F.lit(0.798 * 2**0.5) * (1 - r * r), F.sqrt((n - 1).cast("double")))
 
 
 def balanced_batches(scales: list[tuple[str, int]], most: int = 30) -> list[list[str]]:

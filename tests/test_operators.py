@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import columns as C
-from tallyweave.operators import calibration, distributions, generation, profile, reports, retrieval, sampling, validation
+from tallyweave.operators import calibration, distributions, generation, profile, reports, retrieval, sampling, studies, validation
 from tallyweave.plans import generate
-from tallyweave.sources import files
+from tallyweave.sources import files, providers
 
 
 def values(spark, expr):
@@ -161,3 +161,68 @@ def test_request_edges(spark):
     assert [got[k, 2] for k in range(1, 5)] == [(i, "population") for i in range(1, 5)]  # one cut point: constant
     report = {r.item: r for r in coverage.collect()}
     assert report[1].n_missing == 1 and report[2].source == "population" and report[3].n is None
+
+
+def test_pairs_of_items(spark):
+    rows = [(1, r, i, float(r * i if i < 3 else 5)) for r in (1, 2, 3, 4) for i in (1, 2, 3)] + [(1, 9, 1, None), (1, 9, None, 1.0), (2, 1, 1, 1.0)]
+    got = {(r.batch, r.a, r.b): (r.n, r.r) for r in studies.pair_correlations(spark.createDataFrame(rows, "batch int, who int, item int, v double"), "batch", "who", "item", "v").collect()}
+    assert got == {(1, 1, 2): (4, pytest.approx(1.0)), (1, 1, 3): (4, None), (1, 2, 3): (4, None)}
+    assert studies.pair_correlations(spark.createDataFrame([], "batch int, who int, item int, v double"), "batch", "who", "item", "v").count() == 0
+
+
+def test_coverage_gate_edges(spark):
+    rows = [(1, 1, 0.8, False, 0.05), (1, 2, 0.7, True, 0.01), (2, 1, 0.6, True, 0.2), (2, 2, 0.5, True, 0.0), (3, 1, 0.6, True, 0.1), (4, 1, 0.1, True, 0.0), (5, 1, 0.6, False, 0.0)]
+    got = {r.query_id: r for r in studies.coverage_gate(spark.createDataFrame(rows, "query_id int, rank int, similarity double, quality boolean, e double"), "e").collect()}
+    assert [got[i].method for i in range(1, 6)] == ["single_best", "ensemble", "none", "none", "none"]
+    assert [got[i].confident for i in range(1, 6)] == [False, True, False, False, False]
+    assert got[2].error == pytest.approx(0.12 / 1.1) and got[2].n_used == 2 and [got[i].confident_single for i in range(1, 6)] == [False, False, True, False, False]
+
+
+def test_holdout_neighbours(spark):
+    curves = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.5, 1.0]), (3, None)], "id int, curve array<double>")
+    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 9, 0.8), (1, 3, 0.7)], "query_id int, vec_id int, similarity double")
+    got = {(r.query_id, r.vec_id): r.error for r in studies.holdout_neighbours(pairs, curves, "id").collect()}
+    assert got == {(1, 2): 0.25, (1, 3): None}
+
+
+def test_embedded_texts(spark):
+    rows = spark.createDataFrame([(1, "abc"), (2, None), (3, " "), (4, "abcd")], "id int, t string")
+    got = {r.id: r.embedding for r in providers.embedded(rows, "t", providers.hashed_letters(8), size=1).collect()}
+    assert got[2] is None and got[3] is None and all(sum(x * x for x in got[i]) == pytest.approx(1.0) for i in (1, 4))
+    assert providers.embedded(rows.limit(0), "t", providers.hashed_letters(8)).count() == 0
+
+
+def test_items_and_people(spark):
+    items = spark.createDataFrame([(1, "one\n\n two "), (2, None), (3, "")], "id int, t string")
+    assert sorted((r.id, r.item_no, r["item"]) for r in generation.item_lines(items, "t").collect()) == [(1, 0, "one"), (1, 2, "two")]
+    a, b = (spark.createDataFrame(rows, "item_no int, item string") for rows in ([(5, "x"), (1, "y")], [(0, "z")]))
+    assert [(r.item_no, r["item"], r.kind) for r in generation.item_table(a, b).orderBy("item_no").collect()] == [(0, "y", "likert"), (1, "x", "likert"), (2, "z", "binary")]
+    row = spark.range(1).select(generation.persona({"sex": F.lit(None).cast("string"), "region": F.lit("north")}, F.lit(41.9)).alias("p")).first().p
+    assert (row.age, row.sex, row.region) == (41, "unknown", "north")
+    people = [r.asDict() for r in generation.dummy_personas(spark, 300, {"sex": ["a", "b"]}, 3).orderBy("person").collect()]
+    assert people == [r.asDict() for r in generation.dummy_personas(spark, 300, {"sex": ["a", "b"]}, 3).orderBy("person").collect()]
+    assert {p["sex"] for p in people} == {"a", "b"} and all(18 <= p["age"] <= 89 for p in people)
+
+
+def test_limits_of_a_request(spark):
+    generation.check_request(50, 1000, 7)
+    generation.check_request(51, 5, 5, confirmed=True)
+    for bad in ((51, 100, 7), (10, 9, 7), (10, 100, 6), (0, 100, 7)):
+        with pytest.raises(ValueError):
+            generation.check_request(*bad)
+    with pytest.raises(ValueError, match="nobody"):
+        generation.require_rows(spark.range(0), "nobody is left")
+    assert generation.require_rows(spark.range(1), "nobody is left").count() == 1
+
+
+def test_batch_files_and_sinks(spark, tmp_path):
+    for name, text in (("resp_p1_b2", "who,x,y\n1,3,4\n2,bad,7\n"), ("cov_p1_b2", "item\nx\n"), ("resp_p1_b3", "who,z\n1,2\n"), ("other_p1_b3", "item\nz\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    (pair,) = files.paired_files(spark, f"file://{tmp_path}").collect()
+    assert (pair.partition, pair.batch) == (1, 2)
+    got = {(r.respondent, r["item"]): r.value for r in files.read_answers(spark, [(1, 2, pair.answers)]).collect()}
+    assert got == {("1", "x"): 3, ("1", "y"): 4, ("2", "x"): None, ("2", "y"): 7} and files.read_answers(spark, []).count() == 0
+    table = spark.createDataFrame([("b", 2.00050001), ("a", 0.1235), (None, 1.0)], "k string, v double")
+    files.write_map(table, f"file://{tmp_path}/map", "k", "v")
+    assert {r.key: r.value for r in files.read_map(spark, f"file://{tmp_path}/map", "double").collect()} == {"a": 0.1235, "b": 2.00050001}
+    assert sorted(r.v for r in files.rounded_numbers(table).collect()) == [0.124, 1.0, 2.001]
