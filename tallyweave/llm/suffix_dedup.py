@@ -67,70 +67,100 @@ def _first_seen(tids: np.ndarray, seen: set[int]) -> np.ndarray:
     return out
 
 
+#: What a task knows of a row: alone with its key so far, the least of several, or one of several but not the least.
+ALONE, LEAST, LATER = 0, 1, 2
+
+
+def _combined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Rows (key, order columns) of one batch, equal ones once, and each row's state among those of its key."""
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))[: len(order)]
+    columns = [c[new] for c in columns]
+    key = columns[0]
+    begins = np.append(True, key[1:] != key[:-1])[: len(key)]
+    ends = np.append(key[1:] != key[:-1], True)[: len(key)]
+    return [*columns, np.where(begins, np.where(ends, ALONE, LEAST), LATER).astype(np.int8)]
+
+
 def retained_suffixes(texts: DataFrame, size: int, anchor: int) -> DataFrame:
-    """(key, tid, place): hash of the first words, text and word number of every retained suffix."""
+    """(key, tid, place, state): hash of the first words, text and word number of every retained suffix; state as ``_combined`` gives it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             tids = batch.column(0).to_numpy()
             fresh = _first_seen(tids, seen)
+            parts = []
             for low, high, words in _text_blocks(batch, 1):
                 at = np.unique(passages(words, size, anchor)[1])
                 row = words.row[at] if len(at) else at
                 keep = fresh[low:high][row]
                 at, row = at[keep], row[keep]
                 h = window_hashes(words.hash, anchor)[at] if len(at) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(h)), pa.array(tids[low:high][row], pa.int64()), pa.array((at - words.first[row]).astype(np.int32))], names=["key", "tid", "place"]
-                )
+                parts.append([signed(h), tids[low:high][row], (at - words.first[row]).astype(np.int32)])
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(parts)], names=["key", "tid", "place", "state"])
 
-    return texts.select("tid", "text").mapInArrow(run, "key bigint, tid bigint, place int")
+    return texts.select("tid", "text").mapInArrow(run, "key bigint, tid bigint, place int, state byte")
 
 
 def sorted_neighbours(rows: DataFrame, order: list[str]) -> DataFrame:
     """Rows sorted by ``key`` and ``order`` that have the key of a different neighbour; ``first`` is true for the first of each key.
 
     ``order`` has to identify rows: equal ones (copies made by different tasks)
-    count once.  Rows are dealt by key and streamed in sorted order, one batch
-    and one row at a time; a key of any size is never held.
+    count once; a row that is known to come later than another of its key may
+    come out twice.  Such rows need no comparison and are dealt by ``order``,
+    so that of a common key only the least row of each batch goes to the
+    key's task.  The rows there are streamed in sorted order, one batch and
+    one row at a time.
     """
     columns = ["key", *order]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(*columns).repartition(n, "key").sortWithinPartitions(*columns)
+    deal = F.when(F.col("state") < LATER, F.col("key")).otherwise(F.xxhash64(*order))
+    dealt = rows.select(*columns, "state", deal.alias("deal")).repartition(n, "deal").sortWithinPartitions(*columns, "state").drop("deal")
     schema = T.StructType([dealt.schema[c] for c in columns] + [T.StructField("first", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the last row so far, and whether it is the first of its key
-        before: tuple | None = None
+        def out(table: pa.Table, first: np.ndarray) -> list[pa.RecordBatch]:
+            return table.select(columns).append_column("first", pa.array(first, pa.bool_())).to_batches()
+
+        held: pa.Table | None = None  # the last row so far
+        before: int | None = None  # the key of the row before it
         for batch in batches:
             table = pa.Table.from_batches([batch])
+            later = pc.equal(table["state"], LATER)
+            known, table = table.filter(later), table.filter(pc.invert(later))
+            yield from out(known, np.zeros(known.num_rows, bool))
+            if not table.num_rows:
+                continue
             table = pa.concat_tables([held, table]) if held is not None else table
             arrays = [table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in columns]
-            n = table.num_rows
-            same = np.ones(n - 1, bool)
+            same = np.ones(table.num_rows - 1, bool)
             for a in arrays:
                 same &= a[1:] == a[:-1]
-            keep = np.append(~same, True)  # of equal rows the last stays
-            index = np.flatnonzero(keep)
+            index = np.flatnonzero(np.append(~same, True))  # of equal rows the last stays: LEAST, if one of them is
             key = arrays[0][index]
-            begins = np.append(before is None or before[0] != key[0], key[1:] != key[:-1])
+            begins = np.append(before is None or before != key[0], key[1:] != key[:-1])
             ends = np.append(key[1:] != key[:-1], True)
+            several = table["state"].combine_chunks().to_numpy(zero_copy_only=False)[index] == LEAST
             done = index[:-1]  # the last row waits for its successor
-            repeated = ~(begins & ends)[:-1]
+            repeated = (~(begins & ends) | several)[:-1]
             if len(done):
-                out = table.take(pa.array(done[repeated])).append_column("first", pa.array(begins[:-1][repeated]))
-                yield from out.to_batches()
-                before = (key[-2],)
+                yield from out(table.take(pa.array(done[repeated])), begins[:-1][repeated])
+                before = int(key[-2])
             held = table.slice(index[-1], 1)
-        if held is not None and before is not None and held["key"][0].as_py() == before[0]:
-            yield from held.append_column("first", pa.array([False])).to_batches()
+        if held is not None:
+            begins = before is None or before != held["key"][0].as_py()
+            if not begins or held["state"][0].as_py() == LEAST:
+                yield from out(held, np.array([begins]))
 
     return dealt.mapInArrow(run, schema)
 
 
 def repeated_passages(texts: DataFrame, anchors: DataFrame, size: int, anchor: int) -> DataFrame:
-    """(key, head, tid, place): every passage around a repeated suffix that the suffix is retained for.
+    """(key, head, tid, place, state): every passage around a repeated suffix that the suffix is retained for.
 
     ``anchors`` has tid, head (least doc_id of the text) and places, the
     repeated suffixes of one text, at most as many as it has words.
@@ -142,6 +172,7 @@ def repeated_passages(texts: DataFrame, anchors: DataFrame, size: int, anchor: i
             tids, heads = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             places = batch.column(2)
             fresh = _first_seen(tids, seen)
+            parts = []
             for low, high, words in _text_blocks(batch, 3):
                 starts, at = passages(words, size, anchor)
                 wanted = np.zeros(len(words.start), bool)
@@ -150,13 +181,12 @@ def repeated_passages(texts: DataFrame, anchors: DataFrame, size: int, anchor: i
                 starts = starts[wanted[at]] if len(at) else starts
                 row = words.row[starts] if len(starts) else starts
                 h = window_hashes(words.hash, size)[starts] if len(starts) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(h)), pa.array(heads[low:high][row], pa.int64()), pa.array(tids[low:high][row], pa.int64()), pa.array((starts - words.first[row]).astype(np.int32))],
-                    names=["key", "head", "tid", "place"],
-                )
+                parts.append([signed(h), heads[low:high][row], tids[low:high][row], (starts - words.first[row]).astype(np.int32)])
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(parts)], names=["key", "head", "tid", "place", "state"])
 
     joined = texts.join(anchors.hint("shuffle_hash"), "tid").select("tid", "head", "places", "text")
-    return joined.mapInArrow(run, "key bigint, head bigint, tid bigint, place int")
+    return joined.mapInArrow(run, "key bigint, head bigint, tid bigint, place int, state byte")
 
 
 def united(marks: DataFrame, size: int) -> DataFrame:
