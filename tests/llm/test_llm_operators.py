@@ -154,6 +154,26 @@ def test_quality_equals_brute_force(edge, corpus):
             assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and (not r.kept or not r.base_failed)
 
 
+def test_hosts_fail_by_any_rule(spark):
+    """Hosts of symbol junk, of odd words and of repeated lines go whole, though their documents pass the base rules."""
+    rnd = random.Random(9)
+    word = lambda least, most: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(least, most)))
+    plain = lambda n: [word(3, 7) for _ in range(n)]
+    makers = {f"h{i}": lambda: " ".join(plain(80)) for i in range(9)}
+    junk = lambda: " ".join(plain(60) + ["#*" + w for w in plain(20)])
+    makers["junk"] = lambda: junk() if rnd.random() < 0.45 else " ".join(plain(80))
+    makers["odd words"] = lambda: " ".join(word(14, 20) for _ in range(70))
+    makers["lines"] = lambda: "\n".join([" ".join(plain(60))] + ["again"] * 20)
+    rows = [(h, make()) for h, make in makers.items() for _ in range(100)]
+    rows += [("h1", junk()) for _ in range(3)] + [("one", junk())]
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    bad = {"junk", "odd words", "lines"}
+    assert not any(r.base_failed for r in got.values())
+    assert {h for i, (h, _) in enumerate(rows) if not got[i].kept} == bad
+    assert not any(got[i].kept for i, (h, _) in enumerate(rows) if h in bad)
+
+
 def test_language(spark):
     docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
     model = langid.fit_languages(docs.where(~queries.held_out()).select("text", "lang"), VOCABULARY, most_docs=20)
