@@ -232,13 +232,14 @@ def _own_mass(packed: DataFrame, shared) -> DataFrame:
     return single.groupBy("tid").agg(F.sum("weight").alias("own"))
 
 
-def text_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tid, text): ``tid`` is a 64-bit fingerprint of the text and its length, null for a null text."""
+def text_ids(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(doc_id, tid, text and more columns): ``tid`` is a 64-bit fingerprint of the text and its length, null for a null text."""
     text = F.col(text_col).cast("string")
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.when(text.isNotNull(), F.xxhash64(text, F.length(text))).alias("tid"),
         text.alias("text"),
+        *more,
     )
 
 
@@ -258,11 +259,21 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     that still lie in different components are compared, unless what each has
     for itself alone shows that they cannot be similar enough.
     """
-    bounded_batches(docs.sparkSession)
-    rows = text_ids(docs, id_col, text_col)
-    n_docs = docs.count()
+    return _classes(text_ids(docs, id_col, text_col), least, bands, band_rows).select("doc_id", "tid", F.coalesce("head.doc_id", "doc_id").alias("class_id"))
+
+
+def _classes(rows: DataFrame, least: float = 0.8, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """The rows of ``text_ids`` without text, and head.
+
+    ``head`` is the row that stands for the class: least doc_id, nulls last,
+    then least tid and, if rows have one, least row key.  It is null for a row
+    that is alone.
+    """
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    n_docs = rows.count()
     idf = idf_weights(document_frequencies(rows), n_docs)
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    shared = spark.sparkContext.broadcast(idf)
     texts = rows.where("tid IS NOT NULL").select("tid", "text")
     sampled = written(_sampled(texts, shared, bands, band_rows), "draws")
 
@@ -299,25 +310,35 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     more = _verified(across.join(stars, ["a", "b"], "left_anti"), packed, shared, least)
     parts = written(connected_components(links.unionByName(more)), "parts")
 
-    classed = rows.select("doc_id", "tid", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    keys = [c for c in rows.columns if c != "text"]
+    classed = rows.select(*keys, F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
     classed = classed.join(parts.withColumnRenamed("node", "tid"), "tid", "left")
     classed = classed.withColumn("part", F.when(F.col("worded"), F.coalesce("component", "tid")))
-    heads = written(classed.where("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *keys)).alias("head")
+    heads = written(classed.where("part IS NOT NULL").groupBy("part").agg(first, F.count("*").alias("n")).where("n > 1"), "heads")
     # Salted, so that the copies of one hot text spread over many tasks.
     salts = 16
     heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = classed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(heads.hint("merge"), ["part", "salt"], "left")
-    return out.select("doc_id", "tid", F.coalesce("head", "doc_id").alias("class_id"))
+    by = ["row_key"] if "row_key" in keys else ["doc_id"]
+    out = classed.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).join(heads.hint("merge"), ["part", "salt"], "left")
+    return out.select(*keys, "head")
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without all but one of each near-duplicate class: the one of least doc_id stays.
+def keep_one_of_each(docs: DataFrame, one_row: bool = False, **options) -> DataFrame:
+    """The documents without all but one of each near-duplicate class: the one of least doc_id stays, null ids last.
 
-    Repeated rows of that document are one document: one row stays.  All
-    columns are kept; options are those of ``near_duplicate_classes``.
+    Rows are told apart by a written row key, so of copies with null ids and of
+    near copies under one id only one stays.  Rows that repeat both the id and
+    the text of the document that stays are that document and stay with it;
+    with ``one_row`` only one of them does.  All columns are kept; other
+    options are those of ``near_duplicate_classes``.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    classes = near_duplicate_classes(docs, **options).where("doc_id <> class_id").select("doc_id", "tid").distinct()
-    text = F.col(f"`{text_col}`").cast("string")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text, F.length(text)).alias("tid"))
-    return whole.join(classes.hint("merge"), ["doc_id", "tid"], "left_anti").select("row.*")
+    id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("row_key"))
+    whole = written(whole, "rows")
+    rows = text_ids(whole.select(F.col(f"row.`{id_col}`").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"), "row_key"), "doc_id", "text", "row_key")
+    placed = _classes(rows, **options)
+    gone = F.col("head").isNotNull() & (F.col("row_key") != F.col("head.row_key"))
+    if not one_row:
+        gone &= F.col("doc_id").isNull() | (F.col("doc_id") != F.col("head.doc_id")) | (F.col("tid") != F.col("head.tid"))
+    return whole.join(placed.where(gone).select("row_key").hint("merge"), "row_key", "left_anti").select("row.*")

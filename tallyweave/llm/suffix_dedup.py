@@ -253,7 +253,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A removed span takes the white space behind it along.  Documents without
     such spans stay as they are, null texts and wordless ones included.
     ``chars_col``, if it is a column, gets the new length.  Of equal texts of
-    at least ``size`` words one row stays (least doc_id).
+    at least ``size`` words one row stays (least doc_id, null ids last, then by
+    the hash of the row).
     """
     text = F.col(f"`{text_col}`").cast("string")
     rows = text_ids(docs, id_col, text_col)
@@ -264,8 +265,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = whole.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     joined = whole.join(_salted(extra).hint("merge"), ["tid", "salt"], "left")
     words = F.regexp_count(F.col("row")[text_col].cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))
-    copy = (F.col("copies") > 1) & (words >= size) & (F.coalesce(F.col("row")[id_col].cast("bigint"), F.lit((1 << 63) - 1)) != F.col("head"))
-    joined = joined.where(~F.coalesce(copy, F.lit(False))).select("row", "spans", F.col("row")[text_col].cast("string").alias("text"))
+    if not heads.where("copies > 1").isEmpty():
+        copies = F.coalesce((F.col("copies") > 1) & (words >= size), F.lit(False))
+        own_id = F.col("row")[id_col].cast("bigint")
+        # Each task sends one row of a text, however many copies it has.
+        least = F.min_by(F.struct("row", "spans"), F.struct(own_id.isNull(), own_id, F.xxhash64("row")))
+        joined = joined.where(~copies).select("row", "spans").unionByName(joined.where(copies).groupBy("tid").agg(least.alias("kept")).select("kept.*"))
+    joined = joined.select("row", "spans", F.col("row")[text_col].cast("string").alias("text"))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

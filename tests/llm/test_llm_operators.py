@@ -75,6 +75,25 @@ def test_near_duplicates_equal_brute_force(corpus):
     assert len(set(got.values())) < len(got)
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Repeated rows, null ids and near texts under one id leave one row a class."""
+    rnd = random.Random(12)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(120))
+    same, nulls, near, apart = text(), text(), text(), text()
+    rows = [(7, same)] * 3 + [(8, same), (None, same)] + [(None, nulls)] * 3 + [(9, near), (9, near + " changed"), (9, near + " changed"), (10, apart), (None, None), (None, None), (11, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, tag int").repartition(3)
+    alone = [(10, apart), (None, None), (None, None), (11, "")]
+    rank = lambda r: (str(r[0]), str(r[1]))
+    kept = sorted([(r.doc_id, r.text) for r in near_dedup.keep_one_of_each(docs, one_row=True).collect()], key=rank)
+    one_near = [r for r in kept if r[0] == 9]
+    assert len(one_near) == 1 and one_near[0] in rows
+    assert kept == sorted([(7, same), (None, nulls), *one_near, *alone], key=rank)
+    ids = collections.Counter(r.doc_id if r.text != nulls else "nulls" for r in near_dedup.keep_one_of_each(docs).collect())
+    assert ids[7] == 3 and ids["nulls"] == 1 and ids[9] in (1, 2) and ids[8] == 0 and ids[None] == 2
+    cut = collections.Counter((r.doc_id, (r.text or "")[:600]) for r in suffix_dedup.without_repeats(docs, chars_col=None).collect())
+    assert cut[(7, same[:600])] == 1 and cut[(None, nulls[:600])] == 1 and (8, same) not in cut and (None, same) not in cut
+
+
 def test_repeats_equal_brute_force(corpus):
     got, cut = collections.defaultdict(set), collections.defaultdict(set)
     for r in suffix_dedup.repeated_spans(corpus).collect():
