@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.shared import bounded_batches
+from tallyweave.llm.shared import bounded_batches, written
 from tallyweave.llm.words import blocks, buffers, split_words
 
 _U = np.uint64
@@ -170,19 +170,22 @@ def fit_pieces(texts: pa.Array, table: PieceTable, rounds: int, smooth: float) -
 
 
 def sample_by_language(docs: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` labelled texts of each language (and ties of their hash), picked by hash.
+    """At most ``most`` distinct labelled texts of each language, picked by hash; copies of a text count once.
 
     ``docs`` has text and lang.  Hashes under a threshold from the language's
-    count are ranked, about three times ``most`` a language, so that no task
-    gets a share of a frequent language; then texts are read once more.
+    count of distinct texts are ranked, about three times ``most`` a language,
+    so that no task gets a share of a frequent language; then texts are read
+    once more and each task sends one of every picked text.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("pick", F.xxhash64("text", F.lit(17)))
     order = Window.partitionBy("lang").orderBy("pick")
-    counts = F.broadcast(usable.groupBy("lang").agg(F.count("*").alias("of")))
+    distinct = written(usable.select("lang", "pick").distinct(), "labelled")
+    counts = F.broadcast(distinct.groupBy("lang").agg(F.count("*").alias("of")))
     rare = F.pmod("pick", F.lit(1 << 31)) * F.col("of") < F.lit(3 * most) * F.lit(1 << 31)
-    few = usable.select("lang", "pick").join(counts, "lang").where(rare).select("lang", "pick").distinct()
+    few = distinct.join(counts, "lang").where(rare).select("lang", "pick")
     picks = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("lang", "pick")
-    return usable.join(F.broadcast(picks), ["lang", "pick"], "left_semi").select("lang", "text")
+    picked = usable.join(F.broadcast(picks), ["lang", "pick"], "left_semi")
+    return picked.groupBy("lang", "pick").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 class LanguageModel:

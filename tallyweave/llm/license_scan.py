@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import bounded_batches
+from tallyweave.llm.shared import bounded_batches, written
 from tallyweave.llm.words import blocks, buffers, mix, split_words
 
 _U = np.uint64
@@ -210,11 +210,14 @@ def fit_licences(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_PAR
     unknown paragraphs reaches (one half at least).
     """
     lines = docs.select(F.explode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line")).where(F.col("line").rlike(r"\S"))
-    lines = lines.select(F.xxhash64("line", F.lit(seed)).alias("h"), F.substring("line", 1, 1000).alias("line"))
-    # A hash threshold from the number of lines: tasks send about ``most`` lines in all, however many tasks there are.
-    n_lines = lines.count()
+    lines = lines.select(F.xxhash64("line", F.lit(seed)).alias("h"), "line")
+    # Copies of a line count once.  A hash threshold from the number of distinct lines: about 1.5 ``most`` hashes are ranked, however many tasks there are.
+    hashes = written(lines.select("h").distinct(), "lines")
+    n_lines = hashes.count()
     rare = F.pmod("h", F.lit(1 << 31)) < F.lit(min(1 << 31, math.ceil((1 << 31) * 1.5 * most / max(n_lines, 1))))
-    sample = [r.line for r in lines.where(rare).dropDuplicates(["h"]).orderBy("h").limit(most).collect()]
+    picks = hashes.where(rare).orderBy("h").limit(most)
+    picked = lines.join(F.broadcast(picks), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    sample = [r.line for r in sorted(picked.collect(), key=lambda r: r.h)]
     families = [*TEMPLATES, UNKNOWN]
     known = LicenceModel(families, np.zeros((1, 1)), 1.0, 0.5)
     plain = []

@@ -200,6 +200,19 @@ def test_language(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_samples_count_distinct_texts(spark, monkeypatch):
+    """Copies neither empty the sample nor fill it: languages and licence lines are sampled by distinct texts."""
+    docs = spark.range(40_000).select((F.col("id") % 10).alias("k")).select(F.concat(F.lit("text of number "), F.col("k")).alias("text"), F.when(F.col("k") < 5, "en").otherwise("de").alias("lang"))
+    got = sorted((r.lang, r.text) for r in langid.sample_by_language(docs, 4).collect())
+    assert len(got) == len(set(got)) == 8 and collections.Counter(x for x, _ in got) == {"en": 4, "de": 4}
+    seen = []
+    whole = license_scan.varied_notices
+    monkeypatch.setattr(license_scan, "varied_notices", lambda seed, each, fillers: (seen.extend(fillers), whole(seed, each, fillers))[1])
+    lines = docs.select(F.concat("text", F.lit(" with words" * 120)).alias("text"))
+    license_scan.fit_licences(lines, most=6)
+    assert len(seen) == len(set(seen)) == 6 and all(len(x) > 1000 for x in seen)
+
+
 def test_forward_sums_all_segmentations():
     pieces = [b"a", b"b", b"ab", b" a", b" "]
     table = langid.PieceTable(sorted({*pieces, *[bytes([b]) for b in range(256)]}), 12)
