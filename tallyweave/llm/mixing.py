@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.shared import written
+from tallyweave.llm.sharding import numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 4096
@@ -187,13 +188,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
     """The documents as the mix takes them: none, one or several equal rows of each, all columns kept.
 
-    Rows that repeat both id and text each get the rounded mean of their
-    copies.
+    Rows are numbered in the order of id, text and the rest, so rows that
+    repeat id and text, in one source or several, each get the copies drawn for
+    them, and the same rows and seed give the same mix.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    tid = F.coalesce(F.xxhash64(text, F.length(text)), F.lit(0))
-    key = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-1))
-    units = docs.select(key.alias("id_"), tid.alias("tid_"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(text).alias("size"))
-    copies = _planned(units, seed, block, repeats).groupBy("id_", "tid_").agg(F.round(F.avg("copies")).cast("int").alias("copies")).where("copies > 0")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("id_"), tid.alias("tid_"))
-    return whole.join(copies, ["id_", "tid_"]).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id_"), F.xxhash64(text, F.length(text)).alias("tid_"))
+    # Equal rows may change places, so the last number, which spreads a hot group over the ranges, doesn't change the mix.
+    whole = whole.withColumn("hash_", F.xxhash64("row")).withColumn("tie_", F.monotonically_increasing_id())
+    whole = numbered(whole, ["id_", "tid_", "hash_", "tie_"]).select("row", "row_number")
+    own = F.col("row")[text_col]
+    units = whole.select("row_number", F.col("row")[source_col].cast("string").alias("source"), word_count(own).alias("size"))
+    copies = _planned(units, seed, block, repeats).where("copies > 0").select("row_number", F.col("copies").cast("int").alias("copies"))
+    return whole.join(copies, "row_number").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

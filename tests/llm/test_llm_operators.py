@@ -131,6 +131,19 @@ def test_mix_meets_targets(corpus):
     assert all(r.taken <= 3 * r.size for r in rows)
 
 
+def test_mixed_rows_have_draws_of_their_own(spark):
+    """Repeated rows of a source are taken like any others: neither all of them nor none."""
+    rows = [(1, "the same words again and again", "a", 0)] * 300 + [(1, "the same words again and again", "b", 0)] * 100 + [(None, "no id " + "x " * (i % 5), "c", i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, tag int")
+    got = collections.Counter(r.source for r in mixing.mixed_documents(docs.repartition(3)).collect())
+    want = collections.Counter()
+    for r in mixing.mix_sources(docs.select("doc_id", "text", "source")).select("source_size", "target").distinct().collect():
+        want[{300 * 6: "a", 100 * 6: "b"}.get(r.source_size, "c")] = r.target
+    assert abs(got["a"] * 6 - want["a"]) <= 12 and abs(got["b"] * 6 - want["b"]) <= 12
+    again = [mixing.mixed_documents(docs.repartition(n)).collect() for n in (2, 5)]
+    assert collections.Counter(again[0]) == collections.Counter(again[1])
+
+
 def test_flight_keeps_both_totals():
     size = np.arange(1, 400) % 37
     p = mixing.move_to_faces(size, np.full(399, 0.37), [1, 2])
