@@ -82,4 +82,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_nearest,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS response FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 100 AND response IS NOT NULL AND page_id IS DISTINCT FROM response THEN response END AS refers_to FROM g)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM r
+"""
+_WORD = r"[^\x20\x09-\x0D]"
+#: Rows are numbered, so that repeated doc_ids are documents of their own.
+QUALITY_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+m AS (
+    SELECT k, doc_id, host, regexp_extract_all(text, '{_WORD}+') AS w,
+        CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines
+    FROM d),
+spread AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM m),
+trios AS (SELECT k, i, word AS a, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM spread WINDOW o AS (PARTITION BY k ORDER BY i)),
+again AS (SELECT k, i FROM trios WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY k, a, b, c) > 1),
+repeated AS (SELECT k, count(DISTINCT i + j) AS n FROM again, (SELECT unnest([0, 1, 2]) AS j) GROUP BY k),
+measured AS (
+    SELECT m.k, doc_id, host, CAST(len(w) AS BIGINT) AS n_words, word_chars, n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words
+    FROM m LEFT JOIN repeated ON m.k = repeated.k),
+rules AS (
+    SELECT host, unnest([
+        {{'rule': 'short', 'f': n_words < 50}}, {{'rule': 'repeats', 'f': 100 * n_repeat_words > 50 * n_words}}, {{'rule': 'symbols', 'f': 10 * n_symbols > n_words}},
+        {{'rule': 'word_length', 'f': n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 10 * n_words)}}, {{'rule': 'lines', 'f': 10 * n_dup_lines > 3 * n_lines}}
+    ], recursive := true) FROM measured),
+hosts AS (SELECT host, rule, CAST(count(*) AS DOUBLE) AS docs, CAST(sum(CAST(f AS INT)) AS DOUBLE) AS x FROM rules GROUP BY host, rule),
+totals AS (SELECT rule, CAST(count(*) AS DOUBLE) AS n, sum(docs) AS k, sum(x) AS x, sum(x * x / docs) AS s FROM hosts GROUP BY rule),
+one AS (
+    SELECT host, h.rule, docs, h.x, n, k, t.x AS tx, s, t.x / k AS mean, greatest(s / k - (t.x / k) * (t.x / k), 0.0) - (t.x / k) * (1 - t.x / k) * n / k AS beyond,
+        CASE WHEN n > 1 THEN k - docs END AS rest, CASE WHEN n > 1 THEN (t.x - h.x) / (k - docs) END AS usual
+    FROM hosts h JOIN totals t ON h.rule = t.rule),
+two AS (
+    SELECT *, least(greatest(CASE WHEN beyond > 0 THEN mean * (1 - mean) / beyond - 1 ELSE k END, 1.0), greatest(k, 1.0)) AS strength,
+        greatest((s - x * x / docs) / rest - usual * usual, 0.0) - usual * (1 - usual) * (n - 1) / rest AS others
+    FROM one),
+three AS (
+    SELECT *, (x + strength * mean) / (docs + strength) AS rate,
+        least(greatest(CASE WHEN others > 0 THEN usual * (1 - usual) / others - 1 ELSE rest END, 1.0), greatest(rest, 1.0)) AS strength_of_others
+    FROM two),
+failed AS (
+    SELECT host, bool_or(rate > 0.5 OR coalesce(
+        rate - 2 * sqrt(rate * (1 - rate) / (docs + strength + 1)) > usual + greatest(0.1, 3 * sqrt(usual * (1 - usual) / (strength_of_others + 1))), false)) AS host_failed
+    FROM three GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT host_failed AS kept
+FROM measured m JOIN failed f ON m.host IS NOT DISTINCT FROM f.host
+"""
+ORACLE_SQL: dict[str, str] = {"op5_warc": WARC_SQL, "op7_quality_rules": QUALITY_SQL}

@@ -1,9 +1,12 @@
 """WARC archives as chunked record tables.
 
 Payloads travel as rows of (record, chunk number, chunk), of at most
-``CHUNK_BYTES`` each.  Writers append a record's chunks to a file as they
-come; readers parse a file from a bounded buffer and give chunk rows with a
-digest that grows from chunk to chunk.  No task holds a whole record.
+``CHUNK_BYTES`` each, from the scan straight into a task's own segment file:
+digests grow from chunk to chunk, and no payload goes through a shuffle.  What
+is shuffled is an index row per record.  It decides which records are revisits;
+then every segment is copied, record by record and piece by piece, into a gzip
+member each of an archive.  Readers parse an archive from a bounded buffer and
+give chunk rows with a digest that grows in the same way.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,34 +27,98 @@ from pyspark.sql import functions as F
 from tallyweave.llm.shared import bounded_batches, new_path, written
 
 CHUNK_BYTES = 1 << 18
+#: Bytes that are read from a file at a time.
+PIECE_BYTES = 1 << 16
 #: Equal payloads of fewer bytes are stored as often as they come.
 LEAST_SHARED = 100
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SALTS = 16
+SEGMENT_LEVEL, ARCHIVE_LEVEL = 1, 4
+INDEX = "task int, segment string, number bigint, offset bigint, page_id bigint, url string, payload_bytes bigint, digest string"
 CHUNKS = "page_id bigint, record_type string, refers_to bigint, target_uri string, payload_bytes bigint, stated_digest string, chunk_no int, chunk_bytes bigint, running_sha256 string, last boolean"
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 
-def planned_records(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, digest, refers_to): refers_to is the response's page_id if the record is a revisit."""
-    payload = F.encode(F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.regexp_replace(F.col(f"`{url_col}`").cast("string"), r"\s", "%20").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha2("payload", 256))
-    shared = rows.where(F.col("payload_bytes") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
-    shared = shared.select("digest", "response").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = rows.join(shared, ["digest", "salt"], "left")
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    schema = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in ddl.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def chunk_table(pages: DataFrame, id_col: str, url_col: str, html_col: str, chunk_bytes: int) -> DataFrame:
+    """(page_id, url, payload_bytes, chunk_no, chunk, last): a row per chunk of each page, consecutive and in order.
+
+    An empty payload has one empty chunk; the url stands with the first chunk.
+    """
+    payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
+    url = F.regexp_replace(F.col(f"`{url_col}`").cast("string"), r"\s", "%20")
+    rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), url.alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
+    rows = rows.withColumn("chunks", F.greatest(F.ceil(F.col("payload_bytes") / chunk_bytes), F.lit(1)).cast("int"))
+    rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    chunk = F.expr(f"substring(payload, chunk_no * {chunk_bytes} + 1, {chunk_bytes})")
+    return rows.select("page_id", F.when(F.col("chunk_no") == 0, F.col("url")).alias("url"), "payload_bytes", "chunk_no", chunk.alias("chunk"), (F.col("chunk_no") == F.col("chunks") - 1).alias("last"))
+
+
+def write_segments(chunks: DataFrame, folder: str) -> DataFrame:
+    """The index of the segments: a row per record, whose payload stands compressed in its task's file.
+
+    A task writes under a name of its own attempt, so lost and repeated
+    attempts leave files that no index names.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(folder)
+        task, own = TaskContext.get().partitionId(), None
+        out = digest = pack = None
+        at = start = number = 0
+        page_id = url = None
+        for batch in batches:
+            if out is None:
+                system.create_dir(base)
+                own = f"segment-{task:05d}-{uuid.uuid4().hex}"
+                out = system.open_output_stream(f"{base}/{own}")
+            columns, rows = [batch.column(i) for i in range(4)], []
+            chunk, last = batch.column(4), batch.column(5)
+            for i in range(batch.num_rows):
+                if columns[3][i].as_py() == 0:
+                    page_id, url = columns[0][i].as_py(), columns[1][i].as_py()
+                    start, digest, pack = at, hashlib.sha256(), zlib.compressobj(SEGMENT_LEVEL)
+                part = chunk[i].as_buffer()
+                digest.update(part)
+                at += out.write(pack.compress(part))
+                if last[i].as_py():
+                    at += out.write(pack.flush())
+                    rows.append((task, own, number, start, page_id, url, columns[2][i].as_py(), digest.hexdigest()))
+                    number += 1
+            if rows:
+                yield _batch(rows, INDEX)
+        if out is not None:
+            out.close()
+
+    return written(chunks.mapInArrow(run, INDEX), "index")
+
+
+def decided(index: DataFrame) -> DataFrame:
+    """The index with ``refers_to``: the response's page_id of a record that is a revisit, else null."""
+    shared = index.where(F.col("payload_bytes") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
+    # Salted: the records of a hot payload spread over many tasks; they are small, as payloads stay where they are.
+    shared = shared.select("digest", "response", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = index.withColumn("salt", F.pmod(F.xxhash64("task", "number"), F.lit(SALTS)).cast("int")).join(shared, ["digest", "salt"], "left")
     refers = F.when(F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "digest", refers.alias("refers_to"))
+    return joined.select(*index.columns, refers.alias("refers_to"))
 
 
-def chunked(records: DataFrame, chunk_bytes: int) -> DataFrame:
-    """A row per chunk of each record, consecutive and in order; a revisit or an empty payload has one empty chunk."""
-    stored = F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(F.lit(0))
-    count = F.greatest(F.ceil(stored / chunk_bytes), F.lit(1)).cast("int")
-    rows = records.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), count - 1)))
-    part = F.expr(f"substring(payload, chunk_no * {chunk_bytes} + 1, {chunk_bytes})")
-    return rows.select("page_id", "url", "payload_bytes", "digest", "refers_to", "chunk_no", F.when(F.col("refers_to").isNull(), part).alias("chunk"))
+def unpacked(source, offset: int) -> Iterator[bytes]:
+    """The payload that starts at ``offset`` of a segment, in pieces of at most ``PIECE_BYTES``."""
+    source.seek(offset)
+    unzip, raw = zlib.decompressobj(), b""
+    while not unzip.eof:
+        raw = raw or source.read(PIECE_BYTES)
+        if not raw:
+            raise ValueError("a segment ends inside a payload")
+        yield unzip.decompress(raw, PIECE_BYTES)
+        raw = unzip.unconsumed_tail
 
 
 def record_head(page_id: int | None, url: str | None, payload_bytes: int, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -72,40 +140,44 @@ def record_head(page_id: int | None, url: str | None, payload_bytes: int, digest
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_bytes: int = CHUNK_BYTES, date: str = DATE) -> DataFrame:
-    """Write one archive per task into ``folder`` (a URI that executors share); returns the written manifest (path, records, bytes).
+    """Write an archive per task, a gzip member per record, into ``folder`` (a URI that executors share); returns the written manifest (task, path, records, bytes).
 
-    A task writes under a name of its own attempt, so lost and repeated
-    attempts leave files that no manifest names.
+    Segments are removed once all archives are written.
     """
-    spark = pages.sparkSession
-    bounded_batches(spark)
+    bounded_batches(pages.sparkSession)
+    segments = f"{folder.rstrip('/')}/segments-{uuid.uuid4().hex}"
+    index = write_segments(chunk_table(pages, id_col, url_col, html_col, chunk_bytes), segments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(folder)
-        system.create_dir(base)
-        name = f"{base}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc"
+        store = fs.FileSystem.from_uri(segments)[1]
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
         records = size = 0
-        out = None
+        out = source = opened = None
         for batch in batches:
-            columns = [batch.column(i) for i in range(6)]
-            for i in range(batch.num_rows):
-                page_id, url, payload_bytes, digest, refers_to, chunk_no = (c[i].as_py() for c in columns)
-                if out is None:
-                    out = system.open_output_stream(name)
-                if chunk_no == 0:
-                    if records:
-                        size += out.write(b"\r\n\r\n")
-                    size += out.write(record_head(page_id, url, payload_bytes, digest, refers_to, date))
-                    records += 1
-                chunk = batch.column(6)[i]
-                if chunk.is_valid:
-                    size += out.write(chunk.as_buffer())
+            out = out or system.open_output_stream(f"{base}/{name}", compression=None)
+            for row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True):
+                task, segment, _, offset, page_id, url, payload_bytes, digest, refers_to = row
+                pack = zlib.compressobj(ARCHIVE_LEVEL, zlib.DEFLATED, 31)
+                size += out.write(pack.compress(record_head(page_id, url, payload_bytes, digest, refers_to, date)))
+                if refers_to is None:
+                    if opened != segment:
+                        source, opened = system.open_input_file(f"{store}/{segment}"), segment
+                    for piece in unpacked(source, offset):
+                        size += out.write(pack.compress(piece))
+                size += out.write(pack.compress(b"\r\n\r\n") + pack.flush())
+                records += 1
         if out is not None:
-            size += out.write(b"\r\n\r\n")
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{os.path.basename(name)}"], "records": pa.array([records], pa.int64()), "bytes": pa.array([size], pa.int64())})
+            yield _batch([(task, f"{folder.rstrip('/')}/{os.path.basename(name)}", records, size)], "task int, path string, records bigint, bytes bigint")
 
-    return written(chunked(planned_records(pages, id_col, url_col, html_col), chunk_bytes).mapInArrow(run, "path string, records bigint, bytes bigint"), "manifest")
+    tasks = (index.agg(F.max("task")).first()[0] or 0) + 1
+    plan = decided(index).repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "number")
+    manifest = written(plan.mapInArrow(run, "task int, path string, records bigint, bytes bigint"), "manifest")
+    system, store = fs.FileSystem.from_uri(segments)
+    if system.get_file_info(store).type == fs.FileType.Directory:
+        system.delete_dir(store)
+    return manifest
 
 
 class Record(NamedTuple):
@@ -117,34 +189,54 @@ class Record(NamedTuple):
 
 
 class ArchiveReader:
-    """Records of one archive from a bounded buffer: after ``next_record`` come its chunks."""
+    """Records of one archive, a gzip member each, from a bounded buffer: after ``next_record`` come its chunks.
 
-    def __init__(self, stream, chunk_bytes: int):
-        self.stream, self.chunk_bytes, self.buffer = stream, chunk_bytes, b""
+    Only a header is held whole, whatever its length.
+    """
 
-    def _until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while mark not in self.buffer:
-            more = self.stream.read(min(self.chunk_bytes, 1 << 16))
-            if not more or len(self.buffer) > most:
+    def __init__(self, stream, chunk_bytes: int):
+        self.stream, self.chunk_bytes, self.raw = stream, chunk_bytes, b""
+        self.unzip, self.buffer = None, bytearray()
+
+    def _more(self) -> bytes:
+        """The next piece of the record; empty at its end."""
+        while not self.unzip.eof:
+            self.raw = self.raw or self.stream.read(PIECE_BYTES)
+            if not self.raw:
+                raise ValueError("the archive ends inside a record")
+            out = self.unzip.decompress(self.raw, PIECE_BYTES)
+            self.raw = self.unzip.unused_data if self.unzip.eof else self.unzip.unconsumed_tail
+            if out:
+                return out
+        return b""
+
+    def _until(self, mark: bytes) -> bytes:
+        seen = 0
+        while (at := self.buffer.find(mark, seen)) < 0:
+            seen = max(0, len(self.buffer) - len(mark) + 1)
+            more = self._more()
+            if not more:
                 raise ValueError("a header does not end")
             self.buffer += more
-        head, _, self.buffer = self.buffer.partition(mark)
+        head = bytes(self.buffer[:at])
+        del self.buffer[: at + len(mark)]
         return head
 
     def _take(self, n: int) -> bytes:
         while len(self.buffer) < n:
-            more = self.stream.read(n - len(self.buffer))
+            more = self._more()
             if not more:
-                raise ValueError("the archive ends inside a record")
+                raise ValueError("a record is shorter than its header says")
             self.buffer += more
-        out, self.buffer = self.buffer[:n], self.buffer[n:]
+        out = bytes(self.buffer[:n])
+        del self.buffer[:n]
         return out
 
     def next_record(self) -> Record | None:
-        if not self.buffer:
-            self.buffer = self.stream.read(1 << 16)
-            if not self.buffer:
-                return None
+        self.raw = self.raw or self.stream.read(PIECE_BYTES)
+        if not self.raw:
+            return None
+        self.unzip = zlib.decompressobj(31)
         fields = [x.partition(": ") for x in self._until(b"\r\n\r\n").decode().split("\r\n")[1:]]
         head = {k.lower(): v for k, _, v in fields}
         http = self._until(b"\r\n\r\n") + b"\r\n\r\n"
@@ -160,7 +252,7 @@ class ArchiveReader:
             yield part
             if not left:
                 break
-        if self._take(4) != b"\r\n\r\n":
+        if self._take(4) != b"\r\n\r\n" or self._more():
             raise ValueError("a record does not end where its header says")
 
 
@@ -170,7 +262,7 @@ def _number(urn: str | None) -> int | None:
 
 
 def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunk table of the archives in ``manifest`` (path): sizes and running digests, a task per archive.
+    """The chunk table of the archives in ``manifest`` (task, path): sizes and running digests, a task per archive.
 
     ``running_sha256`` covers the record's payload up to and including the
     chunk; a revisit has one chunk without bytes and its stated digest.  A
@@ -178,20 +270,11 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in CHUNKS.split(", ")]
-        types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-        schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in CHUNKS.split(", ")])
         rows: list[tuple] = []
-
-        def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
-            rows.clear()
-            return out
-
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, own = fs.FileSystem.from_uri(path)
-                with system.open_input_stream(own) as stream:
+                with system.open_input_stream(own, compression=None) as stream:
                     reader = ArchiveReader(stream, chunk_bytes)
                     while (record := reader.next_record()) is not None:
                         kind, stated = record.head["warc-type"], record.head["warc-payload-digest"].partition(":")[2]
@@ -203,13 +286,14 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
                             if not left and so_far != stated:
                                 raise ValueError(f"{path}: a payload has another digest than {stated}")
                             rows.append((_number(record.head["warc-record-id"]), kind, _number(record.head.get("warc-refers-to")), record.head.get("warc-target-uri"), record.payload_bytes, stated, k, len(part), so_far, not left))
-                            if len(rows) >= 5000:
-                                yield flushed()
+                            if len(rows) >= 2000:
+                                yield _batch(rows, CHUNKS)
+                                rows = []
         if rows:
-            yield flushed()
+            yield _batch(rows, CHUNKS)
 
-    paths = manifest.select("path")
-    return paths.repartition(max(1, paths.count()), "path").mapInArrow(run, CHUNKS)
+    tasks = (manifest.agg(F.max("task")).first()[0] or 0) + 1
+    return manifest.repartitionById(tasks, F.col("task")).select("path").mapInArrow(run, CHUNKS)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
