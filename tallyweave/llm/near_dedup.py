@@ -7,8 +7,11 @@ texts agree on a draw with a probability equal to their weighted Jaccard
 similarity.  Equal bands make candidates, and every link is verified by the
 weighted Jaccard similarity of the whole texts.
 
-Document frequencies are counted over all documents on ``IDF_BITS`` hashed
-features, a table of fixed size whatever the corpus.
+Document frequencies are exact for the shingles that at least one text in
+``RARE`` has; there are at most ``RARE`` times as many of them as a text has
+shingles, whatever the corpus.  They are found in two passes over all
+documents: counts of hashed features leave candidates, whose own counts decide.
+All rarer shingles have the weight of one at that threshold.
 """
 
 from __future__ import annotations
@@ -25,16 +28,21 @@ from tallyweave.llm.shared import bounded_batches, connected_components, written
 from tallyweave.llm.words import blocks, buffers, mix, signed, split_words
 
 _U = np.uint64
+#: Stands for a null doc_id, after all others.
+NO_ID = (1 << 63) - 1
 SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 14, 4
-IDF_BITS = 18
-_IDF_CHUNK = 2048
-#: Log weights are drawn on a grid of eighths from -2; weights themselves aren't rounded.
-_GRID, _LOW, _LEVELS = 8, -2, 160
-_DRAW_BITS = 12
+#: Bits of the hashed features that leave candidates for frequent shingles.
+FEATURE_BITS = 18
+#: A shingle that fewer than one in so many texts have weighs like one that one in so many have.
+RARE = 256
+_FEATURE_CHUNK = 2048
+#: Draws are looked for below ``FIRST_LOOK`` over the weight of the text; without one, among all shingles.
+FIRST_LOOK = 4.0
+_SHINGLES = 1 << 13
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each row: (row, hash, term frequency), by row and hash.
 
     A text of one to four words is one shingle; one without a word has none.
@@ -60,8 +68,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, seen: np.ndarray | None = No
 
 
 def feature(h: np.ndarray) -> np.ndarray:
-    """The hashed feature on which a shingle's document frequency is counted."""
-    return ((h >> _U(32)) & _U((1 << IDF_BITS) - 1)).astype(np.int64)
+    """The hashed feature on which a shingle is counted first."""
+    return ((h >> _U(32)) & _U((1 << FEATURE_BITS) - 1)).astype(np.int64)
 
 
 def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -71,76 +79,182 @@ def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield low, high, data[at[0] : at[-1]], at - at[0]
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """How many texts have a shingle of each feature: an array of fixed size, summed in the cluster."""
+def frequent_features(docs: DataFrame, least: int) -> np.ndarray:
+    """Which features occur in at least ``least`` texts' shingles: only these go to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << IDF_BITS, np.int64)
+        total = np.zeros(1 << FEATURE_BITS, np.int64)
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0)):
                 _, h, _ = shingles(data, offsets)
                 total += np.bincount(feature(h), minlength=len(total))
-        parts = total.reshape(-1, _IDF_CHUNK)
+        parts = total.reshape(-1, _FEATURE_CHUNK)
         used = np.flatnonzero(parts.any(1))
         for p in used:
             at = np.flatnonzero(parts[p])
-            yield pa.RecordBatch.from_arrays([pa.array(p * _IDF_CHUNK + at, pa.int64()), pa.array(parts[p][at])], names=["feature", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(p * _FEATURE_CHUNK + at, pa.int64()), pa.array(parts[p][at])], names=["feature", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
-    got = rows.toArrow()
-    out = np.zeros(1 << IDF_BITS, np.int64)
-    out[got["feature"].to_numpy()] = got["n"].to_numpy()
+    rows = docs.select("text").mapInArrow(count, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    out = np.zeros(1 << FEATURE_BITS, bool)
+    out[rows.select("feature").toArrow()["feature"].to_numpy()] = True
     return out
 
 
-def idf_weights(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
-    """ln((N + 1) / (df + 1)) + 1, at least 1/8."""
-    return np.maximum(np.log((n_docs + 1) / (np.minimum(frequencies, n_docs) + 1)) + 1, 0.125)
+class Idf:
+    """Inverse document frequencies: those of frequent shingles (ascending), and one for all others."""
 
+    def __init__(self, shingle: np.ndarray, weight: np.ndarray, rare: float):
+        self.shingle, self.weight, self.rare = shingle, weight, rare
 
-def draw_table(seed: int = 5) -> np.ndarray:
-    """Ranks of ln a for every log-weight level and draw number (level-major), as unsigned 32-bit integers.
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), self.rare)
+        if len(self.shingle) and len(h):
+            at = np.minimum(np.searchsorted(self.shingle, h), len(self.shingle) - 1)
+            known = self.shingle[at] == h
+            out[known] = self.weight[at[known]]
+        return out
 
-    Improved consistent weighted sampling: with r, c ~ Gamma(2, 1) and
-    b ~ Uniform(0, 1), t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r;
-    the least a wins.  ln a depends on the weight through t alone.
+
+def inverse_frequencies(docs: DataFrame, n_docs: int, rare: int = RARE) -> Idf:
+    """ln((N + 1) / (df + 1)) + 1, with df at least N over ``rare``.
+
+    The frequent shingles, at most ``rare`` times the shingles of a text, are
+    the one thing that the driver gets.
     """
-    random = np.random.Generator(np.random.Philox(seed))
-    r, c, b = random.gamma(2, 1, 1 << _DRAW_BITS), random.gamma(2, 1, 1 << _DRAW_BITS), random.random(1 << _DRAW_BITS)
-    level = (np.arange(_LEVELS) / _GRID + _LOW)[:, None]
-    ln_a = np.log(c) - r * (np.floor(level / r + b) - b) - r
-    _, rank = np.unique(ln_a, return_inverse=True)
-    return rank.astype(np.uint32).reshape(-1)
+    least = max(n_docs // rare, 1)
+    bound = float(np.log((n_docs + 1) / (least + 1)) + 1)
+    candidates = docs.sparkSession.sparkContext.broadcast(frequent_features(docs, least + 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in text_blocks(batch.column(0)):
+                _, h, _ = shingles(data, offsets)
+                own, n = np.unique(h[candidates.value[feature(h)]], return_counts=True)
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(own)), pa.array(n)], names=["shingle", "n"])
+
+    rows = docs.select("text").mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    got = rows.toArrow()
+    shingle = got["shingle"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(shingle)
+    return Idf(shingle[order], (np.log((n_docs + 1) / (got["n"].to_numpy() + 1)) + 1)[order], bound)
 
 
 def multipliers(n: int, seed: int = 11) -> np.ndarray:
     return np.random.Generator(np.random.Philox(seed)).integers(1, 1 << 63, n, dtype=np.uint64) * _U(2) + _U(1)
 
 
-def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, table: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Draws [row, function] as 64-bit values; equal draws are the same shingle at the same t.  Rows without shingles get 0."""
+def _hashed(h: np.ndarray, factor: np.ndarray | np.uint64) -> np.ndarray:
+    """Hash of a shingle and a function."""
+    own = h * factor
+    own ^= own >> _U(29)
+    own *= _U(0xBF58476D1CE4E5B9)
+    own ^= own >> _U(32)
+    return own
+
+
+def _two(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform numbers in (0, 1) from the halves of each hash."""
+    return ((h >> _U(32)).astype(float) + 0.5) * 2.0**-32, ((h & _U(0xFFFFFFFF)).astype(float) + 0.5) * 2.0**-32
+
+
+def draw(own: np.ndarray, log_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ln a, t) of shingles with hashes ``own`` of (shingle, function).
+
+    Improved consistent weighted sampling: with r, c ~ Gamma(2, 1) and
+    b ~ Uniform(0, 1), t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r.
+    r and c come from u, v and two more uniform numbers: u is 1 - exp(-e), where
+    e = c times a uniform number is exponential, and r is minus the logarithm
+    of that number times v.
+    """
+    u, v = _two(own)
+    x, b = _two(mix(own + _U(0x9E3779B97F4A7C15)))
+    e = -np.log1p(-u)
+    log_c = np.log(e - np.log(x))
+    r = log_c - np.log(e * v)
+    t = np.floor(log_weight / r + b)
+    return log_c - r * (t - b + 1), t
+
+
+def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, factors: np.ndarray) -> np.ndarray:
+    """Draws [row, function] as 64-bit values; equal draws are the same shingle at the same t.  Rows without shingles get 0.
+
+    ``a`` is at least e v over the weight, hence u v over the weight: only
+    shingles below a bound on that can have the least a, if that a is below
+    the bound too.  The least a of a text is exponential with its whole weight,
+    so few texts need the second look, at all their shingles.
+    """
     out = np.zeros((rows, len(factors)), np.uint64)
     if not len(h):
         return out
-    level = np.clip(np.rint((np.log(weight) - _LOW) * _GRID), 0, _LEVELS - 1).astype(np.int64) << _DRAW_BITS
     starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    for k, factor in enumerate(factors):
-        own = h * factor
-        own ^= own >> _U(29)
-        own *= _U(0xBF58476D1CE4E5B9)
-        rank = table[level + (own >> _U(64 - _DRAW_BITS)).astype(np.int64)].astype(np.uint64)
-        out[row[starts], k] = np.minimum.reduceat(rank << _U(32) | (own & _U(0xFFFFFFFF)), starts)
+    bound = FIRST_LOOK / np.add.reduceat(weight, starts)
+    n = np.diff(np.append(starts, len(row)))
+    stops = starts + n
+    nth = np.repeat(np.arange(len(starts)), n)
+    log_weight = np.log(weight)
+    most = np.minimum(weight * bound[nth] * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
+    draws = np.zeros((len(factors), len(starts)), np.uint64)
+    low = 0
+    while low < len(starts):  # whole texts, about as many shingles as caches hold
+        high = max(low + 1, int(np.searchsorted(stops, starts[low] + _SHINGLES, "right")))
+        a, b = starts[low], stops[high - 1]
+        _least_draws(h[a:b], log_weight[a:b], most[a:b], nth[a:b] - low, starts[low:high] - a, n[low:high], bound[low:high], factors, draws[:, low:high])
+        low = high
+    out[row[starts]] = draws.T
     return out
 
 
-def unpacked(packed: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _least_draws(h, log_weight, most, nth, starts, n, bound, factors, out) -> None:
+    near, function, hashes = [], [], []
+    for k, factor in enumerate(factors):
+        own = _hashed(h, factor)
+        at = np.flatnonzero((own >> _U(32)) * (own & _U(0xFFFFFFFF)) <= most)
+        near.append(at)
+        function.append(np.full(len(at), k))
+        hashes.append(own[at])
+    at, k = np.concatenate(near), np.concatenate(function)
+    cell, least, value = _least(at, k * len(starts) + nth[at], np.concatenate(hashes), h, log_weight)
+    sure = np.exp(least) <= bound[cell % len(starts)]
+    flat = np.zeros(len(factors) * len(starts), np.uint64)
+    flat[cell[sure]] = value[sure]
+    open_ = np.ones(len(flat), bool)
+    open_[cell[sure]] = False
+    again = np.flatnonzero(open_)
+    ends = np.cumsum(n[again % len(starts)])
+    low = 0
+    while low < len(again):  # about a million shingles at a time, or those of one text
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + (1 << 20), "right")))
+        of = again[low:high] % len(starts)
+        each = n[of]
+        at = np.arange(each.sum()) + np.repeat(starts[of] - np.cumsum(each) + each, each)
+        cells = np.repeat(again[low:high], each)
+        cell, _, value = _least(at, cells, _hashed(h[at], factors[cells // len(starts)]), h, log_weight)
+        flat[cell] = value
+        low = high
+    out[:] = flat.reshape(out.shape)
+
+
+def _least(at: np.ndarray, cell: np.ndarray, own: np.ndarray, h: np.ndarray, log_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, ln a, value) of the least draw in each cell; ``cell`` ascends and a cell's shingles do too."""
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64)
+    ln_a, t = draw(own, log_weight[at])
+    begins = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    least = np.minimum.reduceat(ln_a, begins)
+    winner = np.flatnonzero(ln_a == np.repeat(least, np.diff(np.append(begins, len(at)))))
+    winner = winner[np.append(True, cell[winner[1:]] != cell[winner[:-1]])]
+    return cell[begins], least, mix(h[at[winner]] + mix(t[winner].astype(np.int64).view(np.uint64)))
+
+
+def unpacked(packed: bytes, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of a packed text, ascending, and their TF-IDF weights."""
     n = len(packed) // 12
     h = np.frombuffer(packed, np.uint64, n)
-    return h, np.frombuffer(packed, np.uint32, n, 8 * n) * idf[feature(h)]
+    return h, np.frombuffer(packed, np.uint32, n, 8 * n) * idf.of(h)
 
 
-def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
+def weighted_jaccard(a: bytes, b: bytes, idf: Idf) -> float:
     """Similarity of two packed shingle sets: sum of least over sum of greatest TF-IDF weights."""
     (hx, wx), (hy, wy) = unpacked(a, idf), unpacked(b, idf)
     _, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
@@ -153,7 +267,7 @@ def _sampled(docs: DataFrame, shared, bands: int, band_rows: int) -> DataFrame:
     """(tid, mass, keys) once per text with a word: its whole weight and its bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, factors, seen = draw_table(), multipliers(bands * band_rows), set()
+        factors, seen, idf = multipliers(bands * band_rows), set(), Idf(*shared.value)
         for batch in batches:
             tids = batch.column(0).to_numpy()
             for low, high, data, offsets in text_blocks(batch.column(1)):
@@ -167,8 +281,8 @@ def _sampled(docs: DataFrame, shared, bands: int, band_rows: int) -> DataFrame:
                     seen.clear()
                 keep = fresh[row]
                 row, h, tf = row[keep], h[keep], tf[keep]
-                weight = tf * shared.value[feature(h)]
-                draws = signatures(row, h, weight, len(own), table, factors)
+                weight = tf * idf.of(h)
+                draws = signatures(row, h, weight, len(own), factors)
                 mass = np.bincount(row, weight, len(own))
                 keys = np.zeros((len(own), bands), np.uint64)
                 for b in range(bands):
@@ -208,8 +322,9 @@ def _verified(pairs: DataFrame, packed: DataFrame, shared, least: float) -> Data
     pairs = written(pairs.distinct(), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = Idf(*shared.value)
         for batch in batches:
-            good = [weighted_jaccard(x.as_py(), y.as_py(), shared.value) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            good = [weighted_jaccard(x.as_py(), y.as_py(), idf) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = packed.select(F.col("tid").alias("a"), F.col("shingles").alias("x"))
@@ -222,9 +337,10 @@ def _own_mass(packed: DataFrame, shared) -> DataFrame:
     """(tid, own): the weight of those shingles that no other of the texts has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = Idf(*shared.value)
         for batch in batches:
             for tid, text in zip(batch.column(0), batch.column(1), strict=True):
-                h, w = unpacked(text.as_py(), shared.value)
+                h, w = unpacked(text.as_py(), idf)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), tid.as_py())), pa.array(signed(h)), pa.array(w)], names=["tid", "shingle", "weight"])
 
     rows = packed.mapInArrow(run, "tid bigint, shingle bigint, weight double")
@@ -234,9 +350,9 @@ def _own_mass(packed: DataFrame, shared) -> DataFrame:
 
 def text_ids(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(doc_id, tid, text and more columns): ``tid`` is a 64-bit fingerprint of the text and its length, null for a null text."""
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     return docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
+        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
         F.when(text.isNotNull(), F.xxhash64(text, F.length(text))).alias("tid"),
         text.alias("text"),
         *more,
@@ -272,9 +388,9 @@ def _classes(rows: DataFrame, least: float = 0.8, bands: int = BANDS, band_rows:
     spark = rows.sparkSession
     bounded_batches(spark)
     n_docs = rows.count()
-    idf = idf_weights(document_frequencies(rows), n_docs)
-    shared = spark.sparkContext.broadcast(idf)
-    texts = rows.where("tid IS NOT NULL").select("tid", "text")
+    idf = inverse_frequencies(rows, n_docs)
+    shared = spark.sparkContext.broadcast((idf.shingle, idf.weight, idf.rare))
+    texts = rows.where("tid IS NOT NULL").select("tid", F.coalesce("doc_id", F.lit(NO_ID)).alias("carrier"), "text")
     sampled = written(_sampled(texts, shared, bands, band_rows), "draws")
 
     members = sampled.select(F.explode("keys").alias("key"), "tid", "mass")
@@ -282,8 +398,10 @@ def _classes(rows: DataFrame, least: float = 0.8, bands: int = BANDS, band_rows:
     leaders = members.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.struct(o.alias("o"), "tid")).alias(f"p{i}") for i, o in enumerate(orders)]).where("n > 1")
     buckets = leaders.select("key", "n", F.array_distinct(F.array(*[f"p{i}.tid" for i in range(len(orders))])).alias("leaders"))
     listed = written(members.join(buckets, "key"), "buckets")
-    wanted = listed.select("tid").distinct()
-    one_each = texts.join(wanted.hint("shuffle_hash"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    # One carrier a text, its least doc_id, so that the copies of a hot text neither meet in one task nor move together.
+    carriers = texts.groupBy("tid").agg(F.min("carrier").alias("carrier"))
+    wanted = written(listed.select("tid").distinct().join(carriers, "tid"), "carriers")
+    one_each = texts.join(wanted.hint("shuffle_hash"), ["tid", "carrier"], "left_semi").groupBy("tid", "carrier").agg(F.first("text").alias("text"))
     packed = written(_packed(one_each), "shingles")
     stars = listed.select(F.explode("leaders").alias("b"), F.col("tid").alias("a")).where("a <> b")
     stars = written(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
@@ -320,25 +438,21 @@ def _classes(rows: DataFrame, least: float = 0.8, bands: int = BANDS, band_rows:
     salts = 16
     heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     by = ["row_key"] if "row_key" in keys else ["doc_id"]
-    out = classed.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).join(heads.hint("merge"), ["part", "salt"], "left")
+    # Rows that repeat an id are spread by the partition that they come from.
+    out = classed.withColumn("salt", F.pmod(F.xxhash64(*by, F.spark_partition_id()), F.lit(salts)).cast("int")).join(heads.hint("merge"), ["part", "salt"], "left")
     return out.select(*keys, "head")
 
 
-def keep_one_of_each(docs: DataFrame, one_row: bool = False, **options) -> DataFrame:
-    """The documents without all but one of each near-duplicate class: the one of least doc_id stays, null ids last.
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents without all but one row of each near-duplicate class: one of least doc_id stays, null ids last.
 
-    Rows are told apart by a written row key, so of copies with null ids and of
-    near copies under one id only one stays.  Rows that repeat both the id and
-    the text of the document that stays are that document and stay with it;
-    with ``one_row`` only one of them does.  All columns are kept; other
-    options are those of ``near_duplicate_classes``.
+    Rows are told apart by a written row key, so of repeated rows, of copies
+    with null ids and of near copies under one id only one stays.  All columns
+    are kept; other options are those of ``near_duplicate_classes``.
     """
     id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("row_key"))
     whole = written(whole, "rows")
     rows = text_ids(whole.select(F.col(f"row.`{id_col}`").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"), "row_key"), "doc_id", "text", "row_key")
-    placed = _classes(rows, **options)
-    gone = F.col("head").isNotNull() & (F.col("row_key") != F.col("head.row_key"))
-    if not one_row:
-        gone &= F.col("doc_id").isNull() | (F.col("doc_id") != F.col("head.doc_id")) | (F.col("tid") != F.col("head.tid"))
-    return whole.join(placed.where(gone).select("row_key").hint("merge"), "row_key", "left_anti").select("row.*")
+    gone = _classes(rows, **options).where(F.col("head").isNotNull() & (F.col("row_key") != F.col("head.row_key")))
+    return whole.join(gone.select("row_key").hint("merge"), "row_key", "left_anti").select("row.*")
