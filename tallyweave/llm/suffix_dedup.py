@@ -8,6 +8,11 @@ by their beginnings and compared with their neighbours.  A suffix that agrees
 with a neighbour is extended left and right: each passage of ``PASSAGE_WORDS``
 words around it that it was retained for is sorted and compared in the same
 way.  The union of the passages found more than once gives the spans.
+
+Sorting and comparing use fingerprints of the words in place of the words: 64
+bits for a beginning, which only selects what is extended, and 128 bits for a
+passage, which decides.  Neighbours with equal beginnings are the same in the
+order of fingerprints as in that of words.
 """
 
 from __future__ import annotations
@@ -17,16 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.near_dedup import text_ids
+from tallyweave.llm.near_dedup import NO_ID, text_ids
 from tallyweave.llm.shared import bounded_batches, written
 from tallyweave.llm.words import Words, blocks, buffers, signed, split_words, window_hashes, windows_inside
 
 PASSAGE_WORDS = 50
 ANCHOR_WORDS = 34
+#: Base of a passage's second fingerprint.
+SECOND_BASE = 0xD6E8FEB86659FD93
 _U = np.uint64
 _LAST = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -71,16 +78,23 @@ def _first_seen(tids: np.ndarray, seen: set[int]) -> np.ndarray:
 ALONE, LEAST, LATER = 0, 1, 2
 
 
-def _combined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Rows (key, order columns) of one batch, equal ones once, and each row's state among those of its key."""
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before it, from the second row on."""
+    out = np.zeros(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        out |= c[1:] != c[:-1]
+    return out
+
+
+def _combined(parts: list[list[np.ndarray]], keys: int) -> list[np.ndarray]:
+    """Rows (key columns, order columns) of one batch, equal ones once, and each row's state among those of its key."""
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
     order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
-    new = np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))[: len(order)]
+    new = np.append(True, _changes(columns))[: len(order)]
     columns = [c[new] for c in columns]
-    key = columns[0]
-    begins = np.append(True, key[1:] != key[:-1])[: len(key)]
-    ends = np.append(key[1:] != key[:-1], True)[: len(key)]
+    n, change = len(columns[0]), _changes(columns[:keys])
+    begins, ends = np.append(True, change)[:n], np.append(change, True)[:n]
     return [*columns, np.where(begins, np.where(ends, ALONE, LEAST), LATER).astype(np.int8)]
 
 
@@ -101,13 +115,13 @@ def retained_suffixes(texts: DataFrame, size: int, anchor: int) -> DataFrame:
                 h = window_hashes(words.hash, anchor)[at] if len(at) else np.zeros(0, np.uint64)
                 parts.append([signed(h), tids[low:high][row], (at - words.first[row]).astype(np.int32)])
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(parts)], names=["key", "tid", "place", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(parts, 1)], names=["key", "tid", "place", "state"])
 
     return texts.select("tid", "text").mapInArrow(run, "key bigint, tid bigint, place int, state byte")
 
 
-def sorted_neighbours(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows sorted by ``key`` and ``order`` that have the key of a different neighbour; ``first`` is true for the first of each key.
+def sorted_neighbours(rows: DataFrame, order: list[str], keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """Rows sorted by ``keys`` and ``order`` that have the keys of a different neighbour; ``first`` is true for the first of each key.
 
     ``order`` has to identify rows: equal ones (copies made by different tasks)
     count once; a row that is known to come later than another of its key may
@@ -116,7 +130,7 @@ def sorted_neighbours(rows: DataFrame, order: list[str]) -> DataFrame:
     key's task.  The rows there are streamed in sorted order, one batch and
     one row at a time.
     """
-    columns = ["key", *order]
+    columns = [*keys, *order]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deal = F.when(F.col("state") < LATER, F.col("key")).otherwise(F.xxhash64(*order))
     dealt = rows.select(*columns, "state", deal.alias("deal")).repartition(n, "deal").sortWithinPartitions(*columns, "state").drop("deal")
@@ -127,7 +141,7 @@ def sorted_neighbours(rows: DataFrame, order: list[str]) -> DataFrame:
             return table.select(columns).append_column("first", pa.array(first, pa.bool_())).to_batches()
 
         held: pa.Table | None = None  # the last row so far
-        before: int | None = None  # the key of the row before it
+        before: tuple | None = None  # the keys of the row before it
         for batch in batches:
             table = pa.Table.from_batches([batch])
             later = pc.equal(table["state"], LATER)
@@ -137,22 +151,20 @@ def sorted_neighbours(rows: DataFrame, order: list[str]) -> DataFrame:
                 continue
             table = pa.concat_tables([held, table]) if held is not None else table
             arrays = [table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in columns]
-            same = np.ones(table.num_rows - 1, bool)
-            for a in arrays:
-                same &= a[1:] == a[:-1]
-            index = np.flatnonzero(np.append(~same, True))  # of equal rows the last stays: LEAST, if one of them is
-            key = arrays[0][index]
-            begins = np.append(before is None or before != key[0], key[1:] != key[:-1])
-            ends = np.append(key[1:] != key[:-1], True)
+            index = np.flatnonzero(np.append(_changes(arrays), True))  # of equal rows the last stays: LEAST, if one of them is
+            key = [a[index] for a in arrays[: len(keys)]]
+            change = _changes(key)
+            begins = np.append(before is None or before != tuple(int(k[0]) for k in key), change)
+            ends = np.append(change, True)
             several = table["state"].combine_chunks().to_numpy(zero_copy_only=False)[index] == LEAST
             done = index[:-1]  # the last row waits for its successor
             repeated = (~(begins & ends) | several)[:-1]
             if len(done):
                 yield from out(table.take(pa.array(done[repeated])), begins[:-1][repeated])
-                before = int(key[-2])
+                before = tuple(int(k[-2]) for k in key)
             held = table.slice(index[-1], 1)
         if held is not None:
-            begins = before is None or before != held["key"][0].as_py()
+            begins = before is None or before != tuple(held[k][0].as_py() for k in keys)
             if not begins or held["state"][0].as_py() == LEAST:
                 yield from out(held, np.array([begins]))
 
@@ -160,9 +172,10 @@ def sorted_neighbours(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def repeated_passages(texts: DataFrame, anchors: DataFrame, size: int, anchor: int) -> DataFrame:
-    """(key, head, tid, place, state): every passage around a repeated suffix that the suffix is retained for.
+    """(key, second, head, tid, place, state): every passage around a repeated suffix that the suffix is retained for.
 
-    ``anchors`` has tid, head (least doc_id of the text) and places, the
+    ``texts`` has carrier, the doc_id of its row (``NO_ID`` for null): of the
+    copies of a text one moves.  ``anchors`` has tid, head (least doc_id of the text) and places, the
     repeated suffixes of one text, at most as many as it has words.
     """
 
@@ -180,13 +193,13 @@ def repeated_passages(texts: DataFrame, anchors: DataFrame, size: int, anchor: i
                     wanted[words.first[i] + np.asarray(places[int(low + i)].values)] = True
                 starts = starts[wanted[at]] if len(at) else starts
                 row = words.row[starts] if len(starts) else starts
-                h = window_hashes(words.hash, size)[starts] if len(starts) else np.zeros(0, np.uint64)
-                parts.append([signed(h), heads[low:high][row], tids[low:high][row], (starts - words.first[row]).astype(np.int32)])
+                h, second = (window_hashes(words.hash, size, *b)[starts] if len(starts) else np.zeros(0, np.uint64) for b in ((), (SECOND_BASE,)))
+                parts.append([signed(h), signed(second), heads[low:high][row], tids[low:high][row], (starts - words.first[row]).astype(np.int32)])
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(parts)], names=["key", "head", "tid", "place", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(parts, 2)], names=["key", "second", "head", "tid", "place", "state"])
 
-    joined = texts.join(anchors.hint("shuffle_hash"), "tid").select("tid", "head", "places", "text")
-    return joined.mapInArrow(run, "key bigint, head bigint, tid bigint, place int, state byte")
+    joined = texts.withColumnRenamed("carrier", "head").join(anchors.hint("shuffle_hash"), ["tid", "head"]).select("tid", "head", "places", "text")
+    return joined.mapInArrow(run, "key bigint, second bigint, head bigint, tid bigint, place int, state byte")
 
 
 def united(marks: DataFrame, size: int) -> DataFrame:
@@ -199,18 +212,19 @@ def united(marks: DataFrame, size: int) -> DataFrame:
 def text_spans(rows: DataFrame, heads: DataFrame, size: int = PASSAGE_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """(tid, role, start_word, end_word) of every text: repeats of passages that stand earlier, and the earliest places themselves."""
     bounded_batches(rows.sparkSession)
-    texts = rows.where("tid IS NOT NULL").select("tid", "text")
+    texts = rows.where("tid IS NOT NULL").select("tid", F.coalesce("doc_id", F.lit(NO_ID)).alias("carrier"), "text")
     repeated = sorted_neighbours(retained_suffixes(texts, size, anchor), ["tid", "place"])
     anchors = repeated.groupBy("tid").agg(F.collect_set("place").alias("places")).join(heads.select("tid", "head"), "tid").select("tid", "head", "places")
-    marks = sorted_neighbours(repeated_passages(texts, written(anchors, "suffixes"), size, anchor), ["head", "tid", "place"])
+    marks = sorted_neighbours(repeated_passages(texts, written(anchors, "suffixes"), size, anchor), ["head", "tid", "place"], ("key", "second"))
     return united(marks.select("tid", F.when(F.col("first"), "first").otherwise("repeat").alias("role"), "place"), size)
 
 
 def _heads(rows: DataFrame) -> DataFrame:
     """(tid, head, copies): least doc_id of each text (the largest number if all are null) and its rows."""
-    return written(rows.where("tid IS NOT NULL").groupBy("tid").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("head"), F.count("*").alias("copies")), "heads")
+    return written(rows.where("tid IS NOT NULL").groupBy("tid").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("head"), F.count("*").alias("copies")), "heads")
 
 
+#: The rows of a text meet what is known of it in so many tasks.
 SALTS = 16
 
 
@@ -218,6 +232,16 @@ def _salted(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def _salt(*by: str) -> Column:
+    """Spreads rows, also those that repeat ``by``, if they come from several partitions."""
+    return F.pmod(F.xxhash64(*by, F.spark_partition_id()), F.lit(SALTS)).cast("int")
+
+
+def _known(heads: DataFrame, spans: DataFrame) -> DataFrame:
+    """(tid, head, copies, spans, salt) of the texts that have several rows or spans; others need nothing joined."""
+    return _salted(written(heads.where("copies > 1").join(spans, "tid", "full").select("tid", "head", "copies", "spans"), "cuts"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PASSAGE_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """(doc_id, role, start_word, end_word, n_words): a row per repeated span of at least ``size`` words of each document.
 
@@ -234,14 +258,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = text_ids(docs, id_col, text_col)
     heads = _heads(rows)
     spans = text_spans(rows, heads, size, anchor)
-    counted = rows.select("doc_id", "tid", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    found = _salted(spans.groupBy("tid").agg(F.collect_list(F.struct("role", "start_word", "end_word")).alias("spans")))
-    placed = counted.join(_salted(heads).hint("merge"), ["tid", "salt"]).join(found.hint("merge"), ["tid", "salt"], "left")
+    counted = rows.select("doc_id", "tid", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"), _salt("doc_id").alias("salt"))
+    found = spans.groupBy("tid").agg(F.collect_list(F.struct("role", "start_word", "end_word")).alias("spans"))
+    placed = counted.join(_known(heads, found).hint("merge"), ["tid", "salt"])
     whole = lambda role: F.array(F.struct(F.lit(role).alias("role"), F.lit(0).alias("start_word"), F.col("words").cast("int").alias("end_word")))
     empty = F.array().cast("array<struct<role:string,start_word:int,end_word:int>>")
     own = F.coalesce("spans", empty)
-    long_copies = (F.col("copies") > 1) & (F.col("words") >= size)
-    is_head = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)) == F.col("head")
+    long_copies = F.col("copies").isNotNull() & (F.col("words") >= size)
+    is_head = F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("head")
     spans = F.when(long_copies & ~is_head, whole("repeat")).when(long_copies, F.concat(whole("first"), F.filter(own, lambda s: s["role"] == "repeat"))).otherwise(own)
     out = placed.select("doc_id", F.explode(spans).alias("s"))
     return out.select("doc_id", "s.role", "s.start_word", "s.end_word", (F.col("s.end_word") - F.col("s.start_word")).alias("n_words"))
@@ -260,10 +284,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = text_ids(docs, id_col, text_col)
     heads = _heads(rows)
     spans = text_spans(rows, heads, size, anchor).where("role = 'repeat'").groupBy("tid").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    extra = written(heads.where("copies > 1").join(spans, "tid", "full").select("tid", "head", "copies", "spans"), "cuts")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(text.isNotNull(), F.xxhash64(text, F.length(text))).alias("tid"))
-    whole = whole.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    joined = whole.join(_salted(extra).hint("merge"), ["tid", "salt"], "left")
+    whole = whole.withColumn("salt", _salt("row"))
+    joined = whole.join(_known(heads, spans).hint("merge"), ["tid", "salt"], "left")
     words = F.regexp_count(F.col("row")[text_col].cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))
     if not heads.where("copies > 1").isEmpty():
         copies = F.coalesce((F.col("copies") > 1) & (words >= size), F.lit(False))

@@ -102,12 +102,11 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(start, end, mix(np.add.reduceat(value, start)), first)
 
 
-def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every ``size`` consecutive entries of ``h`` (shorter by size - 1), for any size in linear time."""
+def window_hashes(h: np.ndarray, size: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """Hash of every ``size`` consecutive entries of ``h`` (shorter by size - 1), for any size in linear time; ``base`` is odd."""
     n = len(h)
     if n < size:
         return np.zeros(0, np.uint64)
-    base = 0x9E3779B97F4A7C15
     power, inverse = _powers(n, base), _powers(n, pow(base, -1, 1 << 64))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(h * power, out=total[1:])
