@@ -22,10 +22,10 @@ from tallyweave.llm.words import blocks, buffers, split_words
 
 _U = np.uint64
 _BASE = _U(0x100000001B3)
-#: Bytes of a piece at most; longer entries of the vocabulary are left out.
-PIECE_BYTES = 16
-#: A longer word is cut into runs of so many bytes before it is segmented.
-RUN_BYTES = 48
+#: Words of up to so many bytes are summed in groups of one length; longer ones in a rolling window that is rescaled.
+SHORT_BYTES = 48
+#: Steps of the rolling window between two rescalings, and bytes whose pieces are looked up at a time.
+RESCALE, LONG_STEP = 8, 512
 #: Added to the log probability per byte so that products of a run stay within doubles.
 BYTE_GAIN = 3.5
 SCORE_BLOCK = 3 << 20
@@ -38,7 +38,7 @@ def public_pieces(path: str) -> list[bytes]:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = (sp.id_to_piece(i).replace("▁", " ") for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
     pieces = {t.encode() for t in texts if t == t.lower() and " " not in t[1:]}
-    return sorted({p for p in pieces if 0 < len(p) <= PIECE_BYTES} | {bytes([b]) for b in range(256)})
+    return sorted({p for p in pieces if p} | {bytes([b]) for b in range(256)})
 
 
 class PieceTable:
@@ -47,6 +47,7 @@ class PieceTable:
     def __init__(self, pieces: list[bytes], bits: int = 19):
         self.size, self.bits = len(pieces), bits
         self.lengths = np.array([len(p) for p in pieces])
+        self.longest = int(self.lengths.max())
         keys = np.array([self.hash_of(p) for p in pieces], np.uint64)
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have one hash")
@@ -83,31 +84,24 @@ class PieceTable:
         return out
 
 
-def runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Byte matrices of words of one length, a space before each, and the words' numbers; long words in several runs."""
-    length = end - start
-    pieces = -(-length // RUN_BYTES)
-    number = np.repeat(np.arange(len(start)), pieces)
-    nth = np.arange(len(number)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    at = start[number] + nth * RUN_BYTES
-    size = np.minimum(end[number] - at, RUN_BYTES)
+def groups(data: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Byte matrices of words of one length, a space before each if ``spaced``, and the words' numbers."""
+    size = end - start
     order = np.argsort(size, kind="stable")
-    cuts = np.searchsorted(size[order], np.arange(1, RUN_BYTES + 2))
-    for n in range(1, RUN_BYTES + 1):
+    for n in np.unique(size).tolist():
+        low, high = np.searchsorted(size[order], [n, n + 1])
         step = max(1, 160_000 // (n + 1))
-        for low in range(cuts[n - 1], cuts[n], step):
-            own = order[low : min(low + step, cuts[n])]
-            rows = np.empty((n + 1, len(own)), np.uint8)
-            rows[0] = 0x20
-            rows[1:] = data[at[own][None, :] + np.arange(n)[:, None]]
-            yield rows, number[own]
+        for at in range(low, high, step):
+            own = order[at : min(at + step, high)]
+            rows = data[start[own][None, :] + np.arange(n)[:, None]]
+            yield (np.vstack([np.full((1, len(own)), 0x20, np.uint8), rows]) if spaced else rows), own
 
 
 def lattice(rows: np.ndarray, table: PieceTable) -> list[np.ndarray]:
-    """Piece numbers by length (from 1) and end: entry [l - 1][j] covers bytes j to j + l."""
+    """Piece numbers by length (from 1) and start: entry [l - 1][j] covers bytes j to j + l."""
     values = rows.astype(np.uint64) + _U(1)
     h, out = values, []
-    for n in range(1, min(PIECE_BYTES, len(rows)) + 1):
+    for n in range(1, min(table.longest, len(rows)) + 1):
         if n > 1:
             h = h[:-1] * _BASE + values[n - 1 :]
         out.append(table.find(h.ravel()).reshape(h.shape))
@@ -131,12 +125,78 @@ def scaled_table(logp: np.ndarray, table: PieceTable) -> np.ndarray:
     return np.vstack([np.exp(logp + BYTE_GAIN * table.lengths[:, None]), np.zeros((1, logp.shape[1]))])
 
 
+def long_scores(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: PieceTable, scaled: np.ndarray) -> np.ndarray:
+    """Log probability of words of any length, all segmentations summed.
+
+    The sums up to the last bytes, as many as the longest piece has, are held
+    for words of about one length; they are rescaled as they move on.
+    """
+    out = np.zeros((len(start), scaled.shape[1]))
+    size, most = end - start + 1, table.longest
+    order = np.argsort(size, kind="stable")
+    low = 0
+    while low < len(order):
+        least = int(size[order[low]])
+        high = min(int(np.searchsorted(size[order], least * 5 // 4, "right")), low + max(1, (1 << 18) // least))
+        own = order[low:high]
+        n, low = size[own], high
+        window = np.zeros((most, len(own), scaled.shape[1]))
+        window[-1] = 1
+        log = np.zeros(window.shape[1:])
+        held = np.zeros((0, len(own)), np.uint8)  # the bytes that pieces still coming may begin with
+        for at in range(0, int(n.max()), LONG_STEP):
+            place = np.arange(at, min(at + LONG_STEP, int(n.max())))[:, None]
+            rows = data[np.minimum(start[own] + place - 1, len(data) - 1)]
+            rows[np.broadcast_to(place == 0, rows.shape)] = 0x20
+            rows[place >= n] = 0  # beyond a word's end, where nothing is read
+            rows = np.vstack([held, rows])
+            ends = np.full((len(place), most, len(own)), table.size, np.int32)
+            for k, found in enumerate(lattice(rows, table)):
+                first = max(0, len(held) - k)  # pieces of k + 1 bytes that end among the new bytes
+                ends[first + k - len(held) :, most - 1 - k] = found[first:]
+            held = rows[len(rows) - min(len(rows), most - 1) :]
+            for j in range(len(place)):
+                new = (window * scaled[ends[j]]).sum(0)
+                window[:-1] = window[1:].copy()
+                window[-1] = new
+                done = np.flatnonzero(n == at + j + 1)
+                if len(done):
+                    out[own[done]] = log[done] + np.log(new[done]) - BYTE_GAIN * n[done, None]
+                if j % RESCALE == RESCALE - 1:
+                    log += np.log(new)
+                    window /= new
+    return out
+
+
 def word_scores(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: PieceTable, scaled: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
     out = np.zeros((len(start), scaled.shape[1]))
-    for rows, number in runs(data, start, end):
-        got = np.log(forward(lattice(rows, table), scaled)[-1]) - BYTE_GAIN * len(rows)
-        np.add.at(out, number, got)
+    short = np.flatnonzero(end - start <= SHORT_BYTES)
+    for rows, own in groups(data, start[short], end[short]):
+        out[short[own]] = np.log(forward(lattice(rows, table), scaled)[-1]) - BYTE_GAIN * len(rows)
+    long = np.flatnonzero(end - start > SHORT_BYTES)
+    if len(long):
+        out[long] = long_scores(data, start[long], end[long], table, scaled)
+    return out
+
+
+def training_parts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """(spaced, start, end, word) of what words train with: whole ones, and longer ones in parts of about ``SHORT_BYTES`` bytes cut between characters."""
+    parts: list[tuple[int, int, int, bool]] = []
+    for w in np.flatnonzero(end - start > SHORT_BYTES).tolist():
+        a = int(start[w])
+        while a < end[w]:
+            b = min(a + SHORT_BYTES, int(end[w]))
+            while b < end[w] and b - a > SHORT_BYTES - 4 and data[b] & 0xC0 == 0x80:
+                b -= 1
+            parts.append((a, b, w, a == start[w]))
+            a = b
+    short = np.flatnonzero(end - start <= SHORT_BYTES)
+    whole = [(int(start[w]), int(end[w]), w, True) for w in short.tolist()] + parts
+    out = []
+    for spaced in (True, False):
+        own = np.array([p[:3] for p in whole if p[3] == spaced], np.int64).reshape(-1, 3)
+        out.append((spaced, own[:, 0], own[:, 1], own[:, 2]))
     return out
 
 
@@ -152,18 +212,21 @@ def fit_pieces(texts: pa.Array, table: PieceTable, rounds: int, smooth: float) -
     _, start, end, back = distinct_words(data, offsets)
     times = np.bincount(back, minlength=len(start)).astype(float)
     logp = np.full((table.size, 1), -np.log(table.size))
+    parts = training_parts(data, start, end)
     for _ in range(rounds):
         scaled, count = scaled_table(logp, table), np.zeros(table.size + 1)
-        for rows, number in runs(data, start, end):
-            found = lattice(rows, table)
-            alpha, m = forward(found, scaled)[:, :, 0], len(rows)
-            beta = np.zeros_like(alpha)
-            beta[m] = times[number] / alpha[m]
-            for j in range(m - 1, -1, -1):
-                for n in range(1, min(len(found), m - j) + 1):
-                    through = scaled[found[n - 1][j], 0] * beta[j + n]
-                    beta[j] += through
-                    count += np.bincount(found[n - 1][j], alpha[j] * through, table.size + 1) if n > 1 or j else 0
+        for spaced, first, last, word in parts:
+            for rows, own in groups(data, first, last, spaced):
+                found = lattice(rows, table)
+                alpha, m = forward(found, scaled)[:, :, 0], len(rows)
+                beta = np.zeros_like(alpha)
+                beta[m] = times[word[own]] / alpha[m]
+                for j in range(m - 1, -1, -1):
+                    for n in range(1, min(len(found), m - j) + 1):
+                        through = scaled[found[n - 1][j], 0] * beta[j + n]
+                        beta[j] += through
+                        # The space that stands before every word is no piece of a language's own.
+                        count += np.bincount(found[n - 1][j], alpha[j] * through, table.size + 1) if n > 1 or j or not spaced else 0
         share = count[:-1] + smooth
         logp = np.log(share / share.sum())[:, None]
     return logp[:, 0]
@@ -217,7 +280,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
     """(row, lang_pred, score): each whole row as a struct, its language and that language's posterior probability.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was
-    learned.  Rows keep all their columns, inside the struct, so names cannot
+    learned.  Words of any length are summed whole.  Rows keep all their columns, inside the struct, so names cannot
     clash; repeated rows stay.  No shuffle.
     """
     bounded_batches(docs.sparkSession)
@@ -246,6 +309,6 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
                     names=["row", "lang_pred", "score"],
                 )
 
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("known"))
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
