@@ -33,6 +33,55 @@ _LATIN = r"A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _LATIN_NUMBERS = r"0-9²³¹¼-¾"
 _BEYOND_LATIN = re.compile(r"[^\x00-ɏ]")
 
+# Fixed values.  The tokenizers library composes by Unicode 9, splits by Unicode 16 and lowers by Unicode 17; Python 3.13
+# has Unicode 15.1, and the regex module may have a later one.
+#: Combining marks since Unicode 10, and the one later mark that composes: to the library they combine with nothing.
+LATER_MARKS = [
+    (0x07FD, 0x07FD), (0x0898, 0x089F), (0x08CA, 0x08D3), (0x09FE, 0x09FE), (0x0C3C, 0x0C3C), (0x0D3B, 0x0D3C), (0x0EBA, 0x0EBA),
+    (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF),
+    (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930),
+    (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42),
+    (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE),
+    (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+#: Letters and numbers since Unicode 17: to the library's split they are neither.
+LATER_LETTERS = [
+    (0x0558, 0x0558), (0x058B, 0x058C), (0x088F, 0x088F), (0x0C5C, 0x0C5C), (0x0CDC, 0x0CDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9),
+    (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+#: First and last capital of a range since Unicode 16, and the lower-case letter of the first.
+LATER_CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+#: A character that is no letter, number or white space, in place of a later letter while a text is split.
+_NEITHER = "☃"
+
+
+def _class(ranges: list[tuple[int, ...]]) -> str:
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, *_ in ranges) + "]"
+
+
+_LATER_MARK, _LATER_LETTER, _LATER_CAPITAL = (re.compile(_class(r)) for r in (LATER_MARKS, LATER_LETTERS, LATER_CAPITALS))
+_LOWER = {a + i: low + i for a, b, low in LATER_CAPITALS for i in range(b - a + 1)}
+
+
+def composed(text: str) -> str:
+    """NFC as of Unicode 9: later marks stand for themselves and keep their neighbours apart."""
+    if unicodedata.is_normalized("NFC", text):
+        return text
+    out, at = [], 0
+    for m in _LATER_MARK.finditer(text):
+        out += [unicodedata.normalize("NFC", text[at : m.start()]), m.group()]
+        at = m.end()
+    return "".join([*out, unicodedata.normalize("NFC", text[at:])])
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 as itself, the rest from U+0100 on."""
@@ -88,8 +137,9 @@ class TrieEncoder:
         """NFC and lower case letter by letter; white space is dropped by the split pattern anyhow."""
         if text.isascii():
             return text.lower()
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+        text = composed(text)
+        if _LATER_CAPITAL.search(text):
+            text = text.translate(_LOWER)
         return text.replace("Σ", "σ").lower()
 
     def may_follow(self, a: int, b: int) -> bool:
@@ -200,7 +250,11 @@ class TrieEncoder:
 
     def _find(self, text: str) -> list[str]:
         text = self.normal(text)
-        return (self.latin if text.isascii() or not _BEYOND_LATIN.search(text) else self.pattern).findall(text)
+        if text.isascii() or not _BEYOND_LATIN.search(text):
+            return self.latin.findall(text)
+        if not _LATER_LETTER.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(_LATER_LETTER.sub(_NEITHER, text))]
 
     def digest(self, texts: list[str], most_words: int = 1_000_000) -> Iterator[tuple[int, str, str]]:
         """Token count and digests of ids and decoded text, in batches of about ``most_words`` words."""
@@ -260,7 +314,7 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def bpe_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,6 +333,6 @@ def bpe_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                     names=["doc_id", "ids", "decoded"],
                 )
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
         run, "doc_id bigint, ids array<int>, decoded string"
     )
