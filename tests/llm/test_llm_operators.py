@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyweave.llm import ann, bpe, langid, license_scan, mixing, near_dedup, quality, queries, sharding, suffix_dedup, warc
+from tallyweave.llm import bpe, langid, license_scan, mixing, near_dedup, quality, queries, sharding, suffix_dedup, warc
 from tallyweave.llm.shared import connected_components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -247,31 +247,6 @@ def test_archives(spark):
     assert warc.archive_round_trip(spark, pages.limit(0)).count() == 0
 
 
-def test_nearest(spark):
-    vectors = queries.table(spark, "/root/testdata/sf0.01", "embeddings")
-    odd = spark.createDataFrame([(100000, None, 1), (100020, [0.0] * 64, 1), (100040, [float("nan")] * 64, 1), (None, [1.0] * 64, 1), (100060, [None] + [1.0] * 63, 1)], vectors.schema)
-    rows = ann.nearest(vectors.union(odd), shard=200).collect()
-    p = vectors.toPandas()
-    x, ids = np.stack(p.embedding).astype(float), p.vec_id.to_numpy()
-    found, asked = collections.defaultdict(dict), [i for i in range(len(ids)) if ids[i] % 20 == 0]
-    for r in rows:
-        found[r.query_id][r.vec_id] = r.score
-    hits = 0
-    for i in asked:
-        score = x @ x[i]
-        best = [j for j in np.lexsort((ids, -score)) if j != i][:20]
-        hits += len({int(ids[j]) for j in best} & set(found[ids[i]]))
-        assert len(found[ids[i]]) == 20 and all(abs(score[np.flatnonzero(ids == v)[0]] - s) < 1e-12 for v, s in found[ids[i]].items())
-    assert set(found) == {int(ids[i]) for i in asked} and hits >= 0.9 * 20 * len(asked)
-
-
-def test_pigeonhole_finds_every_code():
-    packed = np.random.default_rng(0).integers(0, 256, (500, 8)).astype(np.uint8)
-    index = ann.SubstringIndex(packed)
-    for radius in (5, 20, 27):
-        assert index.within(packed[0], radius).tolist() == np.flatnonzero(ann.distances(packed[0], packed) <= radius).tolist()
-
-
 def test_licences(spark):
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
     found = {(r.doc_id, r.paragraph): r for r in license_scan.licence_finds(docs).where("confirmed").collect()}
