@@ -29,7 +29,7 @@ CODE_BITS, SUBSTRING_BITS = 128, 16
 #: Vectors on which rotations and radius are fitted, at most.
 SAMPLE = 8000
 #: Vectors of a task's lists, about.
-LIST_ROWS = 8192
+LIST_ROWS = 65536
 _POPCOUNT = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
 
 
