@@ -5,7 +5,10 @@ target over size.  The fractions are inclusion probabilities, which the cube
 method (Deville and Tille, 2004) moves to 0 or 1 along directions that change
 neither the word total nor the document total.  Blocks of documents move in
 parallel; each leaves at most two fractions, which are moved in the next level,
-until one block a source is left, whose last fractions are landed.
+until one block a source is left.  A pool of its documents is held back.  The
+last two fractions and the pool's large documents are drawn one by one, and the
+pool's other fractions move by as many words the other way, in proportion, so
+that their expectations stay; then these fly, and a few of them are landed.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from tallyweave.llm.sharding import numbered
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 4096
 REPEATS = 3
-#: Fractions held back from a source's last block for its landing problem.
-LANDING = 12
+#: Fractions held back from a source's last block, and of these from their flight for the landing problem.
+POOL, LANDING = 256, 12
 _NEAR = 1e-9
 
 
@@ -69,17 +72,46 @@ def move_to_faces(size: np.ndarray, p: np.ndarray, seed: list[int], hold: int =
 
 
 def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Landing phase for the few last fractions: of the corners within one document of the total, the nearest in words."""
-    open_ = np.flatnonzero((p > _NEAR) & (p < 1 - _NEAR))
+    """Landing phase for the few last fractions: of the corners within two documents of the total, the nearest in words."""
+    open_ = open_fractions(p)
     p = np.where(p >= 1 - _NEAR, 1.0, np.where(p <= _NEAR, 0.0, p))
     if len(open_):
         corners = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1).astype(float)
         moved = corners - p[open_]
         documents, words = np.abs(moved.sum(1)), np.abs(moved @ size[open_])
-        p[open_] = corners[np.lexsort((documents, words, documents >= 1))[0]]
+        p[open_] = corners[np.lexsort((documents, words, documents >= 2))[0]]
     return p
 
 
+def open_fractions(p: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((p > _NEAR) & (p < 1 - _NEAR))
+
+
+def last_block(size: np.ndarray, p: np.ndarray, seed: list[int]) -> np.ndarray:
+    """All probabilities of a source's one block, moved and landed: 0 or 1."""
+    p = move_to_faces(size, p, [*seed, 0], POOL)
+    rest = open_fractions(p)
+    rest = rest[np.argsort(-size[rest], kind="stable")]
+    large = int((size[rest] > 2 * size[rest].mean()).sum()) if len(rest) else 0
+    draws = np.random.Generator(np.random.Philox(np.random.SeedSequence([*seed, 1]))).random(large)
+    for k, i in enumerate(rest[:large]):
+        after = rest[k + 1 :]
+        room = np.minimum(p[after], 1 - p[after])
+        whole = (size[after] * room).sum()
+        taken = float(draws[k] < p[i])
+        if size[i] * abs(taken - p[i]) > whole:  # more words than the others can make up for: the nearer end
+            taken = float(p[i] > 0.5)
+        words, p[i] = size[i] * (taken - p[i]), taken
+        if whole:
+            p[after] = np.clip(p[after] - words * room / whole, 0, 1)
+    rest = open_fractions(p)
+    rest = rest[np.argsort(-size[rest], kind="stable")]
+    held = len(rest) - 1 - np.unique(np.linspace(0, len(rest) // 2, min(LANDING, len(rest))).astype(int))
+    fly = np.delete(rest, held)
+    p[fly] = move_to_faces(size[fly], p[fly], [*seed, 2])
+    return land(size, p)
+
+
 def source_targets(sizes: DataFrame, repeats: int = REPEATS, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(source, source_no, documents, source_size, target): one row per source.
 
@@ -115,11 +147,10 @@ def source_targets(sizes: DataFrame, repeats: int = REPEATS, weights: tuple[int,
 def balanced_copies(units: DataFrame, seed: int, block: int) -> DataFrame:
     """Adds ``copies``: how often each unit is taken.
 
-    ``units`` has key columns, source_no, documents, source_size, target and
+    ``units`` has row_number, source_no, documents, source_size, target and
     size.  Levels of blocks are counted from the largest source, so every
     source goes through the same few steps.
     """
-    keys = [c for c in units.columns if c not in ("source_no", "documents", "source_size", "target", "size")]
     q = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = units.withColumn("base", F.floor(q + _NEAR)).withColumn("p", F.greatest(q - F.col("base"), F.lit(0.0)))
     most = units.agg(F.max("documents")).first()[0] or 0
@@ -129,7 +160,7 @@ def balanced_copies(units: DataFrame, seed: int, block: int) -> DataFrame:
     while True:
         blocks = F.greatest(F.ceil(per_source / block), F.lit(1))
         last = most <= block
-        flight = _flight(left.withColumn("blocks", blocks.cast("bigint")), keys, seed, level)
+        flight = _flight(left.withColumn("blocks", blocks.cast("bigint")), seed, level)
         moved = written(flight, "mixed")
         settled = moved.where("p = 0 OR p = 1")
         done = settled if done is None else done.unionByName(settled)
@@ -140,20 +171,22 @@ def balanced_copies(units: DataFrame, seed: int, block: int) -> DataFrame:
     return done.withColumn("copies", F.col("base") + F.col("p").cast("bigint")).drop("p", "base", "blocks")
 
 
-def _flight(units: DataFrame, keys: list[str], seed: int, level: int) -> DataFrame:
-    """One level of flight in every block; sources of one block are landed too."""
-    order = F.xxhash64(F.lit(seed + level), *keys, "size")
+def _flight(units: DataFrame, seed: int, level: int) -> DataFrame:
+    """One level of flight in every block; sources of one block are landed too.
+
+    Blocks are dealt by row number, so rows that repeat an id, or have none, spread over them like any others.
+    """
+    order = F.xxhash64(F.lit(seed + level), "row_number")
     units = units.withColumn("block", F.pmod(order, "blocks")).withColumn("order_", order)
     schema = units.drop("block", "order_").schema
     names = schema.fieldNames()
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("order_", "ascending"), *[(k, "ascending") for k in keys], ("size", "ascending")])
+        group = group.sort_by([("order_", "ascending"), ("row_number", "ascending")])
         size, p = group["size"].to_numpy(), group["p"].to_numpy()
         last = group["blocks"][0].as_py() == 1
-        moved = move_to_faces(size, p, [seed, level, group["source_no"][0].as_py(), group["block"][0].as_py()], LANDING if last else 0)
-        if last:
-            moved = land(size, moved)
+        seeds = [seed, level, group["source_no"][0].as_py(), group["block"][0].as_py()]
+        moved = last_block(size, p, seeds) if last else move_to_faces(size, p, seeds)
         return group.select(names).set_column(names.index("p"), "p", pa.array(moved, pa.float64()))
 
     return units.groupBy("source_no", "block").applyInArrow(run, schema)
@@ -164,7 +197,6 @@ def word_count(text: Column) -> Column:
 
 
 def _planned(units: DataFrame, seed: int, block: int, repeats: int) -> DataFrame:
-    units = written(units, "units")
     targets = written(source_targets(units.select("source", "size"), repeats), "targets")
     joined = units.join(targets, units["source"].eqNullSafe(targets["source"])).drop("source")
     return balanced_copies(joined, seed, block)
@@ -181,6 +213,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     give the same mix.
     """
     units = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
+    # Equal rows may change places, so the last number, which spreads them over the ranges, doesn't change the mix.
+    units = numbered(units.withColumn("tie_", F.monotonically_increasing_id()), ["doc_id", "source", "size", "tie_"]).drop("tie_")
     out = _planned(units, seed, block, repeats)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -199,5 +233,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = numbered(whole, ["id_", "tid_", "hash_", "tie_"]).select("row", "row_number")
     own = F.col("row")[text_col]
     units = whole.select("row_number", F.col("row")[source_col].cast("string").alias("source"), word_count(own).alias("size"))
-    copies = _planned(units, seed, block, repeats).where("copies > 0").select("row_number", F.col("copies").cast("int").alias("copies"))
+    copies = _planned(written(units, "units"), seed, block, repeats).where("copies > 0").select("row_number", F.col("copies").cast("int").alias("copies"))
     return whole.join(copies, "row_number").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

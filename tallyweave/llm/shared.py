@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests, one machine), a local folder is made and set.
+    Where it is unset on one machine (a local master), a local folder is made
+    and set; on a cluster that is an error, as executors share no such folder.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -28,7 +31,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Let no Arrow batch that goes to Python pass ``size`` bytes by more than one row: long texts come in smaller batches."""
+    """Let no Arrow batch that goes to Python pass ``size`` bytes by more than one row: long texts come in smaller batches.
+
+    This sets ``spark.sql.execution.arrow.maxBytesPerBatch`` for the session,
+    unless it is smaller; batches are made when a result is read, so it can't be set back here.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, "64m").lower().rstrip("b")
     unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
