@@ -17,6 +17,8 @@ All rarer shingles have the weight of one at that threshold.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ FEATURE_BITS = 18
 #: A shingle that fewer than one in so many texts have weighs like one that one in so many have.
 RARE = 256
 _FEATURE_CHUNK = 2048
+#: Cells in which the weight that two texts can have in common is bounded.
+CELLS = 64
 #: Draws are looked for below ``FIRST_LOOK`` over the weight of the text; without one, among all shingles.
 FIRST_LOOK = 4.0
 _SHINGLES = 1 << 13
@@ -333,19 +337,35 @@ def _verified(pairs: DataFrame, packed: DataFrame, shared, least: float) -> Data
     return written(both.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def _own_mass(packed: DataFrame, shared) -> DataFrame:
-    """(tid, own): the weight of those shingles that no other of the texts has."""
+def _shared_cells(packed: DataFrame, shared) -> DataFrame:
+    """(tid, rest): the weight of those shingles that another of the texts has too, by cell of the shingle's hash.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = Idf(*shared.value)
+    The sum over cells of the least of two texts' weights is never below the
+    weight that they have in common.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tid, text in zip(batch.column(0), batch.column(1), strict=True):
+                h = np.frombuffer(text.as_py(), np.int64, len(text.as_py()) // 12)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), tid.as_py())), pa.array(h)], names=["tid", "shingle"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = Idf(*shared.value)
+        for batch in batches:
+            rest = []
+            for text, single in zip(batch.column(1), batch.column(2), strict=True):
                 h, w = unpacked(text.as_py(), idf)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), tid.as_py())), pa.array(signed(h)), pa.array(w)], names=["tid", "shingle", "weight"])
+                if single.is_valid:
+                    w = np.where(np.isin(h, single.values.to_numpy().view(np.uint64)), 0.0, w)
+                # Rounded up, so that the bound stays one.
+                rest.append(np.nextafter(np.bincount((h & _U(CELLS - 1)).astype(np.int64), w, CELLS).astype(np.float32), np.float32(np.inf)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rest, pa.list_(pa.float32()))], names=["tid", "rest"])
 
-    rows = packed.mapInArrow(run, "tid bigint, shingle bigint, weight double")
-    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("tid").alias("tid"), F.min("weight").alias("weight")).where("n = 1")
-    return single.groupBy("tid").agg(F.sum("weight").alias("own"))
+    rows = packed.mapInArrow(spread, "tid bigint, shingle bigint")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("tid").alias("tid")).where("n = 1")
+    joined = packed.join(single.groupBy("tid").agg(F.collect_list("shingle").alias("single")), "tid", "left").select("tid", "shingles", "single")
+    return joined.mapInArrow(cells, "tid bigint, rest array<float>")
 
 
 def text_ids(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -372,8 +392,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Within a band's bucket, members are first compared with three leaders (one
     per priority order, found by aggregation), whatever the bucket's size, so
     a large group of copies costs a few links a member.  Then pairs of a bucket
-    that still lie in different components are compared, unless what each has
-    for itself alone shows that they cannot be similar enough.
+    that still lie in different components are compared, unless a bound on
+    what they have in common shows that they cannot be similar enough.
     """
     return _classes(text_ids(docs, id_col, text_col), least, bands, band_rows).select("doc_id", "tid", F.coalesce("head.doc_id", "doc_id").alias("class_id"))
 
@@ -381,9 +401,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def _classes(rows: DataFrame, least: float = 0.8, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """The rows of ``text_ids`` without text, and head.
 
-    ``head`` is the row that stands for the class: least doc_id, nulls last,
-    then least tid and, if rows have one, least row key.  It is null for a row
-    that is alone.
+    ``head`` is (doc_id, tid) of the row that stands for the class: least
+    doc_id, nulls last, then least tid.  It is null for a row that is alone.
     """
     spark = rows.sparkSession
     bounded_batches(spark)
@@ -413,46 +432,63 @@ def _classes(rows: DataFrame, least: float = 0.8, bands: int = BANDS, band_rows:
     placed = written(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     placed = placed.join(mixed, "key", "left_semi")
-    own = written(_own_mass(packed.join(placed.select("tid").distinct(), "tid", "left_semi"), shared), "own")
-    open_members = placed.join(own, "tid", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    rest = _shared_cells(packed.join(placed.select("tid").distinct(), "tid", "left_semi"), shared)
+    total = F.aggregate("rest", F.lit(0.0), lambda s, v: s + v)
+    open_members = placed.join(rest, "tid").withColumn("most", total)
     # A text with too much of its own is similar enough to none, whatever the other text is.
-    open_members = open_members.where(F.col("mass") - F.col("own") >= (least - 1e-9) * F.col("mass"))
+    open_members = open_members.where(F.col("most") >= (least - 1e-6) * F.col("mass"))
     open_members = written(open_members.join(sampled.select("tid", "keys"), "tid"), "open")
-    x = open_members.select("key", F.col("keys").alias("keys_a"), F.col("tid").alias("a"), F.col("mass").alias("mass_a"), F.col("component").alias("c_a"), (F.col("mass") - F.col("own")).alias("rest_a"))
-    y = open_members.select("key", F.col("keys").alias("keys_b"), F.col("tid").alias("b"), F.col("mass").alias("mass_b"), F.col("component").alias("c_b"), (F.col("mass") - F.col("own")).alias("rest_b"))
-    most = F.least("rest_a", "rest_b")
-    close = most >= (least - 1e-9) * (F.col("mass_a") + F.col("mass_b") - most)
+    x, y = (open_members.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("tid", "keys", "mass", "component", "most", "rest")]) for side in "ab")
+
+    def alike(most):
+        return most >= (least - 1e-6) * (F.col("mass_a") + F.col("mass_b") - most)
+
+    # Spelt out cell by cell, which compiles where functions over arrays are interpreted.
+    common = reduce(add, [F.least(F.col("rest_a")[i], F.col("rest_b")[i]).cast("double") for i in range(CELLS)])
     # A pair meets once: in the first bucket that both are in.
     once = F.array_intersect("keys_a", "keys_b")[0] == x["key"]
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & close & once).select("a", "b")
+    close = alike(F.least("most_a", "most_b")) & alike(common) & once
+    apart = (F.col("tid_a") > F.col("tid_b")) & (F.col("component_a") != F.col("component_b"))
+    across = x.join(y, (x["key"] == y["key"]) & apart & close).select(F.col("tid_a").alias("a"), F.col("tid_b").alias("b"))
     more = _verified(across.join(stars, ["a", "b"], "left_anti"), packed, shared, least)
     parts = written(connected_components(links.unionByName(more)), "parts")
 
-    keys = [c for c in rows.columns if c != "text"]
-    classed = rows.select(*keys, F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    classed = rows.select("doc_id", "tid", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
     classed = classed.join(parts.withColumnRenamed("node", "tid"), "tid", "left")
     classed = classed.withColumn("part", F.when(F.col("worded"), F.coalesce("component", "tid")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *keys)).alias("head")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid")).alias("head")
     heads = written(classed.where("part IS NOT NULL").groupBy("part").agg(first, F.count("*").alias("n")).where("n > 1"), "heads")
-    # Salted, so that the copies of one hot text spread over many tasks.
+    # Salted, so that the copies of one hot text spread over many tasks, also if they repeat an id.
     salts = 16
     heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    by = ["row_key"] if "row_key" in keys else ["doc_id"]
-    # Rows that repeat an id are spread by the partition that they come from.
-    out = classed.withColumn("salt", F.pmod(F.xxhash64(*by, F.spark_partition_id()), F.lit(salts)).cast("int")).join(heads.hint("merge"), ["part", "salt"], "left")
-    return out.select(*keys, "head")
+    out = classed.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(salts)).cast("int")).join(heads.hint("merge"), ["part", "salt"], "left")
+    return out.select("doc_id", "tid", "head")
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents without all but one row of each near-duplicate class: one of least doc_id stays, null ids last.
 
-    Rows are told apart by a written row key, so of repeated rows, of copies
-    with null ids and of near copies under one id only one stays.  All columns
-    are kept; other options are those of ``near_duplicate_classes``.
+    Of repeated rows, of copies with null ids and of near copies under one id
+    only one stays; of rows that repeat id and text, the one of least hash.
+    All columns are kept; other options are those of
+    ``near_duplicate_classes``.  Rows that share id and text meet in one task,
+    where each other task sends one of them.
     """
     id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("row_key"))
-    whole = written(whole, "rows")
-    rows = text_ids(whole.select(F.col(f"row.`{id_col}`").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"), "row_key"), "doc_id", "text", "row_key")
-    gone = _classes(rows, **options).where(F.col("head").isNotNull() & (F.col("row_key") != F.col("head.row_key")))
-    return whole.join(gone.select("row_key").hint("merge"), "row_key", "left_anti").select("row.*")
+    rows = text_ids(docs, id_col, text_col)
+    placed = _classes(rows, **options).where("head IS NOT NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id_"), F.col("tid").alias("tid_"), "head")
+    same = (F.col("id_") == F.coalesce("head.doc_id", F.lit(NO_ID))) & (F.col("tid_") == F.col("head.tid"))
+    known = placed.withColumn("same", same).groupBy("id_", "tid_").agg(F.first("same").alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1")
+    text = F.col(f"`{text_col}`").cast("string")
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias("id_"),
+        F.when(text.isNotNull(), F.xxhash64(text, F.length(text))).alias("tid_"),
+    )
+    known = written(known, "known")
+    if known.where("stays").isEmpty():
+        return whole.join(known.hint("merge"), ["id_", "tid_"], "left_anti").select("row.*")
+    joined = whole.join(known.hint("merge"), ["id_", "tid_"], "left")
+    alone = joined.where("stays IS NULL").select("row")
+    least_row = F.min_by("row", F.xxhash64("row")).alias("row")
+    return alone.unionByName(joined.where("stays").groupBy("id_", "tid_").agg(least_row).select("row")).select("row.*")
