@@ -113,27 +113,49 @@ def offline_provider(seed: int = 0) -> Provider:
     return answer
 
 
+def answer_list(answer: str | None) -> list | None:
+    """The list that a JSON answer states, with or without code fences; None for scalars, objects and anything that doesn't parse."""
+    import json
+    import re
+
+    bare = re.sub(r"\s*```\s*\Z", "", re.sub(r"\A\s*```(json)?\s*", "", answer or ""))
+    try:
+        found = json.loads(bare)
+    except ValueError:
+        return None
+    return found if isinstance(found, list) else None
+
+
+def asked_again(provider: Provider, batch: dict, attempts: int) -> str:
+    """The provider's answer; lost connections and timeouts are tried again, at most ``attempts`` calls, other errors are not."""
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return provider(batch)
+        except (ConnectionError, TimeoutError):
+            if not left:
+                raise
+    raise ValueError("attempts must be positive")
+
+
 def score_batches(prompts: DataFrame, provider: Provider, attempts: int = 3) -> DataFrame:
-    """Prompts (batch, n_people, n_items, prompt, ...) with ``answer``: the first answer that parses to n_people results, else the last.
+    """Prompts (batch, n_people, n_items, prompt, ...) with ``answer``: the first answer that lists n_people results, else the last.
 
-    Task retries ask again, so a provider has to be idempotent for a batch.
+    Fences don't matter, as in ``parsed_scores``.  Lost connections and
+    timeouts are tried again, ``attempts`` times in each attempt at most.  Task
+    retries ask again, so a provider has to be idempotent for a batch.
     """
     columns = prompts.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
         for frame in frames:
             answers = []
             for row in frame.to_dict("records"):
                 text = ""
                 for _ in range(attempts):
-                    text = provider(row)
-                    try:
-                        if len(json.loads(text)) == row["n_people"]:
-                            break
-                    except ValueError:
-                        continue
+                    text = asked_again(provider, row, attempts)
+                    found = answer_list(text)
+                    if found is not None and len(found) == row["n_people"]:
+                        break
                 answers.append(text)
             yield frame.assign(answer=answers)[[*columns, "answer"]]
 

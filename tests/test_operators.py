@@ -226,3 +226,34 @@ def test_batch_files_and_sinks(spark, tmp_path):
     files.write_map(table, f"file://{tmp_path}/map", "k", "v")
     assert {r.key: r.value for r in files.read_map(spark, f"file://{tmp_path}/map", "double").collect()} == {"a": 0.1235, "b": 2.00050001}
     assert sorted(r.v for r in files.rounded_numbers(table).collect()) == [0.124, 1.0, 2.001]
+
+
+def test_answers_of_any_kind_are_asked_for_again(spark):
+    """Scalars, objects, null and broken answers are repeated, fenced lists are not; lost connections are tried again, other errors raised."""
+    prompts = spark.createDataFrame([(k, 2, 1, k) for k in ("scalar", "null", "none", "object", "broken", "fenced", "lost")], "batch string, n_people int, n_items int, prompt string").coalesce(1)
+
+    def make():
+        calls = {}
+
+        def provider(batch):
+            kind = batch["prompt"]
+            calls[kind] = calls.get(kind, 0) + 1
+            if kind == "lost" and calls[kind] < 3:
+                raise ConnectionError("lost")
+            first = {"scalar": "5", "null": "null", "none": None, "object": '{"a": 1, "b": 2}', "broken": "[{"}.get(kind)
+            if kind in ("scalar", "null", "none", "object", "broken") and calls[kind] < 3:
+                return first
+            body = f'[{{"item_1": 0.{calls[kind]}}}, {{"item_1": 0.5}}]'
+            return f"```json\n{body}\n```" if kind == "fenced" else body
+
+        return provider
+
+    scored = generation.score_batches(prompts, make())
+    got = {r.batch: r.s for r in scored.select("batch", generation.parsed_scores(F.col("answer")).alias("s")).collect()}
+    assert {k: v[0]["item_1"] for k, v in got.items()} == {"scalar": 0.3, "null": 0.3, "none": 0.3, "object": 0.3, "broken": 0.3, "fenced": 0.1, "lost": 0.3}
+
+    def refuses(batch):
+        raise KeyError("no such model")
+
+    with pytest.raises(Exception, match="no such model"):
+        generation.score_batches(prompts, refuses).collect()
