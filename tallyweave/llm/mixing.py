@@ -214,7 +214,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     units = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
     # Equal rows may change places, so the last number, which spreads them over the ranges, doesn't change the mix.
-    units = numbered(units.withColumn("tie_", F.monotonically_increasing_id()), ["doc_id", "source", "size", "tie_"]).drop("tie_")
+    # Written first, as sampling the ranges would count the words once more.
+    units = written(units.withColumn("tie_", F.monotonically_increasing_id()), "units")
+    units = numbered(units, ["doc_id", "source", "size", "tie_"]).drop("tie_")
     out = _planned(units, seed, block, repeats)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
