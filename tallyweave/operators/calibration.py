@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import clip, left_rank, ratio, rescale_rank
+from tallyweave.operators.ranks import ordinal_ranks
 
 
 def percentiles(df: DataFrame, item: list[str], raw: str, tie: str) -> DataFrame:
-    """Adds rank_ (first come, by ``tie``) and percentile = rank / n within the item."""
-    by = Window.partitionBy(*item)
-    rank = F.row_number().over(by.orderBy(raw, tie))
-    return df.withColumn("rank_", rank).withColumn("percentile", F.col("rank_") / F.count("*").over(by))
+    """Adds rank_ (first come, by ``tie``) and percentile = rank / n within the item; an item's rows are ranked in ranges."""
+    ranked = ordinal_ranks(df, item, [raw, tie], "rank_")
+    return ranked.withColumn("percentile", F.col("rank_") / F.col("total_")).drop("total_")
 
 
 def calibrate(scored: DataFrame, m: int, cuts: str = "cuts") -> Column:

@@ -97,19 +97,18 @@ def summary_blocks(pairs: DataFrame, blocks: dict[str, Column], generated: str,
     return validation.error_stats(rows, generated, real, ["block"]).where(F.col("n") >= least).join(r, "block")
 
 
-def quota_sample(people: DataFrame, cells: DataFrame, total: int, by: list[str], weight: str, key: str, seed: int = 0, segments: int = 64) -> DataFrame:
+def quota_sample(people: DataFrame, cells: DataFrame, total: int, by: list[str], weight: str, key: str, seed: int = 0) -> DataFrame:
     """``total`` weighted draws with replacement: each cell's quota by largest remainder, then draws within the cell, in shuffled order.
 
     ``cells`` has the columns ``by`` and share, one row a cell; rows without a
-    positive weight are never drawn; a cell without people gives none.  Weights
-    are summed in ``segments`` parts of a cell, in key order within each.
+    positive weight are never drawn; a cell without people gives none.
     """
     quotas = sampling.largest_remainder(cells, total, by).where("quota > 0")
     numbered = validation.numbered(quotas, by)
     draws = numbered.withColumn("i_", F.explode(F.sequence(F.lit(1), F.col("quota"))))
     number = F.col("no_") * F.lit(total) + F.col("i_") + F.lit(seed)
     draws = draws.select(*by, number.alias("draw_no"), uniform(number).alias("u"))
-    drawn = sampling.draw(sampling.weight_slots(people, weight, key, by, segments), draws, by)
+    drawn = sampling.draw(sampling.weight_slots(people, weight, key, by), draws, by)
     return drawn.withColumn("order_", uniform(F.col("draw_no") * F.lit(7919))).orderBy("order_", "draw_no").drop("order_")
 
 

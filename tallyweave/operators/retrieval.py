@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from tallyweave.functions.columns import dot
 
 
-def similar(queries: DataFrame, index: DataFrame, k: int, blocks: int = 8, exclude_self: bool = True) -> DataFrame:
+def similar(queries: DataFrame, index: DataFrame, k: int, block: int = 2048, exclude_self: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, similarity): the k most similar index rows of each query, ties to the smaller id.
 
-    ``queries`` has query_id and q, ``index`` vec_id and v.  Queries are dealt
-    into blocks and the index is sent to each block, so pairs are scored where
-    they meet and only k rows a query and task leave it.
+    ``queries`` has query_id and q, ``index`` vec_id and v.  Both are dealt into
+    blocks of about ``block`` rows, and each pair of blocks is a key of its own,
+    so tasks grow in number, not in size, with either side.  Pairs are scored
+    where they meet and only k rows a query and task leave it.
     """
-    asked = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    sent = index.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = asked.join(sent, "block")
+    asked_blocks, blocks = (max(1, -(-df.count() // block)) for df in (queries, index))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", "q", deal("query_id", asked_blocks).alias("asked_"), each(blocks).alias("block_"))
+    sent = index.select("vec_id", "v", deal("vec_id", blocks).alias("block_"), each(asked_blocks).alias("asked_"))
+    pairs = asked.join(sent, ["asked_", "block_"])
     pairs = pairs.where("query_id <> vec_id") if exclude_self else pairs
     scored = pairs.select("query_id", "vec_id", dot("q", "v").alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")

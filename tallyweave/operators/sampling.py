@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import uniform
+from tallyweave.operators.ranks import running_before
 
 
 def codes_matching(labels: DataFrame, variable: str, texts: list[str], how: str = "exact") -> DataFrame:
@@ -35,33 +36,33 @@ def largest_remainder(cells: DataFrame, total: int, by: list[str], share: str =
     return rows.withColumn("quota", F.col("floor_") + F.when(F.col("n_") <= left, 1).otherwise(0)).drop("floor_", "part_", "n_")
 
 
-def weight_slots(df: DataFrame, weight: str, order: str, by: list[str] | None = None, segments: int = 64) -> DataFrame:
+def weight_slots(df: DataFrame, weight: str, order: str, by: list[str] | None = None) -> DataFrame:
     """Rows of positive weight with lo_ and hi_, gapless slots of [0, 1) in the order of a key, within the strata ``by``.
 
-    Rows are cut into segments by key hash; a running sum in each segment is
-    offset by the segments before it, so no window spans a whole stratum.
+    Weights are summed as decimals over sorted ranges, so no task sums a whole
+    stratum and the slots do not depend on where the ranges are cut.
     """
-    by = by or []
-    rows = df.where(F.col(weight) > 0).withColumn("seg_", F.pmod(F.xxhash64(order, F.lit(3)), F.lit(segments)))
-    inside = Window.partitionBy(*by, "seg_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("run_", F.sum(F.col(weight).cast("decimal(28,6)")).over(inside)).withColumn("w_", F.col(weight).cast("decimal(28,6)"))
-    parts = rows.groupBy(*by, "seg_").agg(F.sum("w_").alias("sum_"))
-    over = Window.partitionBy(*by).orderBy("seg_")
-    parts = parts.withColumn("before_", F.coalesce(F.sum("sum_").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total_", F.sum("sum_").over(Window.partitionBy(*by)))
-    joined = rows.join(parts.drop("sum_"), [*by, "seg_"])
+    share = F.col(weight).cast("decimal(28,6)")
+    rows = running_before(df.where(F.col(weight) > 0), by or [], [order], share)
     total = F.col("total_").cast("double")
-    hi, lo = F.col("before_") + F.col("run_"), F.col("before_") + F.col("run_") - F.col("w_")
-    return joined.withColumn("lo_", lo.cast("double") / total).withColumn("hi_", hi.cast("double") / total).drop("seg_", "run_", "before_", "total_", "w_")
+    lo, hi = F.col("before_"), F.col("before_") + share
+    return rows.withColumn("lo_", lo.cast("double") / total).withColumn("hi_", hi.cast("double") / total).drop("before_", "total_")
 
 
 def draw(slots: DataFrame, draws: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Draws (draw_no, u and the strata) joined to the slot that u falls into."""
+    """Draws (draw_no, u and the strata) joined to the slot that u falls into.
+
+    [0, 1) is cut into as many bins as there are draws; a slot stands in each
+    bin that it touches, and only rows of one bin are tested, so the work is
+    linear in slots and draws.
+    """
     by = by or []
-    hit = (F.col("u") >= F.col("lo_")) & (F.col("u") < F.col("hi_"))
-    d = draws.select(*[F.col(b).alias(f"d_{b}") for b in by], "draw_no", "u")
-    for b in by:
-        hit = hit & (F.col(f"d_{b}") == F.col(b))
-    return slots.join(d, hit).drop("lo_", "hi_", *[f"d_{b}" for b in by])
+    bins = F.lit(max(draws.count(), 1))
+    bin_of = lambda c: F.floor(F.col(c) * bins)
+    touched = slots.withColumn("bin_", F.explode(F.sequence(bin_of("lo_"), bin_of("hi_"))))
+    d = draws.select(*by, "draw_no", "u", bin_of("u").alias("bin_"))
+    hit = touched.join(d, [*by, "bin_"]).where("u >= lo_ AND u < hi_")
+    return hit.select(*[c for c in slots.columns if c not in ("lo_", "hi_")], "draw_no", "u")
 
 
 def uniform_draws(spark, n: int, seed: int = 0) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import ratio, safe_corr, uniform
+from tallyweave.operators.ranks import average_value_ranks
+from tallyweave.sources.shared import written
 
 
 def error_stats(df: DataFrame, generated: str, real: str, by: list[str] | None = None, shrink: float = 1.1, near: float = 0.1) -> DataFrame:
@@ -31,14 +33,36 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def average_ranks(df: DataFrame, by: list[str], x: str, out: str) -> DataFrame:
     """Adds ranks with ties at their mean."""
-    ties = F.count("*").over(Window.partitionBy(*by, x))
-    return df.withColumn(out, F.rank().over(Window.partitionBy(*by).orderBy(x)) + (ties - 1) / 2)
+    values = average_value_ranks(df.groupBy(*by, x).agg(F.count("*").alias("n_")), by, x, "n_", out)
+    return _looked_up(df, values, [*by, x], out)
+
+
+def _looked_up(df: DataFrame, values: DataFrame, on: list[str], out: str) -> DataFrame:
+    """Rows with ``out`` of their values; nulls are equal to nulls."""
+    named = values.select(*[F.col(c).alias(f"on{i}_") for i, c in enumerate(on)], out)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"on{i}_")) for i, c in enumerate(on)])
+    return df.join(named, same).select(*df.columns, out)
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """(by, rho): correlation of average ranks."""
-    ranked = average_ranks(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x, "rx_"), by, y, "ry_")
-    return ranked.groupBy(*by).agg(safe_corr("rx_", "ry_").alias("rho"))
+    """(by, rho): correlation of average ranks; null for under three pairs or a constant column.
+
+    Equal pairs are counted first and only distinct values are ranked, in
+    ranges, so neither a large group nor a frequent value meets in one task.
+    Ranks are centred at (n + 1) / 2, their mean, and halves are exact, so sums
+    of squares lose nothing to their mean.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("n_"))
+    pairs = written(pairs, "pairs")
+    ranked = pairs
+    for value, out in ((x, "rx_"), (y, "ry_")):
+        ranked = _looked_up(ranked, average_value_ranks(pairs, by, value, "n_", out), [*by, value], out)
+    size = pairs.groupBy(*by).agg(F.sum("n_").alias("size_"))
+    centred = _looked_up(ranked, size, by, "size_") if by else ranked.crossJoin(F.broadcast(size))
+    dx, dy = (F.col(c) - (F.col("size_") + 1) / 2 for c in ("rx_", "ry_"))
+    sums = centred.groupBy(*by).agg(F.first("size_").alias("size_"), *[F.sum(F.col("n_") * e).alias(n) for e, n in ((dx * dx, "xx_"), (dy * dy, "yy_"), (dx * dy, "xy_"))])
+    rho = F.when((F.col("size_") >= 3) & (F.col("xx_") > 0) & (F.col("yy_") > 0), F.col("xy_") / F.sqrt(F.col("xx_")) / F.sqrt(F.col("yy_")))
+    return sums.select(*by, rho.alias("rho"))
 
 
 def simple_ols(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
@@ -116,12 +140,16 @@ def bootstrap_interval(items: DataFrame, repeats: int, stat: Column, low: float
 
 
 def subsample_noise(values: DataFrame, key: str, value: str, sizes: list[int], repeats: int) -> DataFrame:
-    """(size, mean_noise): mean distance of subsample means from the whole mean; draws without replacement by hash order."""
+    """(size, mean_noise): mean distance of subsample means from the whole mean; draws without replacement by hash order.
+
+    The limit by the largest size is a constant, so each task keeps that many
+    rows a subsample before the shuffle (up to Spark's threshold of 1,000).
+    """
     plan = [F.struct(F.lit(s).alias("size"), F.lit(r).alias("repeat")) for s in sizes for r in range(repeats)]
     rows = values.withColumn("p", F.explode(F.array(*plan))).select("p.*", key, value)
     order = uniform(F.col(key) * F.lit(repeats * 7919) + F.col("repeat") * F.lit(104729) + F.col("size"))
     rows = rows.withColumn("o_", order)
-    rows = rows.withColumn("n_", F.row_number().over(Window.partitionBy("size", "repeat").orderBy("o_", key))).where("n_ <= size")
+    rows = rows.withColumn("n_", F.row_number().over(Window.partitionBy("size", "repeat").orderBy("o_", key))).where(F.col("n_") <= max(sizes)).where("n_ <= size")
     whole = values.agg(F.avg(value).alias("whole"))
     means = rows.groupBy("size", "repeat").agg(F.avg(value).alias("m")).crossJoin(F.broadcast(whole))
     return means.groupBy("size").agg(F.avg(F.abs(F.col("m") - F.col("whole"))).alias("mean_noise"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import columns as C
 from tallyweave.operators import calibration, distributions, generation, profile, retrieval, sampling, validation
 from tallyweave.sources import files
+from tallyweave.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -445,13 +446,13 @@ def q_wide_dataset(spark, d):
 TIER = "CASE WHEN method = 'ensemble' THEN 'moderate' WHEN method = 'single_best' AND NOT forced_degenerate AND n_min >= 200 AND years_min > 1 THEN 'high' ELSE 'low' END"
 
 
-def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choices(spark, sf_dir).withColumn("tier", calibration.confidence_tier(F.col("method"), F.col("forced_degenerate"), F.col("n_min"), F.col("years_min")))
+def tiered(chosen: DataFrame) -> DataFrame:
+    return chosen.withColumn("tier", calibration.confidence_tier(F.col("method"), F.col("forced_degenerate"), F.col("n_min"), F.col("years_min")))
 
 
 @query(f"WITH {CANDIDATES} SELECT query_id, method, {TIER} AS tier FROM choice")
 def q_confidence_tier(spark, d):
-    return tiers(spark, d).select("query_id", "method", "tier")
+    return tiered(choices(spark, d)).select("query_id", "method", "tier")
 
 
 @query(
@@ -460,8 +461,9 @@ look AS (SELECT lo, hi, count(*) AS c, avg(similarity) AS a FROM edges JOIN cand
 SELECT query_id, method, matched, {TIER} AS tier, {TIER} <> 'low' AS calibrated_produced, round(top1, 6) AS similarity_top1, round(CASE WHEN c >= 10 THEN a END, 6) AS expected_error, coalesce(c, 0) AS expected_error_n FROM choice LEFT JOIN look ON top1 > lo AND top1 <= hi"""
 )
 def q_coverage_report(spark, d):
-    lookup = retrieval.error_lookup(candidates(spark, d), retrieval.bin_table(spark, (0.0, 0.3, 0.4, 1.01)), "similarity", "similarity")
-    rows = retrieval.expected_error(tiers(spark, d), lookup, "top1")
+    found = written(candidates(spark, d), "candidates")
+    lookup = retrieval.error_lookup(found, retrieval.bin_table(spark, (0.0, 0.3, 0.4, 1.01)), "similarity", "similarity")
+    rows = retrieval.expected_error(tiered(retrieval.retrieval_choice(found, 0.4, 0.3)), lookup, "top1")
     return rounded(rows.select("query_id", "method", "matched", "tier", (F.col("tier") != "low").alias("calibrated_produced"), F.col("top1").alias("similarity_top1"), "expected_error", "expected_error_n"))
 
 
@@ -632,14 +634,14 @@ DRAWS = f"dw AS (SELECT i AS draw_no, {LCG.format(i='i')} AS u FROM range(1000)
 
 @query(f"WITH {_slots()}, {DRAWS} SELECT draw_no, c_custkey FROM dw JOIN sl ON u >= (hi - c_acctbal::DECIMAL(28,6))::double / total::double AND u < hi::double / total::double")
 def q_weighted_draw(spark, d):
-    slots = sampling.weight_slots(read(spark, d, "customer"), "c_acctbal", "c_custkey", segments=1)
+    slots = sampling.weight_slots(read(spark, d, "customer"), "c_acctbal", "c_custkey")
     return sampling.draw(slots, sampling.uniform_draws(spark, 1000)).select("draw_no", "c_custkey")
 
 
 @query(f"WITH {_slots(by='c_mktsegment')}, {DRAWS} SELECT draw_no, c_mktsegment, c_custkey FROM dw JOIN sl ON draw_no < 200 AND u >= (hi - c_acctbal::DECIMAL(28,6))::double / total::double AND u < hi::double / total::double")
 def q_stratified_draw(spark, d):
     people = read(spark, d, "customer")
-    slots = sampling.weight_slots(people, "c_acctbal", "c_custkey", ["c_mktsegment"], segments=1)
+    slots = sampling.weight_slots(people, "c_acctbal", "c_custkey", ["c_mktsegment"])
     draws = people.select("c_mktsegment").distinct().crossJoin(F.broadcast(sampling.uniform_draws(spark, 200)))
     return sampling.draw(slots, draws, ["c_mktsegment"]).select("draw_no", "c_mktsegment", "c_custkey")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.operators import calibration, generation
@@ -38,9 +38,8 @@ def request(scores: DataFrame, key: str, targets: DataFrame, generic: DataFrame,
     kept = calibration.percentiles(scores.where("raw IS NOT NULL"), ["item"], "raw", key)
     joined = kept.join(F.broadcast(targets.select("item", "cuts", "tier")), "item").crossJoin(F.broadcast(generic.select(F.col("cuts").alias("generic_")).limit(1)))
     both = joined.withColumn("calibrated_", calibration.calibrate(joined, m)).withColumn("population_", calibration.calibrate(joined, m, "generic_"))
-    by = Window.partitionBy("item")
-    constant = F.coalesce(F.min("calibrated_").over(by) == F.max("calibrated_").over(by), F.lit(True))
-    both = both.withColumn("degenerate_", constant)
+    constant = F.coalesce(F.min("calibrated_") == F.max("calibrated_"), F.lit(True))
+    both = both.join(F.broadcast(both.groupBy("item").agg(constant.alias("degenerate_"))), "item")
     response = calibration.chosen_response(F.col("tier"), F.col("calibrated_"), F.col("population_"), F.col("degenerate_"))
     source = F.when((F.col("tier") == "low") | F.col("degenerate_"), "population").otherwise("calibrated")
     answered = both.select(key, "item", response.alias("response"), source.alias("source"))
