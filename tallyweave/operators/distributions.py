@@ -83,3 +83,8 @@ def cdf_on_grid(positions: DataFrame, by: list[str], grid: list[float]) -> DataF
     """(by, cdf): cumulative share at each grid point."""
     values = [F.sum(F.when(F.col("position") <= g + 1e-9, F.col("share")).otherwise(0.0)) for g in grid]
     return positions.groupBy(*by).agg(F.array(*values).alias("cdf"))
+
+
+def mean_over_repeats(hist: DataFrame, by: list[str]) -> DataFrame:
+    """(by, level, share, n_repeats): the mean share of each level over the repeats of a zero-filled histogram."""
+    return hist.groupBy(*by, "level").agg(F.avg("share").alias("share"), F.count("*").alias("n_repeats"))

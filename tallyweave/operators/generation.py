@@ -86,6 +86,18 @@ def prompt_text(df: DataFrame, by: list[str], persona: Column, position: str) ->
     return df.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("prompt"))
 
 
+def with_items(prompts: DataFrame, items: DataFrame) -> DataFrame:
+    """Prompts led by the request's items as numbered lines, what is asked, and the form of the answer; items has item and text."""
+    line = F.struct("item", F.format_string("%d. %s", F.col("item"), F.col("text")).alias("line"))
+    listed = items.agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda s: s["line"]), "\n").alias("items_"), F.count("*").alias("n_"))
+    whole = F.concat(
+        F.lit("Estimate how survey respondents answer these items.\n\nItems:\n"), "items_",
+        F.lit("\n\nGive each person below a score from 0.0 (rejects it) to 1.0 (agrees fully) for each item, as it fits that person; let people differ.\n\nPeople:\n"), "prompt",
+        F.format_string("\n\nAnswer with a JSON array alone: one object a person, in order, with the numbers item_1 to item_%d.", F.col("n_")),
+    )
+    return prompts.crossJoin(F.broadcast(listed)).withColumn("prompt", whole).drop("items_", "n_")
+
+
 def parsed_scores(answer: Column) -> Column:
     """array<map<string,double>> of a JSON answer without code fences; empty for anything else."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(answer, r"(?s)^\s*```(json)?\s*", ""), r"(?s)\s*```\s*$", ""))

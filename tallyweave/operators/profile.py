@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tallyweave.functions.columns import ratio
 
@@ -74,3 +75,8 @@ def profile_variables(df: DataFrame, wanted: list[str], weight: str, year: Colum
         "variable", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.size(F.coalesce("years", F.array().cast("array<int>"))).cast("bigint").alias("n_years"),
         F.try_element_at("years", F.lit(1)).cast("bigint").alias("first_year"), F.try_element_at("years", F.lit(-1)).cast("bigint").alias("last_year"), "mean", error.alias("error"),
     )
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    """Columns of a numeric type, decimals included: those with a mean and an SD."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]

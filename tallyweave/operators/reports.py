@@ -159,3 +159,15 @@ def paired_t_test(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     half = F.abs(F.try_divide("mean_diff", "t")) * F.col("s_.q")
     known = F.col("t").isNotNull()
     return s.select(*by, "n", "mean_diff", "t", "wins", F.when(known, F.col("s_.p")).alias("p"), F.when(known, F.col("mean_diff") - half).alias("ci_low"), F.when(known, F.col("mean_diff") + half).alias("ci_high"))
+
+
+def matched_items(items: DataFrame, reference: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
+    """Items with their row of ``reference`` by lower-case name, and the items without one, by name; both sides have ``item``."""
+    named = reference.withColumn("name_", F.lower(item)).drop(item)
+    keyed = items.withColumn("name_", F.lower(item))
+    return keyed.join(named, "name_").drop("name_"), keyed.join(named.select("name_"), "name_", "left_anti").drop("name_").orderBy(item)
+
+
+def without_scale(items: DataFrame, scale: str, excluded: str) -> DataFrame:
+    """Items of all scales but one; items without a scale stay."""
+    return items.where(~F.col(scale).eqNullSafe(F.lit(excluded)))

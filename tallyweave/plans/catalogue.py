@@ -254,18 +254,20 @@ def q_hybrid_retrieval(spark, d):
 
 
 @query(
-    f"""WITH {CANDIDATES}, e AS (SELECT c.query_id, l.cat, greatest(c.similarity, 0) AS s, l.w / sum(l.w) OVER (PARTITION BY c.query_id, c.vec_id) AS share FROM cg c JOIN embeddings v ON v.vec_id = c.vec_id JOIN lab l ON l.label = v.label WHERE c.good <= 5)
-SELECT query_id, cat::BIGINT - 1 AS pos, round(sum(s * share) / sum(s), 6) AS share FROM e GROUP BY 1, 2"""
+    f"""WITH {CANDIDATES}, ls AS (SELECT label, cat, w / sum(w) OVER (PARTITION BY label) AS share, row_number() OVER (PARTITION BY label ORDER BY cat) - 1 AS j, count(*) OVER (PARTITION BY label) AS k FROM lab),
+lc AS (SELECT *, sum(share) OVER (PARTITION BY label ORDER BY cat ROWS UNBOUNDED PRECEDING) AS cum FROM ls), lg AS (SELECT label, k, i, least(i * (k - 1) // 19, k - 2) AS j FROM (SELECT DISTINCT label, k FROM lc), range(20) t(i)),
+lv AS (SELECT lg.label, lg.i AS pos, a.cum + (lg.i * (lg.k - 1) - lg.j * 19) / 19.0::double * (c.cum - a.cum) AS y FROM lg JOIN lc a ON a.label = lg.label AND a.j = lg.j JOIN lc c ON c.label = lg.label AND c.j = lg.j + 1)
+SELECT query_id, pos::BIGINT AS pos, round(sum(greatest(c.similarity, 0) * y) / sum(greatest(c.similarity, 0)), 6) AS y FROM cg c JOIN embeddings v ON v.vec_id = c.vec_id JOIN lv ON lv.label = v.label WHERE c.good <= 5 GROUP BY 1, 2"""
 )
 def q_ensemble_curve(spark, d):
     from pyspark.sql import Window
 
+    from tallyweave.plans.generate import ensemble_cuts
+
     order = Window.partitionBy("query_id").orderBy("rank")
     used = candidates(spark, d).where("quality").withColumn("good", F.row_number().over(order)).where("good <= 5")
-    used = used.withColumn("weight", retrieval.ensemble_weights(F.col("similarity")))
-    arrays = distributions.share_arrays(label_shares(spark, d), ["label"])
-    blended = distributions.mean_curve(used.join(arrays.withColumnRenamed("shares", "curve"), "label"), ["query_id"], F.col("weight"))
-    return rounded(blended.withColumnRenamed("y", "share"))
+    blended = ensemble_cuts(used, distributions.share_arrays(label_shares(spark, d), ["label"]), "query_id", "label")
+    return rounded(blended.select("query_id", F.posexplode("cuts").alias("pos", "y")))
 
 
 NN_CASES = KNN + """, nn AS (SELECT query_id, vec_id, similarity, abs(similarity - 0.3) AS error, 100 + (vec_id * 37) % 400 AS n, vec_id % 4 AS years FROM knn WHERE rank <= 3),

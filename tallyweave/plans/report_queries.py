@@ -130,9 +130,14 @@ def checksum_provider(batch: dict) -> str:
     return json.dumps([{f"item_{i}": (37 * p + 11 * i) % 101 / 100 for i in items} for p in range(int(batch["n_people"]))])
 
 
+def request_items(spark):
+    """Three items; the third is binary where kinds count."""
+    return spark.createDataFrame([(1, "one", "likert"), (2, "two", "likert"), (3, "three", "binary")], "item int, text string, kind string")
+
+
 def customer_request(spark, d):
     people = read(spark, d, "customer")
-    scores = generate.scored(people, "c_custkey", F.col("c_name"), F.pmod("c_custkey", F.lit(16)), 3, checksum_provider)
+    scores = generate.scored(people, "c_custkey", F.col("c_name"), F.pmod("c_custkey", F.lit(16)), request_items(spark), checksum_provider)
     tiers = F.explode(F.array(*[F.struct(F.lit(i).alias("item"), F.lit(t).alias("tier")) for i, t in enumerate(("high", "low", "moderate"), 1)])).alias("t")
     targets = tax_cuts(spark, d).select("cuts", tiers).select("t.*", "cuts")
     generic = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: i / F.lit(20.0)).alias("cuts"))
