@@ -1,33 +1,13 @@
-"""Shared folders, written tables and connected components."""
+"""Batches of bounded size and connected components; the shared folder is that of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.sources.shared import new_path, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset on one machine (a local master), a local folder is made
-    and set; on a cluster that is an error, as executors share no such folder.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["bounded_batches", "connected_components", "new_path", "shared_dir", "written"]
 
 
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
@@ -43,14 +23,6 @@ def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(name, str(size))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as a table in the shared folder and read again: lineage ends here."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (a, b); component is the smallest node.
 
