@@ -70,21 +70,27 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _space() -> np.ndarray:
-    table = np.zeros(256, bool)
-    table[[0x20, *range(0x09, 0x0E)]] = True
+def byte_kinds(between: bytes) -> np.ndarray:
+    """A table of byte kinds: 0 for the bytes ``between`` words, 1 for all others."""
+    table = np.ones(256, np.uint8)
+    table[list(between)] = 0
     return table
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the rows of one block."""
+SPACES = byte_kinds(bytes([0x20, *range(0x09, 0x0E)]))
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = SPACES) -> Words:
+    """Words of the rows of one block: runs of bytes of one kind; bytes of kind 0 stand between words."""
     n, rows = len(data), len(offsets) - 1
-    inside = ~_space()[data]
+    kind = kinds[data]
+    inside = kind != 0
     begins = inside.copy()
     ends = inside.copy()
     if n:
-        begins[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
+        other = kind[1:] != kind[:-1]
+        begins[1:] &= other
+        ends[:-1] &= other
         cut = offsets[:-1][(offsets[:-1] < n) & (offsets[:-1] > 0)]
         begins[cut] = inside[cut]
         ends[cut - 1] = inside[cut - 1]
@@ -124,3 +130,18 @@ def windows_inside(words: Words, size: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def word_strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte spans of a block as a string column."""
+    size = end - start
+    offsets = np.append(0, np.cumsum(size)).astype(np.int64)
+    at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))).cast(pa.string())
+
+
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    """A copy of the bytes with A-Z lower-cased."""
+    table = np.arange(256, dtype=np.uint8)
+    table[0x41:0x5B] += 0x20
+    return table[data]
