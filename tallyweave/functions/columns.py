@@ -108,9 +108,3 @@ def safe_corr(x: ColumnLike, y: ColumnLike, least_rows: int = 3, least_sd: float
 def scale_position(j: ColumnLike, k: ColumnLike, low: float = 1.0, high: float = 7.0) -> Column:
     """Position of option j (from 0) of k, equally spaced on [low, high]."""
     return F.lit(low) + col(j) * F.lit(high - low) / F.greatest(col(k) - 1, F.lit(1))
-
-
-def uniform(i: ColumnLike) -> Column:
-    """A reproducible draw in [0, 1) for the number i: (1103515245 i + 12345) mod 2^31 over 2^31."""
-    i = F.pmod(col(i).cast("bigint"), F.lit(1 << 31))
-    return F.pmod(i * F.lit(1103515245) + F.lit(12345), F.lit(1 << 31)) / F.lit(float(1 << 31))

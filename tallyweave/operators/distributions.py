@@ -88,3 +88,19 @@ def cdf_on_grid(positions: DataFrame, by: list[str], grid: list[float]) -> DataF
 def mean_over_repeats(hist: DataFrame, by: list[str]) -> DataFrame:
     """(by, level, share, n_repeats): the mean share of each level over the repeats of a zero-filled histogram."""
     return hist.groupBy(*by, "level").agg(F.avg("share").alias("share"), F.count("*").alias("n_repeats"))
+
+
+def shape(shares: Column, positions: Column, grid: int = 7) -> Column:
+    """A struct (mean, sd, skewness, kurtosis, low, high, cdf) of one distribution in two arrays, measured as ``moments``, ``tail_shares`` and ``cdf_on_grid`` do."""
+    pairs = F.zip_with(shares, positions, lambda s, p: F.struct(s.alias("s"), p.alias("p")))
+    total = lambda f: array_sum(F.transform(pairs, f))
+    mean = total(lambda x: x["s"] * x["p"])
+    moment = lambda k: total(lambda x: x["s"] * F.pow(x["p"] - mean, F.lit(k)))
+    sd = F.sqrt(moment(2))
+    wide = lambda c: F.when(sd > 1e-9, c)
+    at_most = lambda g: array_sum(F.transform(pairs, lambda x: F.when(x["p"] <= g + 1e-9, x["s"]).otherwise(0.0)))
+    high = total(lambda x: F.when(x["p"] >= grid - 1 - 1e-9, x["s"]).otherwise(0.0))
+    return F.struct(
+        mean.alias("mean"), sd.alias("sd"), wide(moment(3) / F.pow(sd, F.lit(3))).alias("skewness"), wide(moment(4) / F.pow(sd, F.lit(4)) - 3).alias("kurtosis"),
+        at_most(F.lit(2.0)).alias("low"), high.alias("high"), F.transform(F.sequence(F.lit(1), F.lit(grid)), at_most).alias("cdf"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tallyweave.functions.columns import ratio
+from tallyweave.operators import states
 
 
 def resolve_columns(df: DataFrame, wanted: list[str]) -> tuple[list[str], list[str]]:
@@ -25,13 +26,9 @@ def valid_weights(df: DataFrame, value: str, weight: str) -> DataFrame:
 
 
 def weighted_stats(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
-    """n, weighted mean and population SD, min and max by group; the SD is taken around the mean in a second pass."""
-    rows = valid_weights(df, value, weight)
-    mean = rows.groupBy(*by).agg(ratio(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("mean"))
-    centred = F.col(weight) * (F.col(value) - F.col("mean")) * (F.col(value) - F.col("mean"))
-    return rows.join(mean, by).groupBy(*by).agg(
-        F.count("*").alias("n"), F.first("mean").alias("mean"), F.sqrt(ratio(F.sum(centred), F.sum(weight))).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
+    """n, weighted mean and population SD, min and max (doubles) by group, in one pass: tasks give a state a group."""
+    got = states.moment_states(df, by, value, weight)
+    return got.select(*by, F.col("n_").alias("n"), F.col("mean_").alias("mean"), states.standard_deviation().alias("std"), F.col("least_").alias("min"), F.col("largest_").alias("max"))
 
 
 def weighted_shares(df: DataFrame, by: list[str], category: str, weight: str) -> DataFrame:
@@ -56,25 +53,37 @@ def unpivoted(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
 
 
 def profile_variables(df: DataFrame, wanted: list[str], weight: str, year: Column) -> DataFrame:
-    """(variable, n, n_years, first_year, last_year, mean, error): a row per wanted variable, missing and empty ones with an error.
+    """(variable, n, n_years, first_year, last_year, mean, std, min, max, error): a row per wanted variable, missing and empty ones with an error.
 
-    One unpivot and one aggregation serve all variables.
+    One pass over the wide rows: a task gives a state for each variable and
+    year, however many rows it read, so thousands of columns cost no more
+    shuffled rows than variables times years times tasks.
     """
     found, _ = resolve_columns(df, wanted)
-    rows = df.select(F.col(weight).alias("weight_"), year.alias("year_"), *found)
-    long = unpivoted(rows, ["weight_", "year_"], found).where("value IS NOT NULL AND weight_ > 0")
-    stats = long.groupBy("variable").agg(
-        F.count("*").alias("n"),
-        F.array_sort(F.collect_set("year_")).alias("years"),
-        ratio(F.sum(F.col("value") * F.col("weight_")), F.sum("weight_")).alias("mean"),
-    )
+    found = list(dict.fromkeys(found))
+    rows = df.select(F.col(weight).alias("weight_"), year.cast("bigint").alias("year_"), *found)
+    parts = states.wide_states(rows, found, "weight_", "year_")
+    w, m = F.col("weight_"), F.col("mean_")
+    stats = parts.groupBy("variable").agg(
+        F.sum("n_").alias("n"), F.array_sort(F.collect_set("year_")).alias("years"), ratio(F.sum(m * w), F.sum(w)).alias("mean"),
+        F.sum("weight_").alias("all_"), F.collect_list(F.struct("weight_", "mean_", "centred_")).alias("states_"), F.min("least_").alias("min"), F.max("largest_").alias("max"),
+    )
+    # One state a year: the deviations from the common mean are added to those within the years.
+    centred = F.aggregate("states_", F.lit(0.0), lambda acc, x: acc + x["centred_"] + x["weight_"] * (x["mean_"] - F.col("mean")) * (x["mean_"] - F.col("mean")))
+    stats = stats.withColumn("std", F.sqrt(ratio(centred, "all_")))
     listed = df.sparkSession.createDataFrame([(w, w.lower() in {f.lower() for f in found}) for w in wanted], "variable string, present boolean")
     joined = listed.join(stats.withColumn("key", F.lower("variable")).drop("variable"), F.lower("variable") == F.col("key"), "left")
     error = F.when(~F.col("present"), "not found").when(F.col("n").isNull(), "no valid rows")
     return joined.select(
-        "variable", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.size(F.coalesce("years", F.array().cast("array<int>"))).cast("bigint").alias("n_years"),
-        F.try_element_at("years", F.lit(1)).cast("bigint").alias("first_year"), F.try_element_at("years", F.lit(-1)).cast("bigint").alias("last_year"), "mean", error.alias("error"),
-    )
+        "variable", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.size(F.coalesce("years", F.array().cast("array<bigint>"))).cast("bigint").alias("n_years"),
+        F.try_element_at("years", F.lit(1)).alias("first_year"), F.try_element_at("years", F.lit(-1)).alias("last_year"), "mean", "std", "min", "max", error.alias("error"),
+    )
+
+
+def profile_shares(df: DataFrame, wanted: list[str], weight: str, k: int = 20) -> DataFrame:
+    """(variable, cat, share, n_categories_total, truncated): the ``k`` largest categories of each wanted variable that is there, and the others', in one pass over the wide rows."""
+    found, _ = resolve_columns(df, wanted)
+    return top_with_other(states.wide_shares(df, list(dict.fromkeys(found)), weight), ["variable"], k)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.functions.columns import clip, max_distance, ratio, running_sum, safe_corr, uniform
+from tallyweave.functions.columns import clip, max_distance, ratio, running_sum, safe_corr
+from tallyweave.functions.draws import uniform
 from tallyweave.operators import distributions, sampling, validation
 
 #: Code ranges of exports that shift a 1 to 7 scale, and the shift.  Fixed values.
@@ -106,10 +107,15 @@ def quota_sample(people: DataFrame, cells: DataFrame, total: int, by: list[str],
     quotas = sampling.largest_remainder(cells, total, by).where("quota > 0")
     numbered = validation.numbered(quotas, by)
     draws = numbered.withColumn("i_", F.explode(F.sequence(F.lit(1), F.col("quota"))))
-    number = F.col("no_") * F.lit(total) + F.col("i_") + F.lit(seed)
-    draws = draws.select(*by, number.alias("draw_no"), uniform(number).alias("u"))
+    number = F.col("no_") * F.lit(total) + F.col("i_")
+    draws = draws.select(*by, number.alias("draw_no"), uniform(seed, number).alias("u"))
     drawn = sampling.draw(sampling.weight_slots(people, weight, key, by), draws, by)
-    return drawn.withColumn("order_", uniform(F.col("draw_no") * F.lit(7919))).orderBy("order_", "draw_no").drop("order_")
+    return drawn.withColumn("order_", shuffled(seed, "draw_no")).orderBy("order_", "draw_no").drop("order_")
+
+
+def shuffled(seed: int, number: str) -> Column:
+    """What a seeded shuffle orders rows by; ties by the number."""
+    return uniform(seed, F.lit("order"), number)
 
 
 def key_values(pairs: Column) -> Column:

@@ -2,10 +2,64 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from tallyweave.functions.columns import dot
+from pyspark.sql import types as T
+
+
+def _matrices(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and vectors of a list column, by length; null vectors and those with a null component are left out."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    values = pc.list_flatten(lists).cast(pa.float64())
+    owner = np.repeat(np.arange(len(size)), size)
+    size = size.copy()
+    size[owner[values.is_null().to_numpy(zero_copy_only=False)]] = -1
+    flat, out = values.to_numpy(zero_copy_only=False), {}
+    for d in np.unique(size[size > 0]):
+        at = np.flatnonzero(size == d)
+        out[int(d)] = at, flat[size[owner] == d].reshape(len(at), d)
+    return out
+
+
+def nearest_of_blocks(asked: pa.Table, sent: pa.Table, k: int, exclude_self: bool) -> pa.Table:
+    """(query_id, vec_id, similarity): the k best of ``sent`` for each row of ``asked``; at most k rows a query leave.
+
+    A product of the two blocks finds who may be among the k best, with room
+    for its rounding; only those are summed again in order, so that results are
+    equal to the bit to a sum over the components.
+    """
+    queries, vectors = _matrices(asked["q"]), _matrices(sent["v"])
+    # Ids are compared by their place in the order of both blocks' ids, so any type will do.
+    ids = pa.chunked_array([*asked["query_id"].cast(sent["vec_id"].type).chunks, *sent["vec_id"].chunks]).combine_chunks()
+    place = np.unique(pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy(), return_inverse=True)[1] if len(ids) else np.zeros(0, int)
+    own, other = place[: asked.num_rows], place[asked.num_rows :]
+    from_rows, to_rows, scores = [], [], []
+    for d in queries.keys() & vectors.keys():
+        (rows, q), (at, v) = queries[d], vectors[d]
+        rough = q @ v.T
+        if exclude_self:
+            rough[own[rows][:, None] == other[at][None, :]] = -np.inf
+        with np.errstate(invalid="ignore"):
+            room = 4e-16 * (d + 1) * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max(initial=0)
+            least = np.partition(rough, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.full(len(rows), -np.inf)
+            x, y = np.nonzero(((rough >= (least - 2 * room)[:, None]) & (rough > -np.inf)) | np.isnan(rough))
+        for low in range(0, len(x), 1 << 16):
+            i, j = x[low : low + (1 << 16)], y[low : low + (1 << 16)]
+            from_rows.append(rows[i])
+            to_rows.append(at[j])
+            scores.append(np.add.accumulate(q[i] * v[j], axis=1)[:, -1] + 0.0)
+    if not scores:
+        return pa.table({"query_id": asked["query_id"].slice(0, 0), "vec_id": sent["vec_id"].slice(0, 0), "similarity": pa.array([], pa.float64())})
+    x, y, s = np.concatenate(from_rows), np.concatenate(to_rows), np.concatenate(scores)
+    order = np.lexsort((other[y], np.where(np.isnan(s), -np.inf, -s), x))
+    x, y, s = x[order], y[order], s[order]
+    first = np.searchsorted(x, x)  # x is sorted: where its run begins
+    kept = np.arange(len(x)) - first < k
+    return pa.table({"query_id": asked["query_id"].take(pa.array(x[kept])), "vec_id": sent["vec_id"].take(pa.array(y[kept])), "similarity": pa.array(s[kept])})
 
 
 def similar(queries: DataFrame, index: DataFrame, k: int, block: int = 2048, exclude_self: bool = True) -> DataFrame:
@@ -13,17 +67,19 @@ def similar(queries: DataFrame, index: DataFrame, k: int, block: int = 2048, exc
 
     ``queries`` has query_id and q, ``index`` vec_id and v.  Both are dealt into
     blocks of about ``block`` rows, and each pair of blocks is a key of its own,
-    so tasks grow in number, not in size, with either side.  Pairs are scored
-    where they meet and only k rows a query and task leave it.
+    so tasks grow in number, not in size, with either side.  A pair of blocks is
+    one matrix product, and only k rows a query leave it.  Vectors that are
+    null, have a null component or another length than the query's are no
+    candidates; not a number counts as the largest.
     """
     asked_blocks, blocks = (max(1, -(-df.count() // block)) for df in (queries, index))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select("query_id", "q", deal("query_id", asked_blocks).alias("asked_"), each(blocks).alias("block_"))
     sent = index.select("vec_id", "v", deal("vec_id", blocks).alias("block_"), each(asked_blocks).alias("asked_"))
-    pairs = asked.join(sent, ["asked_", "block_"])
-    pairs = pairs.where("query_id <> vec_id") if exclude_self else pairs
-    scored = pairs.select("query_id", "vec_id", dot("q", "v").alias("similarity"))
+    schema = T.StructType([asked.schema["query_id"], sent.schema["vec_id"], T.StructField("similarity", T.DoubleType())])
+    pair = ["asked_", "block_"]
+    scored = asked.groupBy(*pair).cogroup(sent.groupBy(*pair)).applyInArrow(lambda x, y: nearest_of_blocks(x, y, k, exclude_self), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.columns import uniform
+from tallyweave.functions.draws import uniform
 from tallyweave.operators.ranks import running_before
 
 
@@ -66,8 +66,8 @@ def draw(slots: DataFrame, draws: DataFrame, by: list[str] | None = None) -> Dat
 
 
 def uniform_draws(spark, n: int, seed: int = 0) -> DataFrame:
-    """(draw_no, u): n reproducible draws."""
-    return spark.range(n).select(F.col("id").alias("draw_no"), uniform(F.col("id") + F.lit(seed)).alias("u"))
+    """(draw_no, u): n reproducible draws; another seed gives others."""
+    return spark.range(n).select(F.col("id").alias("draw_no"), uniform(seed, "id").alias("u"))
 
 
 def sample_without_replacement(df: DataFrame, n: int, key: str, order: Column) -> DataFrame:

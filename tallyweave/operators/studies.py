@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import mean_distance, ratio, safe_corr
+from tallyweave.operators import ranks
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -16,8 +19,11 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def described(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, n, mean, std, min, p25, p50, p75, max): sample SD and interpolated quartiles; nulls don't count."""
-    points = [F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in (25, 50, 75)]
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), *points, F.max(value).alias("max"))
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    points = ["p25", "p50", "p75"]
+    found = ranks.quantiles(df, by, value, {p: int(p[1:]) / 100 for p in points}).withColumnsRenamed({b: f"{b}_of" for b in by})
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"{b}_of")) for b in by], F.lit(True))
+    return plain.join(found, same, "left").select(*by, "n", "mean", "std", "min", *points, "max")
 
 
 def compared_errors(df: DataFrame, by: list[str], new: str, old: str) -> DataFrame:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.columns import ratio, safe_corr, uniform
+from tallyweave.functions.columns import ratio, safe_corr
+from tallyweave.functions.draws import uniform
 from tallyweave.operators.ranks import average_value_ranks
 from tallyweave.sources.shared import written
 
@@ -124,45 +125,21 @@ def numbered(df: DataFrame, order: list[str], by: list[str] | None = None) -> Da
     return df.withColumn("no_", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)) - 1)
 
 
-def bootstrap_draws(items: DataFrame, repeats: int) -> DataFrame:
+def bootstrap_draws(items: DataFrame, repeats: int, seed: int = 0) -> DataFrame:
     """(repeat, no_): n-of-n index draws for each repeat; items has no_ from 0."""
     n = items.agg(F.count("*").alias("n_"))
     rep = items.select("no_").crossJoin(F.broadcast(n)).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    u = uniform(F.col("repeat") * F.col("n_") + F.col("no_"))
-    return rep.select("repeat", F.floor(u * F.col("n_")).alias("no_"))
+    return rep.select("repeat", F.floor(uniform(seed, "repeat", "no_") * F.col("n_")).alias("no_"))
 
 
-def bootstrap_interval(items: DataFrame, repeats: int, stat: Column, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """(value, ci_low, ci_high): the statistic over the items (or clusters with sufficient statistics) and its resampled interval."""
-    drawn = bootstrap_draws(items, repeats).join(items, "no_").groupBy("repeat").agg(stat.alias("s"))
-    ci = drawn.agg(F.percentile("s", F.lit(low)).alias("ci_low"), F.percentile("s", F.lit(high)).alias("ci_high"))
-    return items.agg(stat.alias("value")).crossJoin(ci)
-
+def bootstrap_interval(items: DataFrame, repeats: int, stat: Column, low: float = 0.025, high: float = 0.975, seed: int = 0) -> DataFrame:
+    """(value, ci_low, ci_high): the statistic over the items (or clusters with sufficient statistics) and its resampled interval.
 
-def subsample_noise(values: DataFrame, key: str, value: str, sizes: list[int], repeats: int) -> DataFrame:
-    """(size, mean_noise): mean distance of subsample means from the whole mean; draws without replacement by hash order.
-
-    The limit by the largest size is a constant, so each task keeps that many
-    rows a subsample before the shuffle (up to Spark's threshold of 1,000).
+    For tables of items; over respondents, ``resampling.poisson_interval`` needs one pass.
     """
-    plan = [F.struct(F.lit(s).alias("size"), F.lit(r).alias("repeat")) for s in sizes for r in range(repeats)]
-    rows = values.withColumn("p", F.explode(F.array(*plan))).select("p.*", key, value)
-    order = uniform(F.col(key) * F.lit(repeats * 7919) + F.col("repeat") * F.lit(104729) + F.col("size"))
-    rows = rows.withColumn("o_", order)
-    rows = rows.withColumn("n_", F.row_number().over(Window.partitionBy("size", "repeat").orderBy("o_", key))).where(F.col("n_") <= max(sizes)).where("n_ <= size")
-    whole = values.agg(F.avg(value).alias("whole"))
-    means = rows.groupBy("size", "repeat").agg(F.avg(value).alias("m")).crossJoin(F.broadcast(whole))
-    return means.groupBy("size").agg(F.avg(F.abs(F.col("m") - F.col("whole"))).alias("mean_noise"))
-
-
-def multinomial_noise(cuts: DataFrame, by: list[str], n: int, repeats: int) -> DataFrame:
-    """(by, noise): mean distance of the means of two samples of n draws from the same cut points."""
-    pair = F.explode(F.sequence(F.lit(0), F.lit(2 * repeats * n - 1))).alias("i")
-    rows = cuts.select(*by, "cuts", pair)
-    level = F.least(F.size(F.filter("cuts", lambda c: c < uniform(F.col("i")))) + 1, F.size("cuts"))
-    rows = rows.select(*by, F.floor(F.col("i") / (2 * n)).alias("repeat"), (F.floor(F.col("i") / n) % 2).alias("side"), level.alias("level"))
-    means = rows.groupBy(*by, "repeat").agg(F.avg(F.when(F.col("side") == 0, F.col("level"))).alias("a"), F.avg(F.when(F.col("side") == 1, F.col("level"))).alias("b"))
-    return means.groupBy(*by).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("noise"))
+    drawn = bootstrap_draws(items, repeats, seed).join(items, "no_").groupBy("repeat").agg(stat.alias("s"))
+    ci = drawn.agg(F.percentile("s", F.lit(low)).alias("ci_low"), F.percentile("s", F.lit(high)).alias("ci_high"))
+    return items.agg(stat.alias("value")).crossJoin(ci)
 
 
 def correlation_noise(r: Column, n: int | Column) -> Column:

@@ -8,13 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import columns as C
-from tallyweave.operators import calibration, distributions, generation, profile, retrieval, sampling, validation
+from tallyweave.functions import draws
+from tallyweave.operators import calibration, distributions, generation, profile, ranks, resampling, retrieval, sampling, validation
 from tallyweave.sources import files
 from tallyweave.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-LCG = "(((({i}) % 2147483648) * 1103515245 + 12345) % 2147483648) / 2147483648.0::double"
+#: The draws of ``functions.draws``: of a key, and of 53 bits for a base and a stream.
+UNIFORM = "(('0x' || substr(md5(concat_ws(':', {key})), 1, 13))::BIGINT / 4503599627370496.0::double)"
+
+
+def numbers_sql(rows: str, key: str, stream: str) -> str:
+    """A subquery: ``rows`` with ``n53``, the draw of 53 bits for the base of the key and the stream."""
+    times = lambda x, f: f"((({x})::UHUGEINT * {f}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"""(SELECT * EXCLUDE (h0, h1, h2, h3, h4), (xor(h4, h4 >> 31) >> 11)::BIGINT AS n53 FROM (
+        SELECT *, (((('0x' || substr(md5(concat_ws(':', {key})), 1, 15))::BIGINT)::UHUGEINT + (({stream})::UHUGEINT + 1::UHUGEINT) * {draws.STEP}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS h0,
+            xor(h0, h0 >> 30) AS h1, {times('h1', draws.FIRST_FACTOR)} AS h2, xor(h2, h2 >> 27) AS h3, {times('h3', draws.SECOND_FACTOR)} AS h4 FROM {rows}))"""
+
 
 
 def query(sql: str):
@@ -90,14 +101,26 @@ def q_topk_other(spark, d):
 @query(
     """WITH t(variable) AS (VALUES ('L_TAX'), ('l_discount'), ('l_extendedprice'), ('l_linenumber'), ('l_absent')),
 long AS (UNPIVOT (SELECT l_quantity AS w, year(l_shipdate) AS y, l_tax, l_discount, l_extendedprice, l_linenumber::double AS l_linenumber FROM lineitem) ON l_tax, l_discount, l_extendedprice, l_linenumber INTO NAME v VALUE x),
-a AS (SELECT v, count(*) AS n, count(DISTINCT y) AS n_years, min(y)::BIGINT AS first_year, max(y)::BIGINT AS last_year, sum(x * w) / sum(w) AS mean FROM long WHERE w > 0 GROUP BY v)
-SELECT variable, coalesce(n, 0) AS n, coalesce(n_years, 0) AS n_years, first_year, last_year, round(mean, 4) AS mean, CASE WHEN v IS NULL THEN 'not found' END AS error FROM t LEFT JOIN a ON lower(variable) = v"""
+a AS (SELECT v, count(*) AS n, count(DISTINCT y) AS n_years, min(y)::BIGINT AS first_year, max(y)::BIGINT AS last_year, sum(x * w) / sum(w) AS mean, min(x) AS min, max(x) AS max FROM long WHERE w > 0 GROUP BY v),
+sd AS (SELECT v, sqrt(sum(w * (x - mean) ** 2) / sum(w)) AS std FROM long JOIN a USING (v) WHERE w > 0 GROUP BY v)
+SELECT variable, coalesce(n, 0) AS n, coalesce(n_years, 0) AS n_years, first_year, last_year, round(mean, 4) AS mean, round(std, 4) AS std, round(min, 4) AS min, round(max, 4) AS max, CASE WHEN v IS NULL THEN 'not found' END AS error FROM t LEFT JOIN a ON lower(variable) = v LEFT JOIN sd USING (v)"""
 )
 def q_profile_long(spark, d):
     wanted = ["L_TAX", "l_discount", "l_extendedprice", "l_linenumber", "l_absent"]
     return rounded(profile.profile_variables(read(spark, d, "lineitem"), wanted, "l_quantity", F.year("l_shipdate")), 4)
 
 
+@query(
+    """WITH long AS (UNPIVOT (SELECT l_quantity AS w, l_linenumber::VARCHAR AS l_linenumber, l_returnflag, year(l_shipdate)::VARCHAR AS ship_year, l_suppkey::VARCHAR AS l_suppkey FROM lineitem) ON l_linenumber, l_returnflag, ship_year, l_suppkey INTO NAME variable VALUE cat),
+s AS (SELECT variable, cat, sum(w) AS w FROM long WHERE w > 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY w DESC, cat) AS rank, w / sum(w) OVER (PARTITION BY variable) AS share, count(*) OVER (PARTITION BY variable) AS total FROM s)
+SELECT variable, CASE WHEN rank <= 5 THEN cat ELSE '__other__' END AS cat, round(sum(share), 6) AS share, any_value(total)::BIGINT AS n_categories_total, any_value(total) > 5 AS truncated FROM r GROUP BY 1, 2"""
+)
+def q_profile_shares(spark, d):
+    rows = read(spark, d, "lineitem").withColumn("ship_year", F.year("l_shipdate"))
+    return rounded(profile.profile_shares(rows, ["L_Linenumber", "l_returnflag", "ship_year", "l_suppkey", "l_absent"], "l_quantity", 5))
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE trim(p_type) <> '' AND NOT regexp_matches(lower(trim(p_name)), '^(id|weight|version)|[0-4]$')")
 def q_catalog_filter(spark, d):
     return profile.filter_catalog(read(spark, d, "part"), "p_name", "p_type", "^(id|weight|version)|[0-4]$").select("p_partkey", "p_name")
@@ -353,9 +376,9 @@ def q_complete_cases(spark, d):
     return rounded(sampling.complete_cases(rows, ["c_nationkey", "c_mktsegment"]).select("c_custkey", "c_mktsegment", "c_acctbal"))
 
 
-@query(f"SELECT c_custkey FROM (SELECT c_custkey, {LCG.format(i='c_custkey * 17 + 5')} AS u FROM customer) ORDER BY u, c_custkey LIMIT 100")
+@query(f"SELECT c_custkey FROM (SELECT c_custkey, {UNIFORM.format(key="17, c_custkey")} AS u FROM customer) ORDER BY u, c_custkey LIMIT 100")
 def q_simple_random_sample(spark, d):
-    return sampling.sample_without_replacement(read(spark, d, "customer").select("c_custkey"), 100, "c_custkey", C.uniform(F.col("c_custkey") * 17 + 5))
+    return sampling.sample_without_replacement(read(spark, d, "customer").select("c_custkey"), 100, "c_custkey", draws.uniform(17, "c_custkey"))
 
 
 # Generation.
@@ -550,7 +573,7 @@ def q_cronbach_alpha(spark, d):
 
 @query("SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {p / 1000}), 6) AS p{p}" for p in (25, 50, 500, 975)) + " FROM events GROUP BY 1")
 def q_percentiles(spark, d):
-    return rounded(read(spark, d, "events").groupBy("event_type").agg(*[F.percentile("value", F.lit(p / 1000)).alias(f"p{p}") for p in (25, 50, 500, 975)]))
+    return rounded(ranks.quantiles(read(spark, d, "events"), ["event_type"], "value", {f"p{p}": p / 1000 for p in (25, 50, 500, 975)}))
 
 
 @query("SELECT l_returnflag, count(*) AS n, round(avg(l_discount - l_tax), 6) AS mean_diff, round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 5) AS t, (count(*) FILTER (l_discount < l_tax))::BIGINT AS wins FROM lineitem GROUP BY 1")
@@ -569,7 +592,7 @@ def q_mismatch_rate(spark, d):
 
 
 BOOT = """it AS (SELECT row_number() OVER (ORDER BY p_brand) - 1 AS no, x FROM (SELECT p_brand, avg(p_retailprice) AS x FROM part GROUP BY 1)), n AS (SELECT count(*) AS n FROM it),
-dr AS (SELECT rep, floor({u} * n)::BIGINT AS no FROM it, n, range(200) t(rep))""".format(u=LCG.format(i="rep * n + no"))
+dr AS (SELECT rep, floor({u} * n)::BIGINT AS no FROM it, n, range(200) t(rep))""".format(u=UNIFORM.format(key="0, rep, no"))
 
 
 @query(f"WITH {BOOT}, s AS (SELECT rep, avg(x) AS s FROM dr JOIN it USING (no) GROUP BY 1) SELECT round((SELECT avg(x) FROM it), 4) AS value, round(quantile_cont(s, 0.025), 4) AS ci_low, round(quantile_cont(s, 0.975), 4) AS ci_high FROM s")
@@ -579,7 +602,7 @@ def q_bootstrap_ci(spark, d):
 
 
 CLUSTER = """it AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS no, sx, c FROM (SELECT c_nationkey AS n_nationkey, sum(c_acctbal) AS sx, count(*) AS c FROM customer GROUP BY 1)), n AS (SELECT count(*) AS n FROM it),
-dr AS (SELECT rep, floor({u} * n)::BIGINT AS no FROM it, n, range(200) t(rep))""".format(u=LCG.format(i="rep * n + no"))
+dr AS (SELECT rep, floor({u} * n)::BIGINT AS no FROM it, n, range(200) t(rep))""".format(u=UNIFORM.format(key="0, rep, no"))
 
 
 @query(f"WITH {CLUSTER}, s AS (SELECT rep, sum(sx) / sum(c) AS s FROM dr JOIN it USING (no) GROUP BY 1) SELECT round((SELECT sum(sx) / sum(c) FROM it), 4) AS value, round(quantile_cont(s, 0.025), 4) AS ci_low, round(quantile_cont(s, 0.975), 4) AS ci_high FROM s")
@@ -588,22 +611,78 @@ def q_cluster_bootstrap_ci(spark, d):
     return rounded(validation.bootstrap_interval(validation.numbered(sums, ["c_nationkey"]), 200, C.ratio(F.sum("sx"), F.sum("c"))), 4)
 
 
+def _counts_sql(k: int, n: int) -> str:
+    """Steps c0..ck-1: counts of n answers over k shares ``s`` (a list) by successive binomials, inverted at the draws ``u1``..; one row a survey."""
+    steps = ["c0 AS (SELECT *, {n} AS left_, 1.0::double AS mass, []::BIGINT[] AS counts FROM surveys)".format(n=n)]
+    for j in range(1, k):
+        p = f"(CASE WHEN mass > 1e-15 THEN least(s[{j}] / mass, 1.0) ELSE 0.0 END)"
+        log = "lgamma(left_ + 1) - lgamma(i + 1) - lgamma(left_ - i + 1) + CASE WHEN i > 0 THEN i * ln(p) ELSE 0 END + CASE WHEN left_ > i THEN (left_ - i) * ln(1 - p) ELSE 0 END"
+        steps.append(f"""d{j} AS (SELECT repeat, side, least(count(*) FILTER (total <= u), any_value(left_)) AS c FROM (
+            SELECT repeat, side, left_, i, list_extract(us, {j}) AS u, sum(CASE WHEN (i > 0 AND p <= 0) OR (left_ > i AND p >= 1) THEN 0 ELSE exp({log}) END) OVER (PARTITION BY repeat, side ORDER BY i) AS total
+            FROM (SELECT *, {p} AS p FROM c{j - 1}), range({n} + 1) t(i) WHERE i <= left_) GROUP BY 1, 2),
+        c{j} AS (SELECT c{j - 1}.* EXCLUDE (left_, mass, counts), left_ - c AS left_, mass - s[{j}] AS mass, list_append(counts, c) AS counts FROM c{j - 1} JOIN d{j} USING (repeat, side))""")
+    return ", ".join(steps)
+
+
 @query(
-    f"""WITH {TAX_SHARES}, i AS (SELECT unnest(range(0, 2 * 20 * 100)) AS i), d AS (SELECT i, least(1 + (SELECT count(*) FROM cuts WHERE cum < {LCG.format(i='i')}), 9) AS level FROM i),
-m AS (SELECT i // 200 AS rep, avg(level) FILTER ((i // 100) % 2 = 0) AS a, avg(level) FILTER ((i // 100) % 2 = 1) AS b FROM d GROUP BY 1) SELECT 'tax' AS v, round(avg(abs(a - b)), 6) AS noise FROM m"""
+    f"""WITH {TAX_SHARES}, sh AS (SELECT list(share ORDER BY cat) AS s, count(*) AS k FROM shares), pos AS (SELECT unnest(range(k)) AS j, 1 + j * 6.0::double / (k - 1) AS p FROM sh),
+surveys AS (SELECT repeat, side, s, list_transform(range(1, 9), lambda i: {UNIFORM.format(key="0, 'tax', repeat, i + CASE side WHEN 'a' THEN 0 ELSE 8 END")}) AS us FROM sh, range(20) r(repeat), (VALUES ('a'), ('b')) v(side)), {_counts_sql(9, 100)},
+l AS (SELECT repeat, side, p, list_extract(list_append(counts, left_), j + 1) / 100.0::double AS x FROM c8, pos),
+m AS (SELECT repeat, side, sum(x * p) AS mean FROM l GROUP BY 1, 2),
+v AS (SELECT repeat, side, any_value(mean) AS mean, sqrt(sum(x * (p - mean) ** 2)) AS sd, sum(x * (p - mean) ** 3) AS m3, sum(x * (p - mean) ** 4) AS m4, sum(x) FILTER (p <= 2 + 1e-9) AS low, sum(x) FILTER (p >= 6 - 1e-9) AS high,
+    [sum(x) FILTER (p <= 1 + 1e-9), sum(x) FILTER (p <= 2 + 1e-9), sum(x) FILTER (p <= 3 + 1e-9), sum(x) FILTER (p <= 4 + 1e-9), sum(x) FILTER (p <= 5 + 1e-9), sum(x) FILTER (p <= 6 + 1e-9), sum(x)] AS cdf FROM l JOIN m USING (repeat, side) GROUP BY 1, 2),
+w AS (SELECT *, m3 / sd ** 3 AS sk, m4 / sd ** 4 - 3 AS ku FROM v),
+g AS (SELECT a.mean - b.mean AS d1, a.sd - b.sd AS d2, a.sk - b.sk AS d3, a.ku - b.ku AS d4, a.low - b.low AS d5, a.high - b.high AS d6, [abs(a.cdf[i] - b.cdf[i]) for i in range(1, 8)] AS ds FROM w a JOIN w b USING (repeat) WHERE a.side = 'a' AND b.side = 'b')
+SELECT 'tax' AS v, round(avg(abs(d1)), 6) AS mean, round(avg(abs(d2)), 6) AS sd, round(avg(abs(d3)), 6) AS skewness, round(avg(abs(d4)), 6) AS kurtosis, round(avg(abs(d5)), 6) AS low, round(avg(abs(d6)), 6) AS high,
+    round(avg(list_avg(ds)), 6) AS cdf, round(avg(list_max(ds)), 6) AS ks FROM g"""
 )
 def q_noise_floor(spark, d):
-    return rounded(validation.multinomial_noise(tax_cuts(spark, d).withColumn("v", F.lit("tax")), ["v"], 100, 20))
+    items = read(spark, d, "lineitem").withColumn("v", F.lit("tax"))
+    arrays = distributions.share_arrays(profile.weighted_shares(items, ["v"], "l_tax", "l_quantity"), ["v"])
+    return rounded(resampling.noise_floor(arrays, ["v"], 100, 20))
 
 
 @query(
-    """WITH p AS (SELECT s AS size, r AS repeat FROM (VALUES (20), (50)) a(s), range(10) b(r)), o AS (SELECT size, repeat, value, row_number() OVER (PARTITION BY size, repeat ORDER BY {u}, s_suppkey) AS n FROM (SELECT s_suppkey, s_acctbal AS value FROM supplier), p),
-m AS (SELECT size, repeat, avg(value) AS m FROM o WHERE n <= size GROUP BY 1, 2) SELECT size::BIGINT AS size, round(avg(abs(m - (SELECT avg(s_acctbal) FROM supplier))), 4) AS mean_noise FROM m GROUP BY 1""".format(
-        u=LCG.format(i="s_suppkey * 79190 + repeat * 104729 + size")
-    )
+    f"""WITH p AS (SELECT s AS size, r AS repeat, row_number() OVER (ORDER BY s, r) - 1 AS stream FROM (VALUES (20), (50)) a(s), range(10) b(r)),
+o AS (SELECT size, value, repeat, row_number() OVER (PARTITION BY size, repeat ORDER BY n53, s_suppkey) AS n FROM {numbers_sql("(SELECT s_suppkey, s_acctbal AS value, p.* FROM supplier, p)", "0, s_suppkey", "stream")}),
+m AS (SELECT size, repeat, avg(value) AS m FROM o WHERE n <= size GROUP BY 1, 2) SELECT size::BIGINT AS size, round(avg(abs(m - (SELECT avg(s_acctbal) FROM supplier))), 4) AS mean_noise FROM m GROUP BY 1"""
 )
 def q_subsample_noise(spark, d):
-    return rounded(validation.subsample_noise(read(spark, d, "supplier"), "s_suppkey", "s_acctbal", [20, 50], 10), 4)
+    return rounded(resampling.subsample_noise(read(spark, d, "supplier"), "s_suppkey", "s_acctbal", [20, 50], 10), 4)
+
+
+@query(
+    f"""WITH x AS (SELECT l_orderkey * 8 + l_linenumber AS key, l_tax AS cat FROM lineitem), p AS (SELECT s AS size, r AS repeat, row_number() OVER (ORDER BY s, r) - 1 AS stream FROM (VALUES (200), (800)) a(s), range(4) b(r)),
+o AS (SELECT size, repeat, cat, row_number() OVER (PARTITION BY size, repeat ORDER BY n53, key, cat) AS n FROM {numbers_sql("(SELECT x.*, p.* FROM x, p)", "5, key", "stream")}),
+c AS (SELECT size, repeat, cat, count(*) AS w FROM o WHERE n <= size GROUP BY ALL UNION ALL SELECT 0, 0, cat, count(*) FROM x GROUP BY cat),
+cu AS (SELECT size, repeat, row_number() OVER q - 1 AS j, count(*) OVER (PARTITION BY size, repeat) AS k, sum(w) OVER (q ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY size, repeat)::double AS cum FROM c WINDOW q AS (PARTITION BY size, repeat ORDER BY cat)),
+g AS (SELECT size, repeat, k, i, least(i * (k - 1) // 19, k - 2) AS j FROM (SELECT DISTINCT size, repeat, k FROM cu), range(20) t(i)),
+y AS (SELECT g.size, g.repeat, g.i, a.cum + (g.i * (g.k - 1) - g.j * 19) / 19.0::double * (b.cum - a.cum) AS y FROM g JOIN cu a ON a.size = g.size AND a.repeat = g.repeat AND a.j = g.j JOIN cu b ON b.size = g.size AND b.repeat = g.repeat AND b.j = g.j + 1)
+SELECT y.size::BIGINT AS size, round(avg(abs(y.y - z.y)), 6) AS mean_noise FROM y JOIN y z ON z.size = 0 AND z.i = y.i WHERE y.size > 0 GROUP BY 1"""
+)
+def q_subsample_curve_noise(spark, d):
+    rows = read(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), "l_tax")
+    return rounded(resampling.subsample_curve_noise(rows, "key", "l_tax", [200, 800, 10**9], 4, seed=5))
+
+
+def _poisson_sql(source: str, key: str, sums: dict[str, str], repeats: int, seed: int, stat: str) -> str:
+    times = " + ".join(f"(n53 >= {x})::INT" for x in draws.poisson_limits())
+    terms = ", ".join(f"sum(({times}) * {c}) AS {n}" for n, c in sums.items())
+    whole = ", ".join(f"sum({c}) AS {n}" for n, c in sums.items())
+    return f"""WITH r AS (SELECT repeat, {terms} FROM {numbers_sql(f"(SELECT *, t.repeat FROM {source}, range({repeats}) t(repeat))", f"{seed}, {key}", "repeat")} GROUP BY repeat), s AS (SELECT {stat} AS s FROM r)
+SELECT round((SELECT {stat} FROM (SELECT {whole} FROM {source})), 4) AS value, round(quantile_cont(s, 0.025), 4) AS ci_low, round(quantile_cont(s, 0.975), 4) AS ci_high FROM s"""
+
+
+@query(_poisson_sql("orders", "o_orderkey", {"sx": "o_totalprice", "n": "1"}, 60, 3, "sx / n"))
+def q_poisson_bootstrap(spark, d):
+    sums = {"sx": F.col("o_totalprice"), "n": F.lit(1)}
+    return rounded(resampling.poisson_interval(read(spark, d, "orders"), "o_orderkey", sums, C.ratio("sx", "n"), 60, seed=3), 4)
+
+
+@query(_poisson_sql("orders", "o_custkey", {"sx": "o_totalprice", "n": "1"}, 60, 4, "sx / n"))
+def q_poisson_cluster_bootstrap(spark, d):
+    sums = {"sx": F.col("o_totalprice"), "n": F.lit(1)}
+    return rounded(resampling.poisson_interval(read(spark, d, "orders"), "o_custkey", sums, C.ratio("sx", "n"), 60, seed=4), 4)
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 4) AS mean FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
@@ -631,7 +710,7 @@ def _slots(prefix: str = "", by: str = "") -> str:
     return f"""sl AS (SELECT *, sum(c_acctbal::DECIMAL(28,6)) OVER ({part}ORDER BY seg, c_custkey ROWS UNBOUNDED PRECEDING) AS hi, sum(c_acctbal::DECIMAL(28,6)) OVER ({f'PARTITION BY {by}' if by else ''}) AS total FROM (SELECT *, 0 AS seg FROM customer WHERE c_acctbal > 0))"""
 
 
-DRAWS = f"dw AS (SELECT i AS draw_no, {LCG.format(i='i')} AS u FROM range(1000) t(i))"
+DRAWS = f"dw AS (SELECT i AS draw_no, {UNIFORM.format(key="0, i")} AS u FROM range(1000) t(i))"
 
 
 @query(f"WITH {_slots()}, {DRAWS} SELECT draw_no, c_custkey FROM dw JOIN sl ON u >= (hi - c_acctbal::DECIMAL(28,6))::double / total::double AND u < hi::double / total::double")

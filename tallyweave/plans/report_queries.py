@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import columns as C
 from tallyweave.operators import distributions, reports, sampling
 from tallyweave.plans import generate
-from tallyweave.plans.catalogue import HIST, LCG, NN_CASES, TAX_SHARES, event_histogram, nn_cases, query, read, region_codes, rounded, tax_cuts
+from tallyweave.plans.catalogue import HIST, NN_CASES, TAX_SHARES, UNIFORM, event_histogram, nn_cases, query, read, region_codes, rounded, tax_cuts
 
 CODES = "c AS (SELECT p_partkey, p_partkey % 5 AS item, p_size % 7 + CASE p_partkey % 5 WHEN 0 THEN 36 WHEN 1 THEN 8 WHEN 2 THEN 35 ELSE 1 END AS code FROM part)"
 
@@ -97,7 +97,7 @@ f AS (SELECT *, floor(share * 250 + 1e-9) AS fl, row_number() OVER (ORDER BY rou
 q AS (SELECT c_mktsegment, no, (fl + CASE WHEN n <= 250 - sum(fl) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM f),
 num AS (SELECT c_mktsegment, no * 250 + unnest(range(1, quota + 1)) AS draw_no FROM q), dw AS (SELECT *, {u} AS u FROM num),
 sl AS (SELECT *, sum(c_acctbal::DECIMAL(28,6)) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS hi, sum(c_acctbal::DECIMAL(28,6)) OVER (PARTITION BY c_mktsegment) AS total FROM ppl)
-SELECT draw_no::BIGINT AS draw_no, c_mktsegment, c_custkey FROM dw JOIN sl USING (c_mktsegment) WHERE u >= (hi - c_acctbal::DECIMAL(28,6))::double / total::double AND u < hi::double / total::double""".format(u=LCG.format(i="draw_no"))
+SELECT draw_no::BIGINT AS draw_no, c_mktsegment, c_custkey FROM dw JOIN sl USING (c_mktsegment) WHERE u >= (hi - c_acctbal::DECIMAL(28,6))::double / total::double AND u < hi::double / total::double""".format(u=UNIFORM.format(key="0, draw_no"))
 )
 def q_quota_sample(spark, d):
     people = sampling.filter_by_label(read(spark, d, "customer").where("c_acctbal BETWEEN 500 AND 9000"), "c_nationkey", region_codes(spark, d, ["asia"], "exact"), negate=True)
