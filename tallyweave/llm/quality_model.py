@@ -4,8 +4,8 @@ A text's features are its words and pairs of neighbouring words, hashed to
 2^18 numbers, with square roots of their counts scaled to length one, and a
 constant.  Words are runs of letters and digits, or of other signs, in their
 own case; a word equal to the one before it is named as such, so that repeats
-have a feature whatever the word is.  Training rows are dealt to a fixed number
-of shards; in each round every shard goes on from the common state (the sums of
+have a feature whatever the word is.  Training rows are dealt to shards of about
+2,048 rows, by their hashes; in each round every shard goes on from the common state (the sums of
 gradients and of their squares) and the states are averaged by Spark, so the
 result doesn't depend on the cluster.
 """
@@ -28,7 +28,8 @@ _U = np.uint64
 BUCKETS = 1 << 18
 #: Labelled documents that are fitted on, at most.
 MOST_LABELS = 16_384
-SHARDS, ROUNDS = 8, 3
+#: Rows of a shard, of which there are as many as the sample needs, and rounds over all of them.
+SHARD_ROWS, ROUNDS = 2_048, 6
 #: Step, its offset and both penalties of follow-the-regularised-leader (proximal).
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.05
 GOOD = 0.7
@@ -92,7 +93,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str,
     return found.groupBy("id_", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("of")).select(F.xxhash64("id_").alias("h"), "of.text", "label")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELS, shards: int = SHARDS, rounds: int = ROUNDS) -> np.ndarray:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELS, shard_rows: int = SHARD_ROWS, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of the buckets, fitted on a sample of ``most`` labelled documents at most (whole texts).
 
     A document labelled more than once has its commoner label (ties: 1); null
@@ -114,8 +115,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 )
 
     sample = labelled_sample(docs, labels, most, id_col, text_col, label_col)
-    rows = sample.mapInArrow(extract, "h bigint, label int, bucket array<int>, value array<float>").withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    rows = written(rows.repartition(shards, "shard").sortWithinPartitions("shard", "h"), "features")
+    rows = written(sample.mapInArrow(extract, "h bigint, label int, bucket array<int>, value array<float>"), "features")
+    shards = max(1, -(-rows.count() // shard_rows))
+    rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
