@@ -33,7 +33,7 @@ RANK_PARTS = 64
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BETWEEN = byte_kinds(PIECE_ENDS + b" \t")
 #: Text bytes of which a task looks at words together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def named_words(texts: pa.Array, lang: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

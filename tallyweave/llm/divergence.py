@@ -28,7 +28,7 @@ MOST_TERMS = 10
 #: Bytes of terms: letters, and all of characters beyond ASCII.
 TERM_BYTES = np.zeros(256, np.uint8)
 TERM_BYTES[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Sources of a language whose pairs are summed in one table of a task.
 SOURCE_BLOCK = 256
 #: Parts of a language's terms that are summed alone.
