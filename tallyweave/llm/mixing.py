@@ -26,90 +26,85 @@ from tallyweave.llm.sharding import numbered
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 4096
 REPEATS = 3
-#: Fractions held back from a source's last block, and of these from their flight for the landing problem.
-POOL, LANDING = 256, 12
+#: Fractions from which a source's last ones are settled in several ways, and how many.
+LANDING, WAYS = 48, 6
 _NEAR = 1e-9
 
 
-def move_to_faces(size: np.ndarray, p: np.ndarray, seed: list[int], hold: int = 0) -> np.ndarray:
-    """Flight phase: probabilities of which at most two, and the last ``hold`` fractions, are left strictly between 0 and 1."""
-    p = p.astype(float).tolist()
-    size = size.tolist()
-    n = len(p)
-    random = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed))).random(n + 4).tolist()
-    window: list[int] = []
-    fractions = [i for i in range(n) if _NEAR < p[i] < 1 - _NEAR]
-    coming = iter(fractions[: max(0, len(fractions) - hold)])
-    for step in range(n + 4):
-        while len(window) < 3 and (i := next(coming, None)) is not None:
-            window.append(i)
-        if len(window) == 3:
-            a, b, c = (size[i] for i in window)
-            # Orthogonal to the sizes and to (1, 1, 1).
-            u = [b - c, c - a, a - b] if not a == b == c else [1, -1, 0]
-        elif len(window) == 2 and size[window[0]] == size[window[1]]:
-            u = [1, -1]
-        else:
-            break
-        up = down = math.inf
-        for i, d in zip(window, u, strict=True):
-            if d > 0:
-                up, down = min(up, (1 - p[i]) / d), min(down, p[i] / d)
-            elif d < 0:
-                up, down = min(up, -p[i] / d), min(down, (p[i] - 1) / d)
-        by = up if random[step] * (up + down) < down else -down
-        left = []
-        for i, d in zip(window, u, strict=True):
-            p[i] += by * d
-            if p[i] < _NEAR:
-                p[i] = 0.0
-            elif p[i] > 1 - _NEAR:
-                p[i] = 1.0
-            else:
-                left.append(i)
-        window = left
-    return np.array(p)
-
-
-def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Landing phase for the few last fractions: of the corners within two documents of the total, the nearest in words."""
-    open_ = open_fractions(p)
-    p = np.where(p >= 1 - _NEAR, 1.0, np.where(p <= _NEAR, 0.0, p))
-    if len(open_):
-        corners = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1).astype(float)
-        moved = corners - p[open_]
-        documents, words = np.abs(moved.sum(1)), np.abs(moved @ size[open_])
-        p[open_] = corners[np.lexsort((documents, words, documents >= 2))[0]]
+def direction(size: np.ndarray, room: np.ndarray) -> np.ndarray | None:
+    """A direction that moves the first document by 1 and the others, by their room, so that neither total changes; None if there is none."""
+    r, s0 = room[1:], float(room[1:].sum())
+    if s0 <= 0:
+        return None
+    middle = float(r @ size[1:]) / s0
+    apart, own = size[1:] - middle, float(size[0]) - middle
+    weighed = r * apart
+    spread = float(weighed @ apart)
+    u = np.empty(len(size))
+    u[0] = 1.0
+    if spread > 1e-12 * s0 * max(middle * middle, 1e-12):
+        u[1:] = r * (-1 / s0) - weighed * (own / spread)
+    elif abs(own) <= 1e-12 * max(middle, 1.0):
+        u[1:] = r * (-1 / s0)
+    else:
+        return None
+    return u
+
+
+def step_to_face(p: np.ndarray, u: np.ndarray, draw: float) -> np.ndarray:
+    """One step of the martingale: as far as the cube goes along ``u`` or against it, with the chances that keep expectations."""
+    room = np.where(u > 0, 1 - p, p), np.where(u > 0, p, 1 - p)
+    size = np.abs(u) + 1e-300
+    up, down = float((room[0] / size).min()), float((room[1] / size).min())
+    moved = p + u * (up if draw * (up + down) < down else -down)
+    moved[moved < _NEAR] = 0.0
+    moved[moved > 1 - _NEAR] = 1.0
+    return moved
+
+
+def flight(size: np.ndarray, p: np.ndarray, seed: list[int], left: int = 2) -> np.ndarray:
+    """Flight phase, from the largest document to the smallest, until ``left`` fractions are open.
+
+    Each document is moved to 0 or 1 along a direction that spreads what it
+    changes over all smaller ones, so both totals and every expectation stay
+    exact, and what stays open (also what no others can make up for) is small.
+    """
+    p = p.astype(float).copy()
+    order = np.lexsort((np.arange(len(p)), -size))
+    open_ = order[(p[order] > _NEAR) & (p[order] < 1 - _NEAR)]
+    draws = iter(np.random.Generator(np.random.Philox(np.random.SeedSequence(seed))).random(2 * len(p) + 4))
+    sizes, now = size[open_].astype(float), p[open_]
+    while len(open_) > max(left, 2):
+        u = direction(sizes, np.minimum(now, 1 - now))
+        if u is None:
+            p[open_[0]] = now[0]
+            open_, sizes, now = open_[1:], sizes[1:], now[1:]
+            continue
+        now = step_to_face(now, u, next(draws))
+        open_now = (now > 0) & (now < 1)
+        p[open_[~open_now]] = now[~open_now]
+        open_, sizes, now = open_[open_now], sizes[open_now], now[open_now]
+    p[open_] = now
+    return np.where(p <= _NEAR, 0.0, np.where(p >= 1 - _NEAR, 1.0, p))
+
+
+def land(size: np.ndarray, p: np.ndarray, seed: list[int]) -> np.ndarray:
+    """Landing phase: gives the words up first, as pairs move against each other, which keeps the number of documents; the last one is drawn by its probability."""
+    p = p.copy()
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    open_ = open_[np.argsort(-size[open_], kind="stable")]
+    draws = iter(np.random.Generator(np.random.Philox(np.random.SeedSequence(seed))).random(len(p) + 1))
+    while len(open_):
+        p[open_[-2:]] = step_to_face(p[open_[-2:]], np.array([1.0, -1.0])[: len(open_)], next(draws))
+        open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
     return p
 
 
-def open_fractions(p: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((p > _NEAR) & (p < 1 - _NEAR))
-
-
-def last_block(size: np.ndarray, p: np.ndarray, seed: list[int]) -> np.ndarray:
-    """All probabilities of a source's one block, moved and landed: 0 or 1."""
-    p = move_to_faces(size, p, [*seed, 0], POOL)
-    rest = open_fractions(p)
-    rest = rest[np.argsort(-size[rest], kind="stable")]
-    large = int((size[rest] > 2 * size[rest].mean()).sum()) if len(rest) else 0
-    draws = np.random.Generator(np.random.Philox(np.random.SeedSequence([*seed, 1]))).random(large)
-    for k, i in enumerate(rest[:large]):
-        after = rest[k + 1 :]
-        room = np.minimum(p[after], 1 - p[after])
-        whole = (size[after] * room).sum()
-        taken = float(draws[k] < p[i])
-        if size[i] * abs(taken - p[i]) > whole:  # more words than the others can make up for: the nearer end
-            taken = float(p[i] > 0.5)
-        words, p[i] = size[i] * (taken - p[i]), taken
-        if whole:
-            p[after] = np.clip(p[after] - words * room / whole, 0, 1)
-    rest = open_fractions(p)
-    rest = rest[np.argsort(-size[rest], kind="stable")]
-    held = len(rest) - 1 - np.unique(np.linspace(0, len(rest) // 2, min(LANDING, len(rest))).astype(int))
-    fly = np.delete(rest, held)
-    p[fly] = move_to_faces(size[fly], p[fly], [*seed, 2])
-    return land(size, p)
+def balanced(size: np.ndarray, p: np.ndarray, seed: list[int]) -> np.ndarray:
+    """All probabilities of a source's one block as 0 or 1: of some ways to settle its last fractions, the one nearest in words."""
+    open_ = flight(size, p, [*seed, 0], LANDING)
+    ways = [land(size, flight(size, open_, [*seed, 1, t]), [*seed, 2, t]) for t in range(WAYS)]
+    return min(ways, key=lambda q: abs(float(q @ size - p @ size)))
 
 
 def source_targets(sizes: DataFrame, repeats: int = REPEATS, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -186,7 +181,7 @@ def _flight(units: DataFrame, seed: int, level: int) -> DataFrame:
         size, p = group["size"].to_numpy(), group["p"].to_numpy()
         last = group["blocks"][0].as_py() == 1
         seeds = [seed, level, group["source_no"][0].as_py(), group["block"][0].as_py()]
-        moved = last_block(size, p, seeds) if last else move_to_faces(size, p, seeds)
+        moved = balanced(size, p, seeds) if last else flight(size, p, seeds)
         return group.select(names).set_column(names.index("p"), "p", pa.array(moved, pa.float64()))
 
     return units.groupBy("source_no", "block").applyInArrow(run, schema)

@@ -144,11 +144,35 @@ def test_mixed_rows_have_draws_of_their_own(spark):
 
 def test_flight_keeps_both_totals():
     size = np.arange(1, 400) % 37
-    p = mixing.move_to_faces(size, np.full(399, 0.37), [1, 2])
-    assert ((p > 0) & (p < 1)).sum() <= 2
+    p = mixing.flight(size, np.full(399, 0.37), [1, 2])
+    assert ((p > 0) & (p < 1)).sum() <= 3
     assert abs((p * size).sum() - 0.37 * size.sum()) < 1e-6 and abs(p.sum() - 0.37 * 399) < 1e-6
 
 
+def test_landing_keeps_documents_words_and_chances():
+    """Skewed sizes with one giant, and other probabilities: both totals, and each document's rate over many draws."""
+    random = np.random.default_rng(5)
+    for n, p in ((50, np.full(50, 0.37)), (200, np.full(200, 0.37)), (120, np.tile([0.1, 0.5, 0.85], 40))):
+        size = np.maximum(0, np.round(np.exp(random.normal(5, 1.2, n))) - 20)
+        size[7] = size.sum() * 0.05
+        rates, runs = np.zeros(n), 400
+        for r in range(runs):
+            got = mixing.balanced(size, p, [3, r])
+            assert set(got.tolist()) <= {0.0, 1.0} and abs(got.sum() - p.sum()) < 1
+            assert abs(got @ size - p @ size) <= np.sort(size)[n // 2]
+            rates += got / runs
+        assert (np.abs(rates - p) < 4.5 * np.sqrt(p * (1 - p) / runs)).all()
+        assert np.array_equal(mixing.balanced(size, p, [3, 1]), mixing.balanced(size, p, [3, 1]))
+
+
+def test_landing_of_what_cannot_be_balanced():
+    """Documents that no others make up for: whole numbers, about as many as expected, and the words as near as some ways give."""
+    for size in ([5.0], [0.0, 0.0], [9.0, 1.0, 1.0, 1.0], [1e6, 3.0, 3.0, 2.0], [4.0] * 9, []):
+        got = [mixing.balanced(np.array(size), np.full(len(size), 0.4), [r]) for r in range(300)]
+        assert all(set(g.tolist()) <= {0.0, 1.0} and abs(g.sum() - 0.4 * len(size)) < 1 for g in got)
+        assert all(abs(g @ np.array(size) - 0.4 * sum(size)) <= max(size, default=0.0) for g in got)
+
+
 def test_shards(edge, corpus):
     for docs in (edge, corpus):
         rows, n = sharding.feistel_shards(docs).collect(), docs.count()
