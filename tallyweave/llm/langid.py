@@ -84,8 +84,8 @@ class PieceTable:
         return out
 
 
-def groups(data: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Byte matrices of words of one length, a space before each if ``spaced``, and the words' numbers."""
+def groups(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Byte matrices of words of one length, a space before each, and the words' numbers."""
     size = end - start
     order = np.argsort(size, kind="stable")
     for n in np.unique(size).tolist():
@@ -94,7 +94,7 @@ def groups(data: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: bool =
         for at in range(low, high, step):
             own = order[at : min(at + step, high)]
             rows = data[start[own][None, :] + np.arange(n)[:, None]]
-            yield (np.vstack([np.full((1, len(own)), 0x20, np.uint8), rows]) if spaced else rows), own
+            yield np.vstack([np.full((1, len(own)), 0x20, np.uint8), rows]), own
 
 
 def lattice(rows: np.ndarray, table: PieceTable) -> list[np.ndarray]:
@@ -180,24 +180,45 @@ def word_scores(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: Pie
     return out
 
 
-def training_parts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
-    """(spaced, start, end, word) of what words train with: whole ones, and longer ones in parts of about ``SHORT_BYTES`` bytes cut between characters."""
-    parts: list[tuple[int, int, int, bool]] = []
-    for w in np.flatnonzero(end - start > SHORT_BYTES).tolist():
-        a = int(start[w])
-        while a < end[w]:
-            b = min(a + SHORT_BYTES, int(end[w]))
-            while b < end[w] and b - a > SHORT_BYTES - 4 and data[b] & 0xC0 == 0x80:
-                b -= 1
-            parts.append((a, b, w, a == start[w]))
-            a = b
-    short = np.flatnonzero(end - start <= SHORT_BYTES)
-    whole = [(int(start[w]), int(end[w]), w, True) for w in short.tolist()] + parts
-    out = []
-    for spaced in (True, False):
-        own = np.array([p[:3] for p in whole if p[3] == spaced], np.int64).reshape(-1, 3)
-        out.append((spaced, own[:, 0], own[:, 1], own[:, 2]))
-    return out
+def rescaled_sums(through: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all ways to each place of one word, and the logarithm that each is short of.
+
+    ``through`` [n - 1, j] is the probability of the step from place j - n to
+    j; what the sums are short of grows as the window of the last places is rescaled.
+    """
+    most, places = through.shape
+    sums, log = np.zeros(places), np.zeros(places)
+    sums[0] = 1.0
+    window, short = np.zeros(most), 0.0
+    window[0] = 1.0  # the sum n places before stands at n - 1
+    for j in range(1, places):
+        new = float(window @ through[:, j])
+        window[1:] = window[:-1].copy()
+        window[0] = new
+        sums[j], log[j] = new, short
+        if j % RESCALE == 0 and new > 0:
+            window /= new
+            short += np.log(new)
+    return sums, log
+
+
+def long_counts(word: np.ndarray, table: PieceTable, scaled: np.ndarray, times: float) -> np.ndarray:
+    """Expected numbers of each piece in one word of any length (bytes with the space before it), all its segmentations counted."""
+    m, found = len(word), [f[:, 0] for f in lattice(word[:, None], table)]
+    ahead, back = np.zeros((len(found), m + 1)), np.zeros((len(found), m + 1))
+    for n, pieces in enumerate(found, 1):
+        step = scaled[pieces, 0]
+        ahead[n - 1, n:] = step
+        back[n - 1, n:] = step[::-1]
+    (alpha, a), (beta, b) = rescaled_sums(ahead), rescaled_sums(back)
+    beta, b, count = beta[::-1], b[::-1], np.zeros(table.size + 1)
+    whole = np.log(alpha[m]) + a[m]
+    for n, pieces in enumerate(found, 1):
+        weight = times * alpha[: m + 1 - n] * ahead[n - 1, n:] * beta[n:] * np.exp(a[: m + 1 - n] + b[n:] - whole)
+        if n == 1:
+            weight[0] = 0.0  # the space that stands before every word is no piece of a language's own
+        count += np.bincount(pieces, weight, table.size + 1)
+    return count
 
 
 def distinct_words(data: np.ndarray, offsets: np.ndarray):
@@ -212,21 +233,22 @@ def fit_pieces(texts: pa.Array, table: PieceTable, rounds: int, smooth: float) -
     _, start, end, back = distinct_words(data, offsets)
     times = np.bincount(back, minlength=len(start)).astype(float)
     logp = np.full((table.size, 1), -np.log(table.size))
-    parts = training_parts(data, start, end)
+    short, long = np.flatnonzero(end - start <= SHORT_BYTES), np.flatnonzero(end - start > SHORT_BYTES)
     for _ in range(rounds):
         scaled, count = scaled_table(logp, table), np.zeros(table.size + 1)
-        for spaced, first, last, word in parts:
-            for rows, own in groups(data, first, last, spaced):
-                found = lattice(rows, table)
-                alpha, m = forward(found, scaled)[:, :, 0], len(rows)
-                beta = np.zeros_like(alpha)
-                beta[m] = times[word[own]] / alpha[m]
-                for j in range(m - 1, -1, -1):
-                    for n in range(1, min(len(found), m - j) + 1):
-                        through = scaled[found[n - 1][j], 0] * beta[j + n]
-                        beta[j] += through
-                        # The space that stands before every word is no piece of a language's own.
-                        count += np.bincount(found[n - 1][j], alpha[j] * through, table.size + 1) if n > 1 or j or not spaced else 0
+        for rows, own in groups(data, start[short], end[short]):
+            found = lattice(rows, table)
+            alpha, m = forward(found, scaled)[:, :, 0], len(rows)
+            beta = np.zeros_like(alpha)
+            beta[m] = times[short[own]] / alpha[m]
+            for j in range(m - 1, -1, -1):
+                for n in range(1, min(len(found), m - j) + 1):
+                    through = scaled[found[n - 1][j], 0] * beta[j + n]
+                    beta[j] += through
+                    # The space that stands before every word is no piece of a language's own.
+                    count += np.bincount(found[n - 1][j], alpha[j] * through, table.size + 1) if n > 1 or j else 0
+        for w in long.tolist():
+            count += long_counts(np.append(np.uint8(0x20), data[start[w] : end[w]]), table, scaled, times[w])
         share = count[:-1] + smooth
         logp = np.log(share / share.sum())[:, None]
     return logp[:, 0]

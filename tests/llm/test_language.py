@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.llm import langid, queries
@@ -63,3 +64,32 @@ def test_held_out_accuracy(spark):
     assert len(rows) > 150 and by[True] >= 0.97 * len(rows) and all(0 <= r.score <= 1 for r in rows)
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     assert got.where(~crc).isEmpty()
+
+
+def test_long_words_train_whole():
+    """Expected pieces of a word, of any length, equal those summed over all its segmentations; rescaling changes nothing."""
+    pieces = langid.public_pieces(VOCABULARY)
+    table, random_ = langid.PieceTable(pieces), np.random.default_rng(3)
+    logp = np.log(random_.dirichlet(np.full(len(pieces), 0.1))[:, None] + 1e-9)
+    scaled = langid.scaled_table(logp, table)
+    prob = dict(zip(pieces, np.exp(logp[:, 0]), strict=True))
+
+    def plain(word: bytes) -> dict[bytes, float]:
+        forward, back = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+        cuts = [(i, j) for j in range(1, len(word) + 1) for i in range(max(0, j - table.longest), j) if word[i:j] in prob]
+        for i, j in cuts:
+            forward[j] += forward[i] * prob[word[i:j]]
+        for i, j in sorted(cuts, reverse=True):
+            back[i] += back[j] * prob[word[i:j]]
+        out: dict[bytes, float] = collections.defaultdict(float)
+        for i, j in cuts:
+            if (i, j) != (0, 1):
+                out[word[i:j]] += forward[i] * prob[word[i:j]] * back[j] / forward[-1]
+        return out
+
+    for word in (b" the", b" " + b"antidisestablishmentarianism" * 2, " überraschungsmomentenreichtümern".encode() * 1):
+        got, want = langid.long_counts(np.frombuffer(word, np.uint8), table, scaled, 2.0), plain(word)
+        assert {pieces[k]: v for k, v in enumerate(got[:-1]) if v > 1e-12} == pytest.approx({k: 2 * v for k, v in want.items() if 2 * v > 1e-12}, rel=1e-6, abs=1e-12)
+    longest = np.frombuffer(b" " + b"abcdefghij" * 2000, np.uint8)
+    covered = (langid.long_counts(longest, table, scaled, 1.0)[:-1] * table.lengths).sum()
+    assert covered == pytest.approx(len(longest), rel=1e-6) or covered == pytest.approx(len(longest) - 1, rel=1e-6)
