@@ -104,3 +104,12 @@ def shape(shares: Column, positions: Column, grid: int = 7) -> Column:
         mean.alias("mean"), sd.alias("sd"), wide(moment(3) / F.pow(sd, F.lit(3))).alias("skewness"), wide(moment(4) / F.pow(sd, F.lit(4)) - 3).alias("kurtosis"),
         at_most(F.lit(2.0)).alias("low"), high.alias("high"), F.transform(F.sequence(F.lit(1), F.lit(grid)), at_most).alias("cdf"),
     )
+
+
+def empirical_curves(df: DataFrame, by: list[str], value: str, n: int = 20) -> DataFrame:
+    """(by, curve, n_values): the cumulative curve of a sample's values, each value a category; nulls don't count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("cat")).agg(F.count("*").alias("c_"))
+    arrays = share_arrays(counts.withColumn("share", F.col("c_").cast("double")), by)
+    sizes = counts.groupBy(*by).agg(F.sum("c_").alias("n_values"))
+    curves_ = arrays.select(*by, curve("shares", n).alias("curve"))
+    return curves_.join(sizes, by) if by else curves_.crossJoin(sizes)

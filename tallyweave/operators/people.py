@@ -80,3 +80,16 @@ def data_dictionary(spark: SparkSession) -> DataFrame:
     coded += [(f, f"Code of the respondent's {f}.", "; ".join(f"{k} = {v}" for k, v in sorted(labels.items()))) for f, labels in CODEBOOK.items()]
     rows = [(i, *row) for i, row in enumerate(coded + COLUMNS)]
     return spark.createDataFrame(rows, "no int, column string, description string, possible_values string")
+
+
+def codes_in_use(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(column, possible_values, n): the labelled codes that occur in the rows, as ``code = label`` in code order, and the rows that have one.
+
+    One pass over the rows for all fields; a field without a labelled code has no row.
+    """
+    labels = df.sparkSession.createDataFrame([(f, c, v) for f in fields for c, v in CODEBOOK[f].items()], "column string, code int, label string")
+    long = df.select(*[F.col(f).cast("int").alias(f) for f in fields]).unpivot([], fields, "column", "code").where("code IS NOT NULL")
+    counts = long.groupBy("column", "code").agg(F.count("*").alias("n")).join(F.broadcast(labels), ["column", "code"])
+    line = F.concat(F.col("code").cast("string"), F.lit(" = "), F.col("label"))
+    listed = F.array_sort(F.collect_list(F.struct("code", line.alias("line"))))
+    return counts.groupBy("column").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "; ").alias("possible_values"), F.sum("n").alias("n"))

@@ -89,3 +89,35 @@ def profile_shares(df: DataFrame, wanted: list[str], weight: str, k: int = 20) -
 def numeric_columns(df: DataFrame) -> list[str]:
     """Columns of a numeric type, decimals included: those with a mean and an SD."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+
+
+def presence(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """(wanted, found, found_any_case, column, n): whether the table has a column as it is spelled and in any case, and the values it holds.
+
+    One pass counts the values of all columns that are found.
+    """
+    have = {c.lower(): c for c in df.columns}
+    there = list(dict.fromkeys(have[w.lower()] for w in wanted if w.lower() in have))
+    spark = df.sparkSession
+    listed = spark.createDataFrame([(w, w in df.columns, w.lower() in have, have.get(w.lower())) for w in wanted], "wanted string, found boolean, found_any_case boolean, column string")
+    if not there:
+        return listed.withColumn("n", F.lit(None).cast("bigint"))
+    counts = df.agg(*[F.count(f"`{c}`").alias(f"n{i}_") for i, c in enumerate(there)])
+    long = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_"), F.col(f"n{i}_").alias("n")) for i, c in enumerate(there)])).alias("x")).select("x.*")
+    return listed.join(F.broadcast(long), F.col("column") == F.col("column_"), "left").drop("column_")
+
+
+def catalog_with_stats(catalog: DataFrame, stats: DataFrame, name: str) -> DataFrame:
+    """Catalog rows, in any case of ``name``, with their statistics and ``error``: ``no statistics`` where there are none.
+
+    ``stats`` has one row a name; both sides may be large, so neither is assumed to be small.
+    """
+    keyed = stats.withColumn("key_", F.lower(F.trim(name))).drop(name).withColumn("has_", F.lit(True))
+    joined = catalog.withColumn("of_", F.lower(F.trim(name))).join(keyed, F.col("of_") == F.col("key_"), "left")
+    return joined.withColumn("error", F.when(F.col("has_").isNull(), "no statistics")).drop("of_", "key_", "has_")
+
+
+def marked_members(df: DataFrame, column: str, members: DataFrame, member: str, out: str) -> DataFrame:
+    """Rows with ``out``: whether ``column`` is among the members; null is not."""
+    known = members.select(F.col(member).alias("member_")).where("member_ IS NOT NULL").distinct()
+    return df.join(known, F.col(column) == F.col("member_"), "left").withColumn(out, F.col("member_").isNotNull()).drop("member_")

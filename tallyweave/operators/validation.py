@@ -55,9 +55,13 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("n_"))
     pairs = written(pairs, "pairs")
+    alike = pairs.schema[x].dataType == pairs.schema[y].dataType
+    side = lambda c: pairs.select(*by, F.lit(c).alias("side_"), (F.col(c) if alike else F.col(c).cast("double")).alias("value_"), "n_")
+    both = average_value_ranks(side(x).unionByName(side(y)), [*by, "side_"], "value_", "n_", "rank_")  # both columns in one pass
     ranked = pairs
     for value, out in ((x, "rx_"), (y, "ry_")):
-        ranked = _looked_up(ranked, average_value_ranks(pairs, by, value, "n_", out), [*by, value], out)
+        own = both.where(F.col("side_") == value).select(*by, F.col("value_").cast(pairs.schema[value].dataType).alias(value), F.col("rank_").alias(out))
+        ranked = _looked_up(ranked, own, [*by, value], out)
     size = pairs.groupBy(*by).agg(F.sum("n_").alias("size_"))
     centred = _looked_up(ranked, size, by, "size_") if by else ranked.crossJoin(F.broadcast(size))
     dx, dy = (F.col(c) - (F.col("size_") + 1) / 2 for c in ("rx_", "ry_"))

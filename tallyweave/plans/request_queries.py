@@ -26,12 +26,16 @@ def q_people_described(spark, d):
     return read(spark, d, "customer").withColumns(codes).select("c_custkey", people.described({"sex": "", "race": "", "region": "region"}).alias("person"))
 
 
-_LABELS = ", ".join(f"('{f}', {k}, '{v}')" for f, labels in people.CODEBOOK.items() for k, v in labels.items())
+_LABELS = ", ".join(f"('{f}', {k}, '{v}')" for f in ("sex", "race", "region") for k, v in people.CODEBOOK[f].items())
 
 
-@query(f"SELECT f AS \"column\", string_agg(k || ' = ' || v, '; ' ORDER BY k) AS possible_values FROM (VALUES {_LABELS}) t(f, k, v) GROUP BY 1")
+@query(
+    f"""WITH c AS (SELECT 'sex' AS "column", nullif(c_custkey % 3, 0) AS code FROM customer UNION ALL SELECT 'race', c_custkey % 5 FROM customer UNION ALL SELECT 'region', c_nationkey % 4 + 1 FROM customer WHERE c_nationkey % 4 < 3),
+n AS (SELECT "column", code, count(*) AS n FROM c GROUP BY 1, 2) SELECT "column", string_agg(code || ' = ' || label, '; ' ORDER BY code) AS possible_values, sum(n)::BIGINT AS n FROM n JOIN (VALUES {_LABELS}) t("column", code, label) USING ("column", code) GROUP BY 1"""
+)
 def q_data_dictionary(spark, d):
-    return people.data_dictionary(spark).where(F.col("column").isin(list(people.CODEBOOK))).select("column", "possible_values")
+    codes = {"sex": F.nullif(F.col("c_custkey") % 3, F.lit(0)), "race": F.col("c_custkey") % 5, "region": F.when(F.col("c_nationkey") % 4 < 3, F.col("c_nationkey") % 4 + 1)}
+    return people.codes_in_use(read(spark, d, "customer").withColumns(codes), ["sex", "race", "region"])
 
 
 @query(f"WITH {BRAND} SELECT p_brand, i::BIGINT AS point, round(sum(CASE WHEN 1 + j * 6.0::double / greatest(k - 1, 1) <= i + 1e-9 THEN share ELSE 0 END), 6) AS cum FROM sh, range(1, 8) t(i) GROUP BY 1, 2")
@@ -50,10 +54,52 @@ def q_curve_distance9(spark, d):
     return rounded(points.select("p_brand", C.mean_distance("curve", C.linspace(9)).alias("distance")))
 
 
-@query("SELECT p_partkey, p_name, p_brand FROM part")
+@query("SELECT s_suppkey, s_name, n, round(quantity, 6) AS quantity FROM supplier JOIN (SELECT l_suppkey AS s_suppkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1) USING (s_suppkey)")
 def q_aligned_rows(spark, d):
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    return rounded(arrays.aligned(read(spark, d, "supplier").select("s_suppkey", "s_name"), lines, "s_suppkey"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('L_TAX', false, true, 'l_tax'), ('l_quantity', true, true, 'l_quantity'), ('l_absent', false, false, NULL)) t(wanted, found, found_any_case, "column")
+LEFT JOIN (SELECT 'l_tax' AS "column", count(l_tax) AS n FROM lineitem UNION ALL SELECT 'l_quantity', count(l_quantity) FROM lineitem) USING ("column")"""
+)
+def q_presence(spark, d):
+    return profile.presence(read(spark, d, "lineitem"), ["L_TAX", "l_quantity", "l_absent"])
+
+
+CATALOG = "ct AS (SELECT DISTINCT ' ' || upper(p_brand) AS variable, 'about ' || p_brand AS label FROM part), st AS (SELECT lower(p_brand) AS variable, count(*) AS n, avg(p_size) AS mean FROM part WHERE p_size > 5 AND p_partkey % 7 > 0 GROUP BY 1 HAVING min(p_partkey) % 3 > 0)"
+
+
+@query(f"WITH {CATALOG} SELECT ct.variable, label, n, round(mean, 6) AS mean, CASE WHEN n IS NULL THEN 'no statistics' END AS error FROM ct LEFT JOIN st ON lower(trim(ct.variable)) = lower(trim(st.variable))")
+def q_catalog_stats(spark, d):
+    catalog, stats = brand_catalog(spark, d)
+    return rounded(profile.catalog_with_stats(catalog, stats, "variable"))
+
+
+@query(f"WITH {CATALOG} SELECT l_orderkey, l_linenumber, p_brand, lower(p_brand) IN (SELECT variable FROM st WHERE n >= 60) AS usable FROM lineitem JOIN part ON l_partkey = p_partkey")
+def q_usable_members(spark, d):
+    lines = read(spark, d, "lineitem").join(read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.lower("p_brand").alias("variable")), "l_partkey")
+    marked = profile.marked_members(lines, "variable", brand_catalog(spark, d)[1].where("n >= 60"), "variable", "usable")
+    return rounded(marked.select("l_orderkey", "l_linenumber", "p_brand", "usable"))
+
+
+def brand_catalog(spark, d):
     parts = read(spark, d, "part")
-    return arrays.aligned(parts.select("p_partkey", "p_name"), parts.select("p_partkey", "p_brand"), "p_partkey")
+    catalog = parts.select(F.concat(F.lit(" "), F.upper("p_brand")).alias("variable"), F.concat(F.lit("about "), F.col("p_brand")).alias("label")).distinct()
+    stats = parts.where("p_size > 5 AND p_partkey % 7 > 0").groupBy(F.lower("p_brand").alias("variable")).agg(F.count("*").alias("n"), F.avg("p_size").alias("mean"), F.min("p_partkey").alias("k_")).where("k_ % 3 > 0").drop("k_")
+    return catalog, stats
+
+
+@query(
+    """WITH c AS (SELECT l_returnflag, l_tax AS cat, count(*) AS w FROM lineitem GROUP BY 1, 2),
+cu AS (SELECT l_returnflag, row_number() OVER q - 1 AS j, count(*) OVER (PARTITION BY l_returnflag) AS k, sum(w) OVER (q ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY l_returnflag)::double AS cum, sum(w) OVER (PARTITION BY l_returnflag) AS n FROM c WINDOW q AS (PARTITION BY l_returnflag ORDER BY cat)),
+g AS (SELECT l_returnflag, k, n, i, least(i * (k - 1) // 19, k - 2) AS j FROM (SELECT DISTINCT l_returnflag, k, n FROM cu), range(20) t(i))
+SELECT g.l_returnflag, g.i::BIGINT AS pos, g.n::BIGINT AS n_values, round(a.cum + (g.i * (g.k - 1) - g.j * 19) / 19.0::double * (b.cum - a.cum), 6) AS y FROM g JOIN cu a ON a.l_returnflag = g.l_returnflag AND a.j = g.j JOIN cu b ON b.l_returnflag = g.l_returnflag AND b.j = g.j + 1"""
+)
+def q_empirical_curve(spark, d):
+    got = distributions.empirical_curves(read(spark, d, "lineitem"), ["l_returnflag"], "l_tax")
+    return rounded(got.select("l_returnflag", "n_values", F.posexplode("curve").alias("pos", "y")))
 
 
 @query(
