@@ -126,17 +126,18 @@ def resumed_scores(prompts: DataFrame, provider: generation.Provider, path: str,
     written twice, by runs at the same time, the smallest answer counts.
     """
     spark = prompts.sparkSession
-    slot = F.pmod(F.xxhash64("batch"), F.lit(rounds))
-    total = prompts.count()
     finished = lambda: spark.read.schema("request string, batch string, answer string").parquet(path).where(F.col("request") == request)
     spark.createDataFrame([], "request string, batch string, answer string").write.mode("append").parquet(path)
-    for r in range(rounds):
-        left = files.unfinished(prompts.where(slot == r), finished(), ["batch"])
-        if left.isEmpty():
-            continue
-        generation.score_batches(left, provider).select(F.lit(request).alias("request"), F.col("batch").cast("string"), "answer").write.mode("append").parquet(path)
+    total = prompts.count()
+    left = written(files.unfinished(prompts, finished(), ["batch"]).withColumn("slot_", F.pmod(F.xxhash64("batch"), F.lit(rounds))), "left")
+    sizes = dict(left.groupBy("slot_").count().collect())  # a row a round
+    done = total - sum(sizes.values())
+    for slot, n in sorted(sizes.items()):
+        asked = left.where(F.col("slot_") == slot).drop("slot_")
+        generation.score_batches(asked, provider).select(F.lit(request).alias("request"), F.col("batch").cast("string"), "answer").write.mode("append").parquet(path)
+        done += n
         if progress:
-            progress(finished().select("batch").distinct().count(), total)
+            progress(done, total)
     return finished().groupBy("batch").agg(F.min("answer").alias("answer"))
 
 
