@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import bounded_batches
+from tallyweave.llm.shared import bounded_batches, give_back
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: White space as Unicode defines it.
@@ -127,10 +127,9 @@ class TrieEncoder:
             most = self.final if at_end else self.inner
             most[t[-3:]] = max(most.get(t[-3:], 0), len(t))
         self.number = {i: str(i) for i in self.text}
+        self.text_of_number = {str(i): t for i, t in self.text.items()}
         self.ids_of: dict[str, str] = {}
-        self.text_of: dict[str, str] = {}
         self.old_ids: dict[str, str] = {}
-        self.old_text: dict[str, str] = {}
         self.cache_words = cache_words
 
     def normal(self, text: str) -> str:
@@ -217,24 +216,24 @@ class TrieEncoder:
         """Encode the words that neither generation of the cache holds.
 
         When the young generation is full it becomes the old one: words in use
-        stay, the rest goes, and memory is bounded.
+        stay, the rest goes, and memory is bounded.  Only ids are kept: the
+        decoded text follows from them.
         """
-        ids_of, text_of = self.ids_of, self.text_of
+        ids_of = self.ids_of
         if len(ids_of) > self.cache_words:
-            self.old_ids, self.old_text = ids_of, text_of
-            ids_of, text_of = self.ids_of, self.text_of = {}, {}
+            self.old_ids = ids_of
+            ids_of = self.ids_of = {}
         words = words.difference(ids_of)
         for word in words.intersection(self.old_ids):
-            ids_of[word], text_of[word] = self.old_ids[word], self.old_text[word]
+            ids_of[word] = self.old_ids[word]
         new = list(words.difference(self.old_ids))
-        letters, text, number = self.letters, self.text, self.number
+        letters, number = self.letters, self.number
         spelt = {w: w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in new if w not in self.special}
         for word in words.intersection(self.special):
-            ids_of[word], text_of[word] = number[self.special[word]], word
+            ids_of[word] = number[self.special[word]]
         new = sorted(spelt, key=spelt.__getitem__)
         for word, ids in zip(new, self.encode_words([spelt[w] for w in new]), strict=True):
             ids_of[word] = " ".join([number[i] for i in ids])
-            text_of[word] = " ".join([text[i] for i in ids])
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text in order, and the special tokens that stand in it."""
@@ -256,7 +255,7 @@ class TrieEncoder:
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(_LATER_LETTER.sub(_NEITHER, text))]
 
-    def digest(self, texts: list[str], most_words: int = 1_000_000) -> Iterator[tuple[int, str, str]]:
+    def digest(self, texts: list[str], most_words: int = 100_000) -> Iterator[tuple[int, str, str]]:
         """Token count and digests of ids and decoded text, in batches of about ``most_words`` words."""
         group: list[list[str]] = []
         held = 0
@@ -271,7 +270,8 @@ class TrieEncoder:
     def _flush(self, group: list[list[str]]) -> Iterator[tuple[int, str, str]]:
         self.learn(set().union(*group))
         for g in group:
-            ids, decoded = " ".join(map(self.ids_of.__getitem__, g)), " ".join(map(self.text_of.__getitem__, g))
+            ids = " ".join(map(self.ids_of.__getitem__, g))
+            decoded = " ".join(map(self.text_of_number.__getitem__, ids.split(" "))) if ids else ""
             yield ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
     def encode(self, text: str) -> list[int]:
@@ -305,14 +305,16 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TrieEncoder(shared.value)
         for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
                 rows = list(encoder.digest([t or "" for t in part.column(1).to_pylist()]))
                 n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        del encoder
+        give_back()
 
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

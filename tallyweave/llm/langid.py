@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.shared import bounded_batches, written
+from tallyweave.llm.shared import bounded_batches, give_back, written
 from tallyweave.llm.words import blocks, buffers, split_words
 
 _U = np.uint64
@@ -330,6 +330,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
                     [batch.column(0).slice(low, high - low), pc.if_else(known, names, "und"), pc.if_else(known, pa.array(share, pa.float64()), 0.0)],
                     names=["row", "lang_pred", "score"],
                 )
+        give_back()
 
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("known"))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import bounded_batches, connected_components, written
+from tallyweave.llm.shared import bounded_batches, connected_components, give_back, written
 from tallyweave.llm.words import blocks, buffers, mix, signed, split_words
 
 _U = np.uint64
@@ -302,6 +302,7 @@ def _sampled(docs: DataFrame, shared, bands: int, band_rows: int) -> DataFrame:
                     ],
                     names=["tid", "mass", "keys"],
                 )
+        give_back()
 
     made = docs.select("tid", "text").mapInArrow(run, "tid bigint, mass double, keys array<bigint>")
     return made.dropDuplicates(["tid"])

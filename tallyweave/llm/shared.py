@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.sources.shared import new_path, shared_dir, written
 
-__all__ = ["bounded_batches", "connected_components", "new_path", "shared_dir", "written"]
+__all__ = ["bounded_batches", "connected_components", "give_back", "new_path", "shared_dir", "written"]
 
 
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
@@ -23,6 +26,17 @@ def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(name, str(size))
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed: a Python worker outlives its task and would keep it beside the next one's.
+
+    Where the C library has no ``malloc_trim``, only Arrow's memory is returned.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (a, b); component is the smallest node.
 

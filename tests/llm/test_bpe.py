@@ -1,6 +1,8 @@
 """The encoder against the library on every code point."""
 
+import hashlib
 import random
+import tracemalloc
 
 from tokenizers import Tokenizer
 
@@ -37,3 +39,20 @@ def test_marks_and_capitals_in_any_order_equal_the_library():
     others = [*map(ord, "aeE1'sΣİ가ᄀ Åᆓ5!")]
     pick = lambda: chr(rnd.choice(rnd.choice([marks, marks, capitals, letters, others])))
     same(encoder, library, ["".join(pick() for _ in range(rnd.randint(1, 9))) for _ in range(20000)])
+
+
+def test_memory_is_of_few_words_at_a_time():
+    """Of a batch of many words only a part is held, and of each distinct word its ids only."""
+    encoder, rnd = bpe.TrieEncoder(bpe.tokenizer_definition(BPE_FILE)), random.Random(3)
+    words = ["".join(rnd.choice("abcdefghijkl") for _ in range(8)) for _ in range(20000)]
+    texts = [" ".join(rnd.choice(words) for _ in range(500)) for _ in range(1000)]
+    library = Tokenizer.from_file(BPE_FILE)
+    tracemalloc.start()
+    got = list(encoder.digest(texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 << 20
+    for text, own in list(zip(texts, got, strict=True))[:50]:
+        e = library.encode(text, add_special_tokens=False)
+        ids, decoded = " ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False)
+        assert own == (len(e.ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
