@@ -17,8 +17,6 @@ All rarer shingles have the weight of one at that threshold.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +39,10 @@ RARE = 256
 _FEATURE_CHUNK = 2048
 #: Cells in which the weight that two texts can have in common is bounded.
 CELLS = 64
+#: Members of a large bucket are compared in blocks of about so many.
+MEMBERS = 512
+#: Pairs that are looked at together.
+_PAIRS = 1 << 18
 #: Draws are looked for below ``FIRST_LOOK`` over the weight of the text; without one, among all shingles.
 FIRST_LOOK = 4.0
 _SHINGLES = 1 << 13
@@ -369,6 +371,78 @@ def _shared_cells(packed: DataFrame, shared) -> DataFrame:
     return joined.mapInArrow(cells, "tid bigint, rest array<float>")
 
 
+def _dealt(members: DataFrame, size: int = MEMBERS) -> DataFrame:
+    """Each member of a bucket (key) with several components, once for each pair (i, j) of the bucket's blocks that its own block is in.
+
+    A bucket has a block per ``size`` members, so that no task meets a large one whole.
+    """
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    buckets = buckets.select("key", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    placed = members.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("tid", F.lit(3)), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return placed.select("key", "i", "j", "block", "tid", "component", "mass", "most", "keys", "rest")
+
+
+def _close(group: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of ``_close_pairs`` in whole groups, which ``group`` has one after another."""
+    key, i, j, block, tid, component, mass, most = (group.column(k).to_numpy() for k in range(8))
+    n = group.num_rows
+    keys, rest = (group.column(k).flatten().to_numpy().reshape(n, -1) for k in (8, 9))
+    new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+    ends = np.append(new, n)
+    each = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n) - 1
+    total = np.cumsum(each)
+    low = 0
+
+    def alike(x, y, common):
+        return common >= (least - 1e-6) * (mass[x] + mass[y] - common)
+
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + _PAIRS, "right")))
+        some = each[low:high]
+        x = np.repeat(np.arange(low, high), some)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(some) - some, some)
+        good = (component[x] != component[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
+        x, y = x[good], y[good]
+        good = alike(x, y, np.minimum(most[x], most[y]))
+        x, y = x[good], y[good]
+        for at in range(0, len(x), 1 << 13):
+            a, b = x[at : at + (1 << 13)], y[at : at + (1 << 13)]
+            good = alike(a, b, np.minimum(rest[a], rest[b]).sum(1, dtype=float))
+            a, b = a[good], b[good]
+            same = keys[a] == keys[b]
+            good = keys[a, same.argmax(1)] == key[a]
+            a, b = tid[a[good]], tid[b[good]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        low = high
+
+
+def _close_pairs(dealt: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a > b, of one bucket and two components that may be similar enough by their cells.
+
+    A pair meets once: in the first band whose bucket both are in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            key, i, j = (batch.column(k).to_numpy() for k in range(3))
+            cut = int(np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))[-1:].sum() + 1) if (key[0], i[0], j[0]) != (key[-1], i[-1], j[-1]) else 0
+            if cut:
+                yield from _close(batch.slice(0, cut), least)
+            held = batch.slice(cut)
+        if held is not None:
+            yield from _close(held, least)
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
+
+
 def text_ids(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(doc_id, tid, text and more columns): ``tid`` is a 64-bit fingerprint of the text and its length, null for a null text."""
     text = F.col(f"`{text_col}`").cast("string")
@@ -394,7 +468,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     per priority order, found by aggregation), whatever the bucket's size, so
     a large group of copies costs a few links a member.  Then pairs of a bucket
     that still lie in different components are compared, unless a bound on
-    what they have in common shows that they cannot be similar enough.
+    what they have in common shows that they cannot be similar enough; a large
+    bucket is dealt by pairs of blocks of its members.
     """
     return _classes(text_ids(docs, id_col, text_col), least, bands, band_rows).select("doc_id", "tid", F.coalesce("head.doc_id", "doc_id").alias("class_id"))
 
@@ -439,18 +514,7 @@ def _classes(rows: DataFrame, least: float = 0.8, bands: int = BANDS, band_rows:
     # A text with too much of its own is similar enough to none, whatever the other text is.
     open_members = open_members.where(F.col("most") >= (least - 1e-6) * F.col("mass"))
     open_members = written(open_members.join(sampled.select("tid", "keys"), "tid"), "open")
-    x, y = (open_members.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("tid", "keys", "mass", "component", "most", "rest")]) for side in "ab")
-
-    def alike(most):
-        return most >= (least - 1e-6) * (F.col("mass_a") + F.col("mass_b") - most)
-
-    # Spelt out cell by cell, which compiles where functions over arrays are interpreted.
-    common = reduce(add, [F.least(F.col("rest_a")[i], F.col("rest_b")[i]).cast("double") for i in range(CELLS)])
-    # A pair meets once: in the first bucket that both are in.
-    once = F.array_intersect("keys_a", "keys_b")[0] == x["key"]
-    close = alike(F.least("most_a", "most_b")) & alike(common) & once
-    apart = (F.col("tid_a") > F.col("tid_b")) & (F.col("component_a") != F.col("component_b"))
-    across = x.join(y, (x["key"] == y["key"]) & apart & close).select(F.col("tid_a").alias("a"), F.col("tid_b").alias("b"))
+    across = _close_pairs(_dealt(open_members), least)
     more = _verified(across.join(stars, ["a", "b"], "left_anti"), packed, shared, least)
     parts = written(connected_components(links.unionByName(more)), "parts")
 

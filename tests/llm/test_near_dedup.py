@@ -97,3 +97,30 @@ def test_frequencies_and_classes_equal_brute_force(spark):
 
 def test_idf_without_frequent_shingles():
     assert Idf(np.zeros(0, np.uint64), np.zeros(0), 3.0).of(np.array([1, 2], np.uint64)).tolist() == [3.0, 3.0]
+
+
+def test_close_pairs_of_a_large_bucket_meet_once_in_blocks(spark):
+    """A bucket larger than a block is dealt by pairs of blocks; its pairs are those of plain comparisons, each once."""
+    rnd = np.random.default_rng(5)
+    least, rows = 0.8, []
+    base = rnd.random((6, near_dedup.CELLS)).astype(np.float32)
+    for tid in range(1, 241):
+        rest = base[tid % 6] * (rnd.random(near_dedup.CELLS) > rnd.random() * 0.3).astype(np.float32)
+        keys = [1000 + (tid % 6 > 3), 2000 + tid % 2, 3000 + tid]
+        most = float(rest.sum(dtype=float))
+        mass = float(most * rnd.uniform(1, 1.1))
+        rows += [(k, tid, tid // 3, mass, most, keys, rest.tolist()) for k in keys]
+    members = spark.createDataFrame(rows, "key bigint, tid bigint, component bigint, mass double, most double, keys array<bigint>, rest array<float>")
+    dealt = near_dedup._dealt(members, 32).cache()
+    assert max(r["count"] for r in dealt.groupBy("key", "i", "j").count().collect()) < 100
+    got = [(r.a, r.b) for r in near_dedup._close_pairs(dealt, least).collect()]
+    texts = {r[1]: r[2:] for r in rows}
+    want = set()
+    for b, a in itertools.combinations(sorted(texts), 2):
+        (ca, ma, ta, ka, ra), (cb, mb, tb, kb, rb) = texts[a], texts[b]
+        common = min(ta, tb, sum(map(min, ra, rb)))
+        if ca != cb and set(ka) & set(kb) and common >= (least - 1e-6) * (ma + mb - common):
+            want.add((a, b))
+    assert len(want) > 100
+    assert len(got) == len(set(got))
+    assert set(got) == want
