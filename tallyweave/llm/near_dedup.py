@@ -289,7 +289,7 @@ def _sampled(docs: DataFrame, shared, bands: int, band_rows: int) -> DataFrame:
                 row, h, tf = row[keep], h[keep], tf[keep]
                 weight = tf * idf.of(h)
                 draws = signatures(row, h, weight, len(own), factors)
-                mass = np.bincount(row, weight, len(own))
+                mass = np.bincount(row, weight, len(own)).astype(float)  # of no rows bincount gives whole numbers, weighted or not
                 keys = np.zeros((len(own), bands), np.uint64)
                 for b in range(bands):
                     for k in range(b * band_rows, (b + 1) * band_rows):

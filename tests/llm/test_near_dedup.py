@@ -124,3 +124,21 @@ def test_close_pairs_of_a_large_bucket_meet_once_in_blocks(spark):
     assert len(want) > 100
     assert len(got) == len(set(got))
     assert set(got) == want
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_batches_without_a_new_text(spark, late):
+    """Batches that hold only copies of earlier texts, or only texts without a word, have the columns of all others."""
+    name, own = "spark.sql.execution.arrow.maxRecordsPerBatch", ["some words of one text", "another text of other words"]
+    none = [own[0], own[0], " ", "", own[1], own[0]]
+    texts = own + none if late else none[2:4] + own + none
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(docs).collect()}
+        kept = {r.doc_id for r in near_dedup.keep_one_of_each(docs).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {i: texts.index(t) if t.strip() else i for i, t in enumerate(texts)}
+    assert kept == {i for i, first in got.items() if i == first}
